@@ -15,7 +15,7 @@ are judged each on its own; an empty table gives no rows; other columns pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -39,36 +39,65 @@ class Rule:
 
 def words_of(text: Column) -> Column:
     """Words of the text, null: none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WS_REGEX), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS_REGEX), "")
 
 
-def repeated_words(words: Column) -> Column:
+#: Low bits of a window's sort key that hold its position; the rest is a hash.
+_POSITION_BITS = 26
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once and bound to a lambda variable."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def window_keys(words: Column) -> Column:
+    """One long for each 3-word window: hash in the high bits, position below."""
+
+    def keys(ws: Column) -> Column:
+        def key(w: Column, i: Column) -> Column:
+            h = F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))
+            return F.shiftleft(h, _POSITION_BITS).bitwiseOR(i.cast("long"))
+
+        return F.transform(ws, key)
+
+    made = F.slice(_let(words, keys), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.coalesce(made, F.array().cast("array<bigint>"))
+
+
+def repeated_words(words: Column, ordered: Column) -> Column:
     """Words lying in a 3-word window that occurs twice or more in the text.
 
-    Windows are sorted with their positions, so equal ones become neighbours:
-    n log n in the text's length, with compiled comparisons.
+    ``ordered`` holds the sorted ``window_keys``: equal windows are neighbours
+    there (n log n in the text's length, sorted as primitives).  Windows whose
+    hash no neighbour shares cannot repeat; the rest are compared as words, so
+    a shared hash never counts by itself.
     """
-    windows = F.greatest(F.size(words) - 2, F.lit(0))
-    zipped = F.arrays_zip(
-        F.slice(words, F.lit(1), windows),
-        F.slice(words, F.lit(2), windows),
-        F.slice(words, F.lit(3), windows),
-        F.sequence(F.lit(0), windows - 1),
-    )
-    ordered = F.sort_array(zipped)
+
+    def shared(s: Column) -> Column:
+        def same(i: Column) -> Column:
+            return F.shiftright(F.get(s, i).bitwiseXOR(F.get(s, i + 1)), _POSITION_BITS) == 0
+
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 2), same)
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.get(s, i), F.get(s, i + 1)))))
+
+    def window(x: Column) -> Column:
+        p = x.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
+        names = (("a", p), ("b", p + 1), ("c", p + 2))
+        return F.struct(*[F.get(words, i).alias(n) for n, i in names], p.alias("p"))
 
     def covered(s: Column) -> Column:
         pairs = F.arrays_zip(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1))
         same = F.filter(
             pairs,
-            lambda p: (p["0"]["0"] == p["1"]["0"]) & (p["0"]["1"] == p["1"]["1"]) & (p["0"]["2"] == p["1"]["2"]),
+            lambda p: (p["0"]["a"] == p["1"]["a"]) & (p["0"]["b"] == p["1"]["b"]) & (p["0"]["c"] == p["1"]["c"]),
         )
-        starts = F.array_distinct(F.flatten(F.transform(same, lambda p: F.array(p["0"]["3"], p["1"]["3"]))))
+        starts = F.array_distinct(F.flatten(F.transform(same, lambda p: F.array(p["0"]["p"], p["1"]["p"]))))
         return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + 2)))))
 
-    # a one-element array binds the sorted windows to a name, so they are made once
-    bound = F.element_at(F.transform(F.array(ordered), covered), 1)
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(bound).cast("long")
+    found = _let(ordered, lambda s: F.transform(shared(s), window))
+    count = _let(F.sort_array(found), lambda s: F.when(F.size(s) < 2, F.lit(0)).otherwise(covered(s)))
+    return F.when(F.size(ordered) < 2, F.lit(0)).otherwise(count).cast("long")
 
 
 def base_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -78,6 +107,7 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         pack(df, F.col(f"`{text}`").alias("text"))
         .select("row", t.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
+        .select("*", F.sort_array(window_keys(F.col("words"))).alias("ordered"))
         .select(
             "row",
             "text",
@@ -87,7 +117,7 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("words")).alias("n_repeat_words"),
+            repeated_words(F.col("words"), F.col("ordered")).alias("n_repeat_words"),
         )
     )
 
