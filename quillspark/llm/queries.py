@@ -48,5 +48,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def _vocabulary(name: str) -> bytes:
+    """A public vocabulary file; its place is the library's to say."""
+    import public_tokenizers
+    from quillspark.llm.tokens import read_file
+
+    return read_file(public_tokenizers.path(name))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import sentencepieces
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sentencepieces.encode_decode(docs, _vocabulary("piece_bpe_32k.model")).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
+}
 ORACLES = {"op1_quality_rules": OP1_SQL}
