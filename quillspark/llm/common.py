@@ -55,6 +55,13 @@ def pack(df: DataFrame, *extra: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
 
 
+def beside_text(df: DataFrame, text: str, *extra: Column) -> DataFrame:
+    """``row`` (the caller's other columns), ``text`` and ``extra``: the text
+    itself then travels once."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(None).cast("int").alias("none")]
+    return df.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"), *extra)
+
+
 def sum_by(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 

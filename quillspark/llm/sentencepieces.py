@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.common import beside_text
 from quillspark.llm.tokens import groups, in_worker
 
 SPACE = "▁"
@@ -171,10 +172,7 @@ def encode_decode(df: DataFrame, file: bytes, text: str = "text") -> DataFrame:
 
     One pass, no shuffle; memory is bounded by an Arrow batch and the caches.
     """
-    others = df.drop(text)  # the text itself need not travel twice
-    packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in others.columns]).alias("row"), F.col(f"`{text}`").alias("text")
-    )
+    packed = beside_text(df, text)  # the text itself need not travel twice
     schema = T.StructType([
         T.StructField("row", packed.schema["row"].dataType),
         T.StructField("n_tokens", T.LongType()),
