@@ -68,6 +68,22 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import sharding
+
+    placed = sharding.shard_rows(_documents(spark, sf_dir), ["source", "lang", "n_chars"], shards=24)
+    return placed.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "hilbert",
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import pii
 
@@ -93,6 +109,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op9_pii": op9_pii,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL}
