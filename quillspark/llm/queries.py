@@ -68,6 +68,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import packing
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    packed = packing.pack_documents(docs, _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packed.select(F.col("row.doc_id").alias("doc_id"), *packed.columns[1:])
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import sharding
 
@@ -128,6 +136,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op7_voronoi_topk": op7_voronoi_topk,
     "op9_pii": op9_pii,
