@@ -111,6 +111,13 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op8_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import repair
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return repair.read_corpus(repair.write_corpus(docs, _vocabulary("word_bpe_49k.json"), end_id=2))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import pii
 
@@ -139,6 +146,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op7_voronoi_topk": op7_voronoi_topk,
+    "op8_repair_files": op8_repair_files,
     "op9_pii": op9_pii,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op7_voronoi_topk": OP7_SQL}
