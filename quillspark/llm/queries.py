@@ -140,6 +140,34 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import ngrams
+
+    found = ngrams.link(_documents(spark, sf_dir).select("doc_id", "text"))
+    found = found.select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "root")
+    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(smallest, "root").select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+    THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    ELSE [array_to_string(words, ' ')] END) AS g
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) m ON m.node = w.doc_id
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -148,5 +176,6 @@ QUERIES = {
     "op7_voronoi_topk": op7_voronoi_topk,
     "op8_repair_files": op8_repair_files,
     "op9_pii": op9_pii,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op7_voronoi_topk": OP7_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op7_voronoi_topk": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
