@@ -92,6 +92,13 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import ctw
+
+    scored = ctw.score_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), *scored.columns[1:])
+
+
 def op7_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import knn
 
@@ -173,6 +180,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_ctw_scores": op6_ctw_scores,
     "op7_voronoi_topk": op7_voronoi_topk,
     "op8_repair_files": op8_repair_files,
     "op9_pii": op9_pii,
