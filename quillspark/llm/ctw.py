@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import beside_text, materialize, shuffle_parts
 
-DEPTH, END = 4, 0xFF
+DEPTH, END = 5, 0xFF
 #: Grams that travel to the tasks at once; words of the frequent-word table.
 SLICE_GRAMS, HEAD_WORDS = 4_000_000, 400_000
 #: Bytes worked on at once; distinct grams or words a task holds before it sends.
