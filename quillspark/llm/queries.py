@@ -48,7 +48,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e
 """
 
-def _vocabulary(name: str) -> bytes:
+def vocabulary(name: str) -> bytes:
     """A public vocabulary file; its place is the library's to say."""
     import public_tokenizers
     from quillspark.llm.tokens import read_file
@@ -60,7 +60,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import sentencepieces
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return sentencepieces.encode_decode(docs, _vocabulary("piece_bpe_32k.model")).select(
+    return sentencepieces.encode_decode(docs, vocabulary("piece_bpe_32k.model")).select(
         F.col("row.doc_id").alias("doc_id"),
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -72,10 +72,35 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import packing
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    packed = packing.pack_documents(docs, _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
     return packed.select(F.col("row.doc_id").alias("doc_id"), *packed.columns[1:])
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import langid
+
+    # documents declare their language in a column; their source is the host
+    found = langid.identify(_documents(spark, sf_dir), F.lower("lang"), F.lower("source"), label="lang")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language",
+        F.col("accepted").alias("kept"),
+    )
+
+
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages: markup language, suffix and host."""
+    from quillspark.llm import langid
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("declared", langid.declared_in(F.col("html")))
+    body = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>", " ")
+    found = langid.identify(
+        pages.withColumn("body", body), F.col("declared"), langid.host_of(F.col("url")), label="declared", text="body"
+    )
+    return found.select(
+        F.col("row.page_id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted"
+    )
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import sharding
 
@@ -122,7 +147,7 @@ def op8_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import repair
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return repair.read_corpus(repair.write_corpus(docs, _vocabulary("word_bpe_49k.json"), end_id=2))
+    return repair.read_corpus(repair.write_corpus(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +204,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "llm_page_languages": llm_page_languages,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_ctw_scores": op6_ctw_scores,
     "op7_voronoi_topk": op7_voronoi_topk,
