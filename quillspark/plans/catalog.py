@@ -1,4 +1,626 @@
-"""Registered queries of the library's own operators and their SQL."""
+"""Registered queries of the library's own operators, each with its SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The driver's tables stand in for the literature's: documents for papers (source
+for journal, first line for title, text for abstract), orders for dated records,
+events for evidence and milestones, pages for article pages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import dates, identifiers, text
+from quillspark.operators import classify, coverage, enrichment, identity, licences, lifecycle, queues, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def titled(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("title", F.split("text", "\n", 2)[0])
+
+
+def partial_date() -> Column:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 4
+    return F.when(k == 0, day).when(k == 1, F.left(day, F.lit(7))).when(k == 2, F.left(day, F.lit(4)))
+
+
+# SQL pieces: the same derivations for the oracle
+TITLED = "SELECT *, string_split(text, chr(10))[1] AS title FROM documents"
+PARTIAL = """SELECT *, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m')
+  WHEN 2 THEN strftime(o_orderdate, '%Y') END AS value FROM orders"""
+
+
+def _start(v: str) -> str:
+    return f"CASE length({v}) WHEN 10 THEN try_cast({v} AS DATE) WHEN 7 THEN try_cast({v} || '-01' AS DATE) WHEN 4 THEN try_cast({v} || '-01-01' AS DATE) END"
+
+
+def _end(v: str) -> str:
+    return f"CASE length({v}) WHEN 10 THEN try_cast({v} AS DATE) WHEN 7 THEN last_day(try_cast({v} || '-01' AS DATE)) WHEN 4 THEN try_cast({v} || '-12-31' AS DATE) END"
+
+
+NAME, KEYWORDS, SOURCES = "the", "that with", ("src0", "src3", "src5", "src7")
+
+SEARCHED = f"""SELECT d.doc_id, d.title, d.source, l.quality FROM ({TITLED}) d LEFT JOIN labels l USING (doc_id)
+  WHERE contains(lower(title), '{NAME}') AND contains(lower(text), 'that') AND contains(lower(text), 'with')
+    AND source IN {SOURCES} AND lang IN ('en', 'de')"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = titled(table(spark, sf_dir, "documents")).where(F.col("source").isin(*SOURCES) & F.col("lang").isin("en", "de"))
+    found = docs.where(
+        search.name_matches(NAME, F.col("title"), F.array().cast("array<string>"))
+        & search.keywords_match(KEYWORDS, F.col("title"), F.col("text"))
+    )
+    return found.select("doc_id", "title", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query(f"""
+WITH m AS ({SEARCHED}), t AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS page FROM m),
+r AS (SELECT *, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS rank FROM m)
+SELECT doc_id, title, source, quality, rank::BIGINT AS rank, page FROM r, t WHERE rank > (page - 1) * 25 AND rank <= page * 25
+""")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 999 of a search: clamped to the last page."""
+    found = _searched(spark, sf_dir)
+    page, _ = search.clamp(found.count(), 999)
+    at = (page - 1) * search.PAGE_SIZE
+    shown = found.orderBy(F.col("quality").desc_nulls_last(), "doc_id").offset(at).limit(search.PAGE_SIZE)
+    order = Window.orderBy(F.col("quality").desc_nulls_last(), "doc_id")  # one page of rows
+    return shown.withColumn("rank", (F.row_number().over(order) + at).cast("long")).withColumn("page", F.lit(page).cast("long"))
+
+
+@query(f"""
+WITH m AS ({SEARCHED})
+SELECT 'some' AS filter, count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS total_pages, greatest(1, least(2, ceil(count(*) / 25.0)))::BIGINT AS page FROM m
+UNION ALL SELECT 'none', 0, 0, 1
+""")
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and the effective page, with the search that finds nothing."""
+    n = F.count(F.lit(1))
+    pages = F.ceil(n / search.PAGE_SIZE)
+
+    def totals(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(n.alias("total")).select(
+            F.lit(name).alias("filter"), "total", F.ceil(F.col("total") / search.PAGE_SIZE).alias("total_pages"),
+            F.greatest(F.lit(1), F.least(F.lit(2), F.ceil(F.col("total") / search.PAGE_SIZE))).cast("long").alias("page"),
+        )
+
+    found = _searched(spark, sf_dir)
+    return totals(found, "some").unionByName(totals(found.where(F.col("title") == "no such title"), "none"))
+
+
+@query(f"""
+SELECT o_orderkey, value FROM ({PARTIAL}) WHERE {_end('value')} >= DATE '1995-02-01' AND {_start('value')} <= DATE '1995-03-31'
+""")
+def search_date_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", partial_date().alias("value"))
+    return orders.where(dates.overlaps(F.col("value"), "1995-02", "1995-03"))
+
+
+@query(f"""
+WITH o AS (SELECT o_custkey, o_orderkey, {_start('value')} AS s FROM ({PARTIAL}))
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC NULLS LAST, o_orderkey)::INTEGER AS newest,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY s ASC NULLS LAST, o_orderkey)::INTEGER AS oldest FROM o
+""")
+def search_sort_unknown_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks inside each customer, unknown dates last in both directions."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", dates.interval_start(partial_date()).alias("s"))
+    by = Window.partitionBy("o_custkey")
+    return o.select(
+        "o_orderkey",
+        F.row_number().over(by.orderBy(F.col("s").desc_nulls_last(), "o_orderkey")).alias("newest"),
+        F.row_number().over(by.orderBy(F.col("s").asc_nulls_last(), "o_orderkey")).alias("oldest"),
+    )
+
+
+_ODD = "CASE WHEN o_orderkey % 7 = 0 THEN '2025-02-29' WHEN o_orderkey % 7 = 1 THEN '2025-13' ELSE value END"
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey, {_ODD} AS value FROM ({PARTIAL}))
+SELECT o_orderkey, strftime({_start('value')}, '%Y-%m-%d') AS first_day, strftime({_end('value')}, '%Y-%m-%d') AS last_day,
+  CASE WHEN {_start('value')} IS NOT NULL THEN CASE length(value) WHEN 10 THEN 'day' WHEN 7 THEN 'month' ELSE 'year' END END AS precision FROM v
+""")
+def partial_date_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 7
+    value = F.when(k == 0, "2025-02-29").when(k == 1, "2025-13").otherwise(partial_date())
+    v = table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"))
+    return v.select(
+        "o_orderkey",
+        F.date_format(dates.interval_start(F.col("value")), "yyyy-MM-dd").alias("first_day"),
+        F.date_format(dates.interval_end(F.col("value")), "yyyy-MM-dd").alias("last_day"),
+        dates.precision(F.col("value")).alias("precision"),
+    )
+
+
+_FIRST_SHIP = "SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS shipped FROM lineitem GROUP BY l_orderkey"
+
+
+@query(f"""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN value END, CASE WHEN o_orderkey % 2 = 0 THEN shipped END, strftime(o_orderdate, '%Y')) AS effective
+FROM ({PARTIAL}) LEFT JOIN ({_FIRST_SHIP}) ON l_orderkey = o_orderkey
+""")
+def effective_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("shipped"))
+    o = table(spark, sf_dir, "orders").join(ship, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    online = F.when(F.col("o_orderkey") % 3 == 0, partial_date())
+    issue = F.when(F.col("o_orderkey") % 2 == 0, F.col("shipped"))
+    return o.select("o_orderkey", dates.effective_date(online, issue, F.date_format("o_orderdate", "yyyy")).alias("effective"))
+
+
+@query(f"""
+SELECT o_orderkey, coalesce(o_orderstatus <> 'F' AND {_end('value')} <= DATE '1997-06-30', FALSE) AS ready FROM ({PARTIAL})
+""")
+def issue_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    volume = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).otherwise("")
+    ready = dates.issue_ready(volume, partial_date(), F.lit("1997-06-30").cast("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ready.alias("ready"))
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+SELECT o_orderkey FROM ({PARTIAL}) WHERE {_start('value')} IS NULL
+  OR ({_end('value')} >= DATE '1993-01-01' AND ({_start('value')} <= DATE '1996-12-31' OR o_custkey IN (SELECT user_id FROM a)))
+""")
+def eligible_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    announced = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("o_custkey"), F.lit(True).alias("announced")).distinct()
+    o = table(spark, sf_dir, "orders").join(announced, "o_custkey", "left")
+    return o.where(dates.eligible(partial_date(), "1993-01-01", "1996-12-31", F.col("announced"))).select("o_orderkey")
+
+
+def _named_sql(c: str) -> str:
+    for name, char in text.NAMED_ENTITIES.items():
+        c = f"regexp_replace({c}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"regexp_replace({c}, '(?i)&amp;', '&', 'g')"
+
+
+_CLEAN_STEPS = [
+    (r"(?s)<!\[CDATA\[(.*?)\]\]>", r"\1"),
+    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
+    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)</?(?:[\w.-]+:)?(?:p|div|section|title|abstract|sec|h[1-6])\b[^>]*>", "\n\n"),
+    (r"(?i)<(?:[\w.-]+:)?br\b[^>]*/?\s*>", "\n"),
+    (r"(?i)</?[a-z][\w:.-]*(?:\s[^<>]*?)?\s*/?>", ""),
+    ("\r\n?", "\n"), ("[\t  ]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), (r"^\s+", ""), (r"\s+$", ""),
+]
+
+
+def _clean_sql(c: str) -> str:
+    out = _named_sql(_named_sql(c))
+    for pattern, to in _CLEAN_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
+@query(f"""
+WITH c AS (SELECT page_id, {_clean_sql('html')} AS t FROM pages)
+SELECT page_id, sha256(t) AS text_sha256, length(t) AS chars, len(regexp_extract_all(t, '\\S+')) AS words FROM c
+""")
+def clean_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.clean_text(F.col("html"), numeric=False)
+    pages = table(spark, sf_dir, "pages").select("page_id", t.alias("t"))
+    return pages.select("page_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").cast("long").alias("chars"), text.word_count(F.col("t")).cast("long").alias("words"))
+
+
+@query(r"""
+SELECT 'd' AS kind, doc_id AS a, 0 AS b, len(regexp_extract_all(text, '\S+')) AS words FROM documents
+UNION ALL SELECT 'c', conv_id, turn, len(regexp_extract_all(text, '\S+')) FROM conversations
+""")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), "text")
+    return docs.unionByName(turns).select("kind", "a", "b", text.word_count(F.col("text")).cast("long").alias("words"))
+
+
+_TYPE_SQL = "CASE doc_id % 5 WHEN 0 THEN 'Book-Review' WHEN 1 THEN 'editorial_material' WHEN 2 THEN 'corrections' ELSE 'journal-article' END"
+
+
+@query(rf"""
+SELECT doc_id, regexp_matches(regexp_replace({_TYPE_SQL}, '[-_]+', ' ', 'g'), '(?i)(?:^|[^A-Za-z0-9_])({'|'.join(text.EXCLUDED_TYPES)})(?:$|[^A-Za-z0-9_])')
+  OR regexp_matches(title, '(?i)^(?:\[\s*)?({'|'.join(text.EXCLUDED_TITLES)})(?:$|[^A-Za-z0-9_])') AS excluded
+FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '[Erratum to ' || title ELSE title END AS title FROM ({TITLED}))
+""")
+def excluded_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    kind = F.when(k == 0, "Book-Review").when(k == 1, "editorial_material").when(k == 2, "corrections").otherwise("journal-article")
+    title = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("[Erratum to "), "title")).otherwise(F.col("title"))
+    return titled(table(spark, sf_dir, "documents")).select("doc_id", text.is_excluded(kind, title).alias("excluded"))
+
+
+RULES = classify.TopicRules(
+    first=("license", "thereof", "heation"), second=("token", "entre", "mail"), first_name="learning-analytics", second_name="ai",
+    title_word="the", title_label="word in title", first_scope={"src3": "scope of src3"}, second_scope={"src5": "scope of src5"},
+)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, source, title, lower(title || ' ' || text || ' ' || lang) AS body FROM (%s)),
+f AS (SELECT doc_id, source,
+    [p FOR p IN ['license', 'thereof', 'heation'] IF contains(body, p)] AS a0,
+    [p FOR p IN ['token', 'entre', 'mail'] IF contains(body, p)]
+      || CASE WHEN regexp_matches(title, '(?i)(?:^|[^A-Za-z0-9_])the(?:$|[^A-Za-z0-9_])') THEN ['word in title'] ELSE [] END AS b0 FROM t),
+g AS (SELECT doc_id, CASE WHEN len(a0) = 0 AND source = 'src3' THEN ['scope of src3'] ELSE a0 END AS a,
+    CASE WHEN len(b0) = 0 AND source = 'src5' THEN ['scope of src5'] ELSE b0 END AS b FROM f)
+SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 'both' WHEN len(b) > 0 THEN 'ai' WHEN len(a) > 0 THEN 'learning-analytics' ELSE 'pending' END AS topic,
+  array_to_string(a || b, '; ') AS evidence FROM g
+""" % TITLED)
+def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = titled(table(spark, sf_dir, "documents"))
+    r = classify.classify(F.col("title"), F.col("text"), F.array("lang"), F.col("source"), F.lit(False), RULES)
+    return docs.select("doc_id", r.alias("r")).select("doc_id", F.col("r.topic").alias("topic"), F.array_join("r.evidence", "; ").alias("evidence"))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shown, checked, public, summary of each document."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select(
+        "doc_id", "source", "n_chars", (F.col("n_chars") >= 400).alias("shown"), F.col("quality").isNotNull().alias("checked"),
+        F.when(F.col("quality") == 1, "licensed").when(F.col("quality") == 0, "withheld").alias("public"), (F.col("lang") == "en").alias("summary"),
+    )
+
+
+_STATES = """SELECT d.doc_id, source, n_chars, n_chars >= 400 AS shown, quality IS NOT NULL AS checked,
+  CASE quality WHEN 1 THEN 'licensed' WHEN 0 THEN 'withheld' END AS public, lang = 'en' AS summary FROM documents d LEFT JOIN labels l USING (doc_id)"""
+_COUNTS = """count(*) AS total, count_if(shown) AS available, count_if(NOT shown) AS missing, count_if(checked AND NOT shown) AS checked,
+  count_if(NOT checked AND NOT shown) AS unchecked, count_if(public = 'licensed') AS licensed, count_if(public = 'withheld') AS withheld,
+  count(*) - count_if(public = 'licensed') - count_if(public = 'withheld') AS unavailable, count_if(summary) AS summaries, max(n_chars) AS longest"""
+
+
+def _counts() -> list[Column]:
+    return [*coverage.state_counts(F.col("shown"), F.col("checked"), F.col("public"), F.col("summary")), F.max("n_chars").alias("longest")]
+
+
+@query(f"SELECT {_COUNTS} FROM ({_STATES})")
+def coverage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).agg(*_counts())
+
+
+@query(f"""
+WITH c AS (SELECT source, {_COUNTS} FROM ({_STATES}) GROUP BY source), s AS (SELECT source FROM c UNION SELECT 'none')
+SELECT s.source, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*coverage.COUNTS, 'longest'))} FROM s LEFT JOIN c ON s.source = c.source
+""")
+def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _states(spark, sf_dir).groupBy("source").agg(*_counts())
+    return coverage.zero_filled(counted, spark.createDataFrame([("none",)], "source string"), "source")
+
+
+@query(f"""SELECT count(*) AS documents, count_if(public = 'licensed') AS licensed, count_if(public = 'withheld') AS withheld,
+  count(*) - count_if(public = 'licensed') - count_if(public = 'withheld') AS unavailable FROM ({_STATES})""")
+def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).agg(*_counts()).select(F.col("total").alias("documents"), "licensed", "withheld", "unavailable")
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def journal_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact to dimension; Spark broadcasts the dimension by its size."""
+    c = table(spark, sf_dir, "customer")
+    return c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+
+
+@query("""
+WITH k AS (SELECT n_nationkey AS nationkey FROM nation UNION SELECT c_nationkey FROM customer UNION SELECT 999),
+c AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1)
+SELECT nationkey, coalesce(n, 0) AS customers FROM k LEFT JOIN c ON c_nationkey = nationkey
+""")
+def journal_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"), "c_acctbal")
+    counted = customers.where("c_acctbal > 5000").groupBy("nationkey").agg(F.count("*").alias("customers"))
+    extra = customers.select("nationkey").unionByName(spark.createDataFrame([(999,)], "nationkey int"))
+    return coverage.zero_filled(counted, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey")), "nationkey", extra)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def semi_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noticed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(noticed, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+def anti_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT sha256(text) AS text_sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the digest, not the text, is shuffled
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return docs.groupBy("text_sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+_TITLE_KEY = r"regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g')"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, unnest([1, 2]) AS pos, unnest(['text:' || substr(sha256(text), 1, 24), 'title:' || source || ':' || {_TITLE_KEY}]) AS key FROM ({TITLED})),
+m AS (SELECT n.doc_id, n.pos, p.doc_id AS previous FROM k n JOIN k p USING (key) WHERE n.doc_id % 2 = 1 AND p.doc_id % 2 = 0)
+SELECT doc_id, min(pos)::INTEGER AS key_position, arg_min(previous, pos * 1000000000 + previous) AS previous_id FROM m GROUP BY doc_id
+""")
+def first_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For odd documents the even one that their first matching key reaches."""
+    keys = _document_keys(spark, sf_dir)
+    new = keys.where("doc_id % 2 = 1")
+    old = keys.where("doc_id % 2 = 0").select(F.col("doc_id").alias("previous"), "key")
+    best = F.min(F.struct("pos", "previous"))
+    return new.join(old, "key").groupBy("doc_id").agg(best.alias("b")).select(
+        "doc_id", F.col("b.pos").alias("key_position"), F.col("b.previous").alias("previous_id")
+    )
+
+
+def _document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = titled(table(spark, sf_dir, "documents"))
+    by_text = F.concat(F.lit("text:"), F.substring(F.sha2("text", 256), 1, 24))
+    by_title = F.concat(F.lit("title:"), "source", F.lit(":"), text.title_letters(F.col("title")))
+    return d.select("doc_id", F.posexplode(F.array(by_text, by_title)).alias("p", "key")).select("doc_id", (F.col("p") + 1).alias("pos"), "key")
+
+
+@query("SELECT conv_id, string_agg(role, ', ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def notice_kinds_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return c.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ", ").alias("roles"))
+
+
+_DAY = "DATE '2024-01-20'"
+
+
+@query(f"""
+SELECT user_id, event_id, event_type FROM (
+  SELECT *, rank() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC) AS r FROM events WHERE ts::DATE <= {_DAY}) WHERE r = 1
+""")
+def asof_latest_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return licences.latest_as_of(e, "user_id", F.col("day"), F.lit("2024-01-20").cast("date")).select("user_id", "event_id", "event_type")
+
+
+@query(f"""
+WITH c AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC) AS r FROM events WHERE ts::DATE <= {_DAY})
+SELECT user_id, arg_min(event_type, event_id) AS licence FROM c WHERE r = 1 GROUP BY user_id
+HAVING bool_and(event_type IN ('view', 'click', 'search', 'purchase'))
+""")
+def bool_and_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    current = licences.latest_as_of(e, "user_id", F.col("day"), F.lit("2024-01-20").cast("date"))
+    allowed = F.when(F.col("event_type").isin("view", "click", "search", "purchase"), F.col("event_type"))
+    return licences.all_permit(current, "user_id", allowed, F.col("event_id"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(text) AS k FROM documents), r AS (SELECT k, count(*) AS n, min(l.quality) AS q FROM h JOIN labels l USING (doc_id) GROUP BY k)
+SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN q END AS quality
+FROM h LEFT JOIN r USING (k)
+""")
+def doi_lookup_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    results = h.join(table(spark, sf_dir, "labels"), "doc_id").select("k", "quality")
+    return enrichment.unique_lookup(h, results, "k").select("doc_id", "state", F.col("result.quality").alias("quality"))
+
+
+_KEYS = f"SELECT doc_id, unnest(['text:' || substr(sha256(text), 1, 24), 'title:' || source || ':' || {_TITLE_KEY}]) AS key FROM ({TITLED})"
+_COMPONENTS = f"""k AS ({_KEYS}), l AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM k a JOIN k b USING (key)),
+  r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+  c AS (SELECT node AS doc_id, min(root) AS component FROM r GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT doc_id, component FROM c")
+def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _document_keys(spark, sf_dir).select("doc_id", "key")
+    return identity.components(keys, "doc_id").select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
+
+
+@query(f"""
+WITH RECURSIVE {_COMPONENTS}, d AS (SELECT * FROM ({TITLED}) JOIN c USING (doc_id))
+SELECT component, count(*) AS records, min(doc_id) AS first_id, arg_max(lang, doc_id) AS last_lang,
+  arg_max(title, length(title) * 1000000000 + doc_id) AS title, arg_max(doc_id, n_chars * 1000000000 - doc_id) AS longest_id,
+  array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs FROM d GROUP BY component
+""")
+def survivorship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, last, longest and united fields of each component."""
+    roots = identity_components(spark, sf_dir)
+    d = titled(table(spark, sf_dir, "documents")).join(roots, "doc_id")
+    o = F.col("doc_id")
+    return d.groupBy("component").agg(
+        F.count("*").alias("records"), F.min("doc_id").alias("first_id"), F.max_by("lang", o).alias("last_lang"),
+        F.max_by("title", F.struct(F.length("title"), o)).alias("title"), F.max_by("doc_id", F.struct("n_chars", -o)).alias("longest_id"),
+        F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"),
+    )
+
+
+@query("""
+SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value,
+  row_number() OVER (PARTITION BY user_id ORDER BY min(event_id))::INTEGER AS position FROM events GROUP BY user_id, event_type
+""")
+def keep_last_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last event of each type, at the place of the type's first."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
+    kept = e.agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"), F.min("event_id").alias("first"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("first"))
+    return kept.withColumn("position", place).drop("first")
+
+
+_QUEUE = """
+q AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS round FROM orders),
+g AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS grp FROM q WHERE round = 1)"""
+
+
+@query(f"WITH {_QUEUE} SELECT o_orderkey, round::INTEGER AS round, grp::INTEGER AS group_order FROM q JOIN g USING (o_orderpriority)")
+def fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    ranked = queues.fair_rounds(o, "o_orderpriority", [F.col("o_totalprice").desc()], "o_orderkey")
+    return ranked.select("o_orderkey", "round", F.col("groupOrder").alias("group_order"))
+
+
+@query(f"""
+WITH {_QUEUE} SELECT o_orderkey, rank FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey % 5 = 0) DESC, round, grp)::INTEGER AS rank FROM q JOIN g USING (o_orderpriority)) WHERE rank <= 100
+""")
+def resume_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    ranked = queues.fair_rounds(o, "o_orderpriority", [F.col("o_totalprice").desc()], "o_orderkey")
+    first = queues.resume_first(ranked, F.col("o_orderkey") % 5 == 0).limit(100)  # the head of the queue is the feature
+    order = Window.orderBy((F.col("o_orderkey") % 5 == 0).cast("int").desc(), "round", "groupOrder")
+    return first.select("o_orderkey", F.row_number().over(order).alias("rank"))
+
+
+@query("""
+WITH a AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id),
+q AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus <> 'F') DESC, (last IS NOT NULL), coalesce(strftime(last, '%Y-%m-%d %H:%M:%S'), ''), o_orderdate DESC, o_orderkey)::INTEGER AS rank
+  FROM orders LEFT JOIN a ON user_id = o_custkey)
+SELECT o_orderkey, rank, (SELECT count(*) FROM orders) - 100 AS remaining FROM q WHERE rank <= 100
+""")
+def priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant, never attempted, oldest attempt, newest record; head and rest."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    o = table(spark, sf_dir, "orders").join(last, F.col("user_id") == F.col("o_custkey"), "left")
+    order = [
+        (F.col("o_orderstatus") != "F").cast("int").desc(), F.col("last").isNotNull().cast("int"),
+        F.coalesce(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.col("o_orderdate").desc(), F.col("o_orderkey"),
+    ]
+    first, remaining = queues.head(o.orderBy(*order), 100)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked.select("o_orderkey", "rank", F.lit(remaining).cast("long").alias("remaining"))
+
+
+@query("""
+WITH s AS (SELECT user_id, count_if(ts < TIMESTAMP '2024-01-15') AS before, count_if(ts < TIMESTAMP '2024-01-15' AND event_type = 'purchase') AS had,
+  count_if(event_type = 'purchase') AS now FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN before = 0 THEN CASE WHEN user_id % 7 = 0 THEN 'backfill' WHEN now > 0 THEN 'issue' ELSE 'online' END
+  WHEN now > 0 AND had = 0 THEN 'issue' END AS kind FROM s
+""")
+def lifecycle_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    bought = F.col("event_type") == "purchase"
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(early).alias("before"), F.count_if(early & bought).alias("had"), F.count_if(bought).alias("now")
+    )
+    kind = lifecycle.notice_kind(F.col("before") > 0, F.col("user_id") % 7 == 0, F.lit(True), F.col("now") > 0, F.col("had") > 0, F.lit(False))
+    return s.select("user_id", kind.alias("kind"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS at FROM documents)
+SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY at)) AS text_sha256 FROM w WHERE at < 500 GROUP BY doc_id
+""")
+def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inverted index of each text, and the text rebuilt from it (positions
+    below the cap of 500, which is the operator's feature)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text.trimmed(F.col("text")), "(?U)\\s+")).alias("at", "word"))
+    entries = docs.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
+    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
+    return enrichment.rebuild_text(index, "doc_id", "index", cap=500).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, substr(sha256(lower(text)), 1, 24) AS id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", identifiers.paper_id(F.col("text")).alias("id"), identifiers.blob_hash(F.col("text")).alias("blob"))
+
+
+@query(f"SELECT doc_id, {_TITLE_KEY} AS letters, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS folded FROM ({TITLED})")
+def title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = titled(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", text.title_letters(F.col("title")).alias("letters"), text.title_key(F.col("title")).alias("folded"))
+
+
+@query(rf"""
+SELECT doc_id, sha256('[' || concat_ws(',', to_json(trim(regexp_replace(title, '\s+', ' ', 'g'))), to_json(trim(regexp_replace(text, '\s+', ' ', 'g'))), '""',
+  to_json(list_sort([lang, source])), '"journal-article"') || ']') AS mark FROM ({TITLED})
+""")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = titled(table(spark, sf_dir, "documents"))
+    mark = classify.fingerprint(F.col("title"), F.col("text"), F.lit(None).cast("string"), F.array("lang", "source"), F.lit("journal-article"), normalise=False)
+    return d.select("doc_id", mark.alias("mark"))
+
+
+_STRIPPED = r"""regexp_replace(split_part(split_part(url, '#', 1), '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '$', '')"""
+_KEPT = r"""SELECT page_id, url, [p FOR p IN string_split(regexp_extract(url, '\?([^#]*)', 1), '&') IF p <> '' AND NOT regexp_matches(p, '(?i)^(?:utm_[^=]*|dgcid|ref)(?:=|$)')] AS kept FROM pages"""
+
+
+@query(f"SELECT page_id, {_STRIPPED} AS stripped, regexp_replace({_STRIPPED}, '/$', '') AS same_key FROM ({_KEPT})")
+def tracking_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", identifiers.tracking_stripped(u).alias("stripped"), identifiers.same_url_key(u).alias("same_key"))
+
+
+_ALLOWED = f"^(?:{'|'.join(identifiers.PUBLIC_PARAMETERS)})=[-\\w./:]+$"
+
+
+@query(rf"""
+SELECT page_id, CASE WHEN ok THEN stripped END AS public_url, CASE WHEN NOT ok THEN 'rejected' WHEN stripped = url THEN 'allowed' ELSE 'rewritten' END AS decision FROM (
+  SELECT page_id, url, {_STRIPPED} AS stripped, len([p FOR p IN kept IF NOT regexp_matches(p, '(?i){_ALLOWED}')]) = 0
+    AND regexp_matches(url, '^https?://[^/@:?#]+\.[^/@:?#]+(?:[/?#]|$)') AS ok FROM ({_KEPT}))
+""")
+def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = identifiers.public_url(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", safe.alias("public_url"))
+    decision = F.when(F.col("public_url").isNull(), "rejected").when(F.col("public_url") == F.col("url"), "allowed").otherwise("rewritten")
+    return pages.select("page_id", "public_url", decision.alias("decision"))
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, text, regexp_replace(text, '(?i)\b((?:api[-_ ]?key|access[-_ ]?token|token|secret|password|passwd)\s*[:=]\s*["'']?)[^\s"''&,;]+', '\1[REDACTED]', 'g') AS t FROM documents)
+SELECT doc_id, t <> text AS changed, sha256(t) AS text_sha256 FROM r
+""")
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", text.redact_secrets(F.col("text")).alias("t"))
+    return d.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query(f"""
+SELECT doc_id, title, source, CASE WHEN quality = 1 THEN sha256(text) END AS text_sha256,
+  CASE WHEN quality = 1 THEN 'licensed' WHEN text <> '' THEN 'withheld' ELSE 'unavailable' END AS state
+FROM ({TITLED}) LEFT JOIN labels USING (doc_id) WHERE lang <> 'es'
+""")
+def public_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named columns only, text only where it is permitted."""
+    d = titled(table(spark, sf_dir, "documents")).where("lang <> 'es'").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    ok = F.coalesce(F.col("quality") == 1, F.lit(False))
+    state = F.when(ok, "licensed").when(F.col("text") != "", "withheld").otherwise("unavailable")
+    return d.select("doc_id", "title", "source", F.when(ok, F.sha2("text", 256)).alias("text_sha256"), state.alias("state"))
+
+
+@query(rf"""
+SELECT 'd' || doc_id AS id, rule FROM (
+  SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '(?i)\btoken\s*=') THEN 'secret' END, CASE WHEN n_chars < 300 THEN 'short' END]) AS rule FROM documents) WHERE rule IS NOT NULL
+UNION ALL SELECT 'p' || page_id, 'unsafe url' FROM ({_KEPT}) WHERE len([p FOR p IN kept IF NOT regexp_matches(p, '(?i){_ALLOWED}')]) > 0
+""")
+def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.array(F.when(F.col("text").rlike("(?i)\\btoken\\s*="), "secret"), F.when(F.col("n_chars") < 300, "short"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    pages = table(spark, sf_dir, "pages").where(identifiers.public_url(F.col("url")).isNull())
+    return docs.unionByName(pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.lit("unsafe url").alias("rule")))
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS event_id FROM events e WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY
+  AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-16' AND s.event_id % 3 = 0 AND s.user_id = e.user_id AND s.event_type = e.event_type)
+GROUP BY user_id, event_type
+""")
+def incremental_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read again from a week before the cursor, without those seen."""
+    from quillspark.streaming.incremental import incremental
+
+    e = table(spark, sf_dir, "events")
+    seen = e.where((F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")) & (F.col("event_id") % 3 == 0)).select("user_id", "event_type").distinct()
+    first = e.where(F.col("ts") >= F.lit("2024-01-13").cast("timestamp_ntz")).groupBy("user_id", "event_type").agg(F.min_by("ts", "event_id").alias("ts"), F.min("event_id").alias("event_id"))
+    cursor = F.lit("2024-01-20").cast("timestamp_ntz")
+    return incremental(first, "ts", cursor, ["user_id", "event_type"], seen).select("user_id", "event_type", "event_id")
