@@ -59,7 +59,7 @@ def _end(v: str) -> str:
 
 NAME, KEYWORDS, SOURCES = "the", "that with", ("src0", "src3", "src5", "src7")
 
-SEARCHED = f"""SELECT d.doc_id, d.title, d.source, l.quality FROM ({TITLED}) d LEFT JOIN labels l USING (doc_id)
+SEARCHED = f"""SELECT d.doc_id, d.title, d.source, coalesce(l.quality, -1) AS quality FROM ({TITLED}) d LEFT JOIN labels l USING (doc_id)
   WHERE contains(lower(title), '{NAME}') AND contains(lower(text), 'that') AND contains(lower(text), 'with')
     AND source IN {SOURCES} AND lang IN ('en', 'de')"""
 
@@ -70,12 +70,12 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
         search.name_matches(NAME, F.col("title"), F.array().cast("array<string>"))
         & search.keywords_match(KEYWORDS, F.col("title"), F.col("text"))
     )
-    return found.select("doc_id", "title", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return found.select("doc_id", "title", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").fillna(-1, ["quality"])
 
 
 @query(f"""
 WITH m AS ({SEARCHED}), t AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS page FROM m),
-r AS (SELECT *, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS rank FROM m)
+r AS (SELECT *, row_number() OVER (ORDER BY quality DESC, doc_id) AS rank FROM m)
 SELECT doc_id, title, source, quality, rank::BIGINT AS rank, page FROM r, t WHERE rank > (page - 1) * 25 AND rank <= page * 25
 """)
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _searched(spark, sf_dir)
     page, _ = search.clamp(found.count(), 999)
     at = (page - 1) * search.PAGE_SIZE
-    shown = found.orderBy(F.col("quality").desc_nulls_last(), "doc_id").offset(at).limit(search.PAGE_SIZE)
-    order = Window.orderBy(F.col("quality").desc_nulls_last(), "doc_id")  # one page of rows
+    shown = found.orderBy(F.col("quality").desc(), "doc_id").offset(at).limit(search.PAGE_SIZE)
+    order = Window.orderBy(F.col("quality").desc(), "doc_id")  # one page of rows
     return shown.withColumn("rank", (F.row_number().over(order) + at).cast("long")).withColumn("page", F.lit(page).cast("long"))
 
 
@@ -406,13 +406,13 @@ def bool_and_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT doc_id, sha256(text) AS k FROM documents), r AS (SELECT k, count(*) AS n, min(l.quality) AS q FROM h JOIN labels l USING (doc_id) GROUP BY k)
-SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN q END AS quality
+SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN q ELSE -1 END AS quality
 FROM h LEFT JOIN r USING (k)
 """)
 def doi_lookup_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
     results = h.join(table(spark, sf_dir, "labels"), "doc_id").select("k", "quality")
-    return enrichment.unique_lookup(h, results, "k").select("doc_id", "state", F.col("result.quality").alias("quality"))
+    return enrichment.unique_lookup(h, results, "k").select("doc_id", "state", F.coalesce("result.quality", F.lit(-1)).alias("quality"))
 
 
 _KEYS = f"SELECT doc_id, unnest(['text:' || substr(sha256(text), 1, 24), 'title:' || source || ':' || {_TITLE_KEY}]) AS key FROM ({TITLED})"
@@ -517,8 +517,8 @@ def lifecycle_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS at FROM documents)
-SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY at)) AS text_sha256 FROM w WHERE at < 500 GROUP BY doc_id
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos FROM documents)
+SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS text_sha256 FROM w WHERE pos < 500 GROUP BY doc_id
 """)
 def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inverted index of each text, and the text rebuilt from it (positions
