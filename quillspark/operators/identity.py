@@ -87,9 +87,9 @@ def _provenance(items: Column) -> Column:
         return F.concat(x["source"], F.lit(":"), x["url"])
 
     def pick(same: Column) -> Column:
-        fresh = F.array_max(F.transform(same, lambda x, i: F.struct(F.coalesce(F.try_to_timestamp(x["fetchedAt"]), F.lit(0).cast("timestamp")), i)))
+        fresh = F.array_max(F.transform(same, lambda x, i: F.struct(F.coalesce(F.try_to_timestamp(x["fetchedAt"]), F.timestamp_seconds(F.lit(0))).alias("at"), i.alias("i"))))
         registry = F.get(same, F.lit(0))["source"] == "crossref"
-        return F.when(registry, F.get(same, fresh["col2"])).otherwise(F.try_element_at(same, F.lit(-1)))
+        return F.when(registry, F.get(same, fresh["i"])).otherwise(F.try_element_at(same, F.lit(-1)))
 
     keys = F.array_distinct(F.transform(items, key))
     return F.transform(keys, lambda k: pick(F.filter(items, lambda x: key(x) == k)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.model import HEALTH_DDL, JOURNAL_DDL, PAPER_DDL
+from quillspark.operators.identity import _cut as cut
 
 
 
@@ -99,7 +100,9 @@ class SnapshotStore:
                 library = read_library(self.spark, self.path)
                 if not problems(library).isEmpty():
                     raise InvalidLibrary("the snapshot breaks its own rules")
-                self._library, self._mark = library, mark
+                # the version is kept even when its file is replaced by a broken one
+                kept = [cut(d) for d in (library.header, library.papers, library.journals, library.sources)]
+                self._library, self._mark = Library(*kept), mark
         except Exception:
             if self._library is None:
                 raise
