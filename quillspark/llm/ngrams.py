@@ -245,6 +245,13 @@ def _frequent_ok(nx: Column, rx: Column, ny: Column, ry: Column) -> Column:
     return DENOMINATOR * F.least(fx, fy) >= NUMERATOR * (rx + ry + F.greatest(fx, fy))
 
 
+def _place_ok(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """Bound for sets whose first common shingle has these places: every true
+    link passes at its first common key."""
+    total = NUMERATOR + DENOMINATOR
+    return total * F.least(nx - px, ny - py) >= NUMERATOR * (nx + ny)
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -258,16 +265,18 @@ def link(df: DataFrame, text: str = "text") -> DataFrame:
     small = docs.where("n > 0").select("uid", "n", "r", "singles", "pairs")
     nodes = small.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
-    member = F.struct("r", "uid", "n")
-    singles = nodes.select(F.explode("singles").alias("key"), member.alias("m"))
+    # pos: the key's place in the set's order
+    singles = nodes.select("r", "uid", "n", F.posexplode("singles").alias("pos", "key"))
+    singles = singles.select("key", F.struct("r", "uid", "n", "pos").alias("m"))
     # a rare shingle's counter is below the threshold, so lists are bounded by it
     lists = singles.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
-    lists = materialize(lists.select("ms").distinct(), "single-keys")
+    lists = materialize(lists, "single-keys")
     pairs = materialize(nodes.where(F.size("pairs") > 0).select(F.explode("pairs").alias("key"), "r", "uid", "n"), "pair-keys")
     centres = pairs.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("r", "uid", "n")).alias("o")).where("c > 1")
 
     star = lists.select(F.col("ms")[0].alias("o"), F.explode(F.slice("ms", F.lit(2), F.size("ms") - 1)).alias("m"))
-    star = star.where(_size_ok(F.col("o.n"), F.col("m.n"))).select(*_ordered(F.col("o.uid"), F.col("m.uid")))
+    near = _size_ok(F.col("o.n"), F.col("m.n")) & _place_ok(F.col("o.n"), F.col("o.pos"), F.col("m.n"), F.col("m.pos"))
+    star = star.where(near).select(*_ordered(F.col("o.uid"), F.col("m.uid")))
     star2 = pairs.join(centres, "key").where((F.col("uid") != F.col("o.uid")) & _size_ok(F.col("n"), F.col("o.n")))
     star2 = star2.where(_frequent_ok(F.col("n"), F.col("r"), F.col("o.n"), F.col("o.r")))
     star2 = star2.select(*_ordered(F.col("uid"), F.col("o.uid")))
@@ -288,7 +297,8 @@ def link(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _between(lists: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a key and may link."""
-    flat = lists.select(F.monotonically_increasing_id().alias("key"), F.explode("ms").alias("m")).select("key", "m.*")
+    flat = lists.select("key", F.explode("ms").alias("m")).select("key", "m.*")
+    pairs = pairs.withColumn("pos", F.lit(0))
     parts = []
     for rows, often in ((flat, False), (pairs, True)):
         named = rows.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left")
@@ -300,11 +310,13 @@ def _between(lists: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
             named = named.join(least, "key").where(DENOMINATOR * f >= NUMERATOR * (F.col("r") + F.col("least") + f)).drop("least")
         mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         left = materialize(named.join(mixed, "key", "left_semi"), "mixed-keys")
-        x = left.select("key", *[F.col(c).alias(f"{c}1") for c in ("uid", "n", "r", "root")])
-        y = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "r", "root")])
+        x = left.select("key", *[F.col(c).alias(f"{c}1") for c in ("uid", "n", "r", "root", "pos")])
+        y = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("uid", "n", "r", "root", "pos")])
         may = (F.col("root1") < F.col("root2")) & _size_ok(F.col("n1"), F.col("n2"))
         if often:
             may = may & _frequent_ok(F.col("n1"), F.col("r1"), F.col("n2"), F.col("r2"))
+        else:
+            may = may & _place_ok(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"))
         both = x.join(y, (x["key"] == y["key"]) & may)
         parts.append(both.select(*_ordered(F.col("uid1"), F.col("uid2"))))
     return parts[0].unionByName(parts[1]).distinct()
