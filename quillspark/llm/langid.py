@@ -98,7 +98,7 @@ def fit(df: DataFrame, declared: str, text: str = "text", sample_rows: int = SAM
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(have[at])], names=["lang", "bucket", "n"])
 
     counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # buckets x languages at most
+    got = counted.toArrow().to_pandas()  # buckets x languages at most
     languages = sorted(got["lang"].unique().tolist()) or ["und"]
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     if len(got):
