@@ -43,9 +43,11 @@ from quillspark.llm.common import beside_text, materialize, shuffle_parts
 
 DEPTH, END = 5, 0xFF
 #: Grams that travel to the tasks at once; words of the frequent-word table.
-SLICE_GRAMS, HEAD_WORDS = 4_000_000, 400_000
+SLICE_GRAMS, HEAD_WORDS = 4_000_000, 300_000
 #: Bytes worked on at once; distinct grams or words a task holds before it sends.
-CHUNK, HELD = 1 << 20, 2_000_000
+CHUNK, HELD = 1 << 20, 400_000
+#: Rows of a batch worked on at once.
+ROWS = 500
 
 
 def normal(text: str | None) -> bytes:
@@ -70,6 +72,12 @@ def gram_keys(texts: list[bytes]) -> np.ndarray:
     return key[real[DEPTH:]]
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -162,7 +170,7 @@ def _count(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in _cut(batches):
             texts = [normal(t) for t in batch.column("text").to_pylist()]
             held_out = batch.column("held_out").to_pylist()
             for train in (True, False):
@@ -179,9 +187,9 @@ def _count(df: DataFrame) -> DataFrame:
                         keys, counts = _distinct(gram_keys(group))
                         grams.append((keys, counts if train else np.zeros_like(counts)))
                         group, size = [], 0
-            if sum(len(g[0]) for g in grams) > HELD:
+            if sum(len(g[0]) for g in grams) > 4 * HELD:
                 grams = [_sum_sorted(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))]
-            if len(words) > HELD or grams and len(grams[0][0]) > HELD:
+            if len(words) > HELD or grams and len(grams[0][0]) > 2 * HELD:
                 yield from rows(words, grams)
                 words, grams = Counter(), []
         yield from rows(words, grams)
@@ -210,7 +218,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
     below = near.mapInPandas(summary, "b int, v int, n0 double, n1 double, w double")
     # at most 256 x 255 rows
-    first = below.groupBy("b", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas()
+    first = below.groupBy("b", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toArrow().to_pandas()
     p1 = np.full((256, 256, 2), 0.5)
     root = np.full((256, 2), 0.5)
     if len(first):
@@ -304,9 +312,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
         if room < 0:
             break
         least = 1 << r["k"]
-    head = words.where(F.col("c") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
+    kept = F.col("c") >= least if least is not None else F.lit(False)
     sc = spark.sparkContext
-    head_sent = sc.broadcast((head["word"].tolist(), head["c"].astype("int64").to_numpy() if len(head) else np.zeros(0, np.int64)))
+    head_sent = sc.broadcast(words.where(kept).toArrow())
     whole = least is not None and least <= 1  # the table holds every training word
     norm = math.log10(train_tokens + 0.1 * (vocabulary + 1))
 
@@ -319,7 +327,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     def slice_of(i: int):
         part = scores if slices == 1 else scores.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i)
-        got = part.toPandas()
+        got = part.toArrow()
         return sc.broadcast((got["gram"].to_numpy().view(np.uint64), got["log2p"].to_numpy()))
 
     def bits_of(table: GramTable, texts: list[bytes]) -> list[float]:
@@ -340,13 +348,14 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tables():
-            listed, counts = head_sent.value
-            return dict(zip(listed, np.log10(counts + 0.1).tolist(), strict=True)), GramTable(*sent.value)
+            head = head_sent.value
+            logs = np.log10(head["c"].to_numpy() + 0.1).tolist()
+            return dict(zip(head["word"].to_pylist(), logs, strict=True)), GramTable(*sent.value)
 
         known, table = _once(tag, tables)
         unseen = math.log10(0.1)
         tail_arrow = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-        for batch in batches:
+        for batch in _cut(batches):
             texts = [normal(t) for t in batch.column("text").to_pylist()]
             n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
