@@ -8,17 +8,21 @@ costs one dictionary look-up per chunk.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark owns the cores
 
 #: Distinct chunks kept by a worker before the cache starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 900_000
 
 #: U+001C..U+001F end a word for str.split() but are not White_Space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and composition are plain, then punctuation.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: The Unicode property White_Space, which the vocabularies' files split on.
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -31,21 +35,27 @@ def white_space_chunks(text: str | None) -> list[str]:
     return text.split()
 
 
-class ChunkCache(dict):
+class ChunkCache:
     """chunk -> packed ids, filled for whole batches and bounded."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_CHUNKS):
-        super().__init__()
+        # a plain dict: set.difference looks its own members up in one
+        self.held: dict[str, bytes] = {}
         self._encode, self._limit = encode, limit
 
     def fill(self, chunked: list[list[str]]) -> None:
         """Afterwards every chunk of the batch is held."""
-        new = set().union(*chunked).difference(self)
-        if len(self) + len(new) > self._limit and self:
-            self.clear()
+        new = set().union(*chunked).difference(self.held)
+        if len(self.held) + len(new) > self._limit and self.held:
+            self.held.clear()
             new = set().union(*chunked)
         todo = list(new)
-        self.update(zip(todo, self._encode(todo), strict=True))
+        self.held.update(zip(todo, self._encode(todo), strict=True))
+
+    def join(self, chunked: list[list[str]]) -> list[bytes]:
+        self.fill(chunked)
+        get = self.held.__getitem__
+        return [b"".join(map(get, c)) for c in chunked]
 
 
 class WordTokenizer:
@@ -55,20 +65,32 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(file.decode())
+        self._parts = ChunkCache(self._library)
         self._cache = ChunkCache(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        """Letters with punctuation behind them are two pre-tokens of their own,
+        and case is dropped: such chunks are looked up by their parts."""
+        parts = []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c)
+            parts.append([c] if not m else [m[1].lower(), m[2]] if m[2] else [m[1].lower()])
+        return self._parts.join(parts)
+
+    def _library(self, chunks: list[str]) -> list[bytes]:
+        """Normalising and splitting leave lower-case ASCII letters as they are:
+        such chunks go to the library's model alone, the others all the way."""
+        plain = [c.isascii() and c.isalpha() and c.islower() for c in chunks]
+        rest = iter(self._tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        model = self._tokenizer.model.tokenize
+        ids = ([t.id for t in model(c)] if p else next(rest).ids for c, p in zip(chunks, plain, strict=True))
+        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null: none."""
         out: list[bytes] = []
         for group in groups(texts):
-            chunked = [white_space_chunks(t) for t in group]
-            self._cache.fill(chunked)
-            get = self._cache.__getitem__
-            out += [b"".join(map(get, c)) for c in chunked]
+            out += self._cache.join([white_space_chunks(t) for t in group])
         return out
 
     def whole(self, texts: Iterable[str]) -> list[list[int]]:
@@ -97,6 +119,8 @@ def in_worker(kind: type, file: bytes):
     """One tokenizer of a kind and file for each Python worker process."""
     key = kind, hash(file)
     if key not in _MADE:
+        # the caches hold millions of objects without cycles: look at them rarely
+        gc.set_threshold(200_000, 50, 1000)
         _MADE.clear()
         _MADE[key] = kind(file)
     return _MADE[key]
