@@ -43,11 +43,11 @@ from quillspark.llm.common import beside_text, materialize, shuffle_parts
 
 DEPTH, END = 5, 0xFF
 #: Grams that travel to the tasks at once; words of the frequent-word table.
-SLICE_GRAMS, HEAD_WORDS = 4_000_000, 300_000
+SLICE_GRAMS, HEAD_WORDS = 4_000_000, 200_000
 #: Bytes worked on at once; distinct grams or words a task holds before it sends.
-CHUNK, HELD = 1 << 20, 400_000
+CHUNK, HELD = 1 << 20, 200_000
 #: Rows of a batch worked on at once.
-ROWS = 500
+ROWS = 250
 
 
 def normal(text: str | None) -> bytes:
