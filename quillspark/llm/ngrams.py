@@ -284,7 +284,8 @@ def link(df: DataFrame, text: str = "text") -> DataFrame:
     links = _verified(first, docs)
     roots = graph.components(links)
 
-    rest = _between(lists, pairs, roots).join(first, ["a", "b"], "left_anti")
+    # the star of a key of two members was all of it
+    rest = _between(lists.where(F.size("ms") > 2), pairs, roots).join(first, ["a", "b"], "left_anti")
     more = _verified(rest, docs)
     if not more.isEmpty():
         roots = graph.components(links.unionByName(more))
