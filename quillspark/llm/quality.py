@@ -192,5 +192,10 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with their own columns only."""
-    return judge(df, text).where("kept").select("row.*")
+    """The rows that no rule rejects, with their own columns only.
+
+    A filter that Spark pushed below the features would compute them inside
+    its condition, word by word; a column that is not deterministic holds it.
+    """
+    judged = judge(df, text).withColumn("held", F.monotonically_increasing_id())
+    return judged.where("kept and held >= 0").select("row.*")
