@@ -215,5 +215,7 @@ def identify(
 
 def keep_identified(df: DataFrame, declared: Column, host: Column, label: str, text: str = "text") -> DataFrame:
     """The caller's rows and columns whose language is identified."""
-    kept = identify(df, declared, host, label, text).where("accepted")
+    # the column that is not deterministic keeps the filter above the fusion
+    found = identify(df, declared, host, label, text).withColumn("held", F.monotonically_increasing_id())
+    kept = found.where("accepted and held >= 0")
     return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
