@@ -521,12 +521,26 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnes
 SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS text_sha256 FROM w WHERE pos < 500 GROUP BY doc_id
 """)
 def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inverted index of each text, and the text rebuilt from it (positions
-    below the cap of 500, which is the operator's feature)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text.trimmed(F.col("text")), "(?U)\\s+")).alias("at", "word"))
+    """An inverted index of each text, and the first 500 words rebuilt from it
+    (a check of a small cap; the operator's own cap is in the next query)."""
+    return enrichment.rebuild_text(_inverted_index(spark, sf_dir), "doc_id", "index", cap=500).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos FROM documents)
+SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS text_sha256 FROM w WHERE pos < 50000 GROUP BY doc_id
+""")
+def inverted_index_rebuild_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the operator's own cap of 50,000 positions."""
+    return enrichment.rebuild_text(_inverted_index(spark, sf_dir), "doc_id", "index").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the texts are dealt out once; all groupings below then stay where they are
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = docs.select("doc_id", F.posexplode(F.split(text.trimmed(F.col("text")), "(?U)\\s+")).alias("at", "word"))
     entries = docs.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
-    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
-    return enrichment.rebuild_text(index, "doc_id", "index", cap=500).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
 
 
 @query("SELECT doc_id, substr(sha256(lower(text)), 1, 24) AS id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob FROM documents")
