@@ -2,34 +2,36 @@
 
 Base spans (email, ip, card, phone) are found in every whole text.  Their values
 are the protected entities.  Terms that stand within a few words of an entity
-are its possible disclosers; with n documents (or, for entities, distinct
-contexts, so that copies of one passage count once),
+are its possible disclosers; with n distinct texts (so that exact copies count
+once, in every count alike),
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t))),   IC(c) = -log2 p(c),
 
-and t discloses c when PMI(c; t) >= alpha * IC(c) with enough joint contexts.
-In documents that hold c, its disclosing terms become spans of kind ``term``;
-``sanitize`` replaces base spans by their kind and terms by a general class.
+and t discloses c when PMI(c; t) >= alpha * IC(c) and they meet in MIN_DOCUMENTS
+distinct texts.  In documents that hold c, its disclosing terms become spans of
+kind ``term``; ``sanitize`` replaces base spans by their kind and terms by a
+general class.
 
-The corpus gives three aggregates: entity-term contexts (at most a window's
-terms for each entity occurrence), entity contexts, and document counts of the
-candidate terms.  Candidates and disclosing pairs travel to the tasks in slices
-of bounded size, one pass for each slice, so nothing is dropped at any size.
+The corpus gives four aggregates: texts of each entity, candidate terms beside
+the entities with support, texts of each candidate, and texts of each pair whose
+term is rare enough to disclose.  Entities, terms, pairs and the digests of texts
+with copies travel to the tasks in slices of bounded size, one pass for each
+slice, so nothing is dropped at any size.
 
 Defined cases: null text is empty and has no spans (it stays null when
-sanitised); repeated rows count as documents but share their contexts; an empty
-table gives no rows; the caller's columns stay together in ``row``.
+sanitised); repeated texts count once and are all marked; an empty table
+gives no rows; the caller's columns stay together in ``row``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +41,14 @@ KINDS = ("email", "ip", "card", "phone", "term")
 
 #: Words on each side of an entity whose terms are its possible disclosers.
 WINDOW_WORDS = 8
-#: Distinct contexts in which entity and term must meet.
-MIN_CONTEXTS = 3
+#: Support rule: distinct texts in which entity and term must meet.
+MIN_DOCUMENTS = 3
 #: Share of an entity's information content that a term may reveal.
 ALPHA = 0.9
 #: Terms or pairs that travel to the tasks at once.
 SLICE_ROWS = 500_000
+#: Keys that a task counts before it hands them on.
+HELD_KEYS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,69 +119,85 @@ def entity_of(text: str, span: Span) -> str:
     return f"{kind}:{_digits(value) if kind in ('card', 'phone') else value.lower()}"
 
 
+@lru_cache(1 << 16)
 def term_of(word: str) -> str:
     """A word's term: lower case without outer punctuation; '' if none."""
     t = _EDGE.sub("", word).lower()
     return t if len(t) >= 3 and not t.isdigit() else ""
 
 
-def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int]]:
-    """(entity, term, context) for the terms around each entity, and the same
-    with an empty term once for each occurrence."""
+def terms_in(text: str, spans: list[Span]) -> set[str]:
+    """The terms of the words that no span touches."""
+    if not spans:
+        return {term_of(w) for w in set(_WORD.findall(text))} - {""}
     covered = sorted((a, b) for _, a, b in spans)
+    words, at = set(), 0
+    for m in _WORD.finditer(text):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        if at == len(covered) or covered[at][0] >= m.end():
+            words.add(m.group())
+    return {term_of(w) for w in words} - {""}
+
+
+def disclosers(text: str, spans: list[Span]) -> Iterator[tuple[str, set[str]]]:
+    """Each entity occurrence with the terms of the words around it."""
+    covered = sorted((a, b) for _, a, b in spans)
+    inside = {w for x, y in covered for w in text[x:y].split()} if len(covered) < 50 else set()
     for span in spans:
         _, a, b = span
         before = text[max(0, a - 40 * WINDOW_WORDS) : a].split()[-WINDOW_WORDS:]
         after = text[b : b + 40 * WINDOW_WORDS].split()[:WINDOW_WORDS]
-        near = " ".join([*before[-3:], "|", *after[:3]]).lower()
-        context = int.from_bytes(hashlib.blake2b(near.encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
-        entity = entity_of(text, span)
-        yield entity, "", context
-        inside = {w for x, y in covered for w in text[x:y].split()} if len(covered) < 50 else set()
-        for t in {term_of(w) for w in before + after if w not in inside} - {""}:
-            yield entity, t, context
+        yield entity_of(text, span), {term_of(w) for w in before + after if w not in inside} - {""}
 
 
 def _each(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def cooccurrence(df: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term ('' for the entity itself), n: distinct contexts."""
+def texts_of(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """digest and text of each document; digest and number of those that have
+    copies; the number of distinct texts."""
+    docs = df.select(F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    counted = materialize(docs.groupBy("digest").agg(F.count("*").alias("n")), "pii-texts")
+    return docs, counted.where("n > 1"), counted.count()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: set[tuple[str, str, int]] = set()
-            for t in batch.column(0).to_pylist():
-                if t and (spans := base_spans(t)):
-                    rows.update(contexts(t, spans))
-            got = list(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.string()), pa.array([r[2] for r in got], pa.int64())],
-                names=["entity", "term", "context"],
-            )
 
-    found = _each(df.select(F.col(f"`{text}`").alias("text")), run, "entity string, term string, context long")
-    return found.distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
+def distinct_counts(docs: DataFrame, copies: DataFrame, keys_of: Callable[[str], set[tuple[str, ...]]], names: list[str]) -> DataFrame:
+    """n: distinct texts for each key of a text.  A text with k copies counts
+    1 / k in each, so no text moves; copies travel in slices of the digests."""
+    parts = max(1, -(-copies.count() // SLICE_ROWS))
+    schema = ", ".join([*(f"{x} string" for x in names), "w double"])
+    total: DataFrame | None = None
+    for i in range(parts):
+        here = F.pmod("digest", F.lit(parts)) == i
+        known = {d: n for d, n in copies.where(here).collect()}
+
+        def run(batches: Iterator[pa.RecordBatch], known: dict[int, int] = known) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[str, ...], float] = {}
 
+            def taken() -> pa.RecordBatch:
+                arrays = [pa.array([k[j] for k in sums], pa.string()) for j in range(len(names))]
+                out = pa.RecordBatch.from_arrays([*arrays, pa.array(list(sums.values()), pa.float64())], names=[*names, "w"])
+                sums.clear()
+                return out
 
-def term_documents(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """term, df: documents that hold each of these terms."""
-    wanted = frozenset(terms)
+            for batch in batches:
+                for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    w = 1 / known.get(d, 1)
+                    for key in keys_of(t):
+                        sums[key] = sums.get(key, 0.0) + w
+                    if len(sums) > HELD_KEYS:
+                        yield taken()
+            yield taken()
+
+        found = materialize(_each(docs.where(here), run, schema).groupBy(*names).agg(F.sum("w").alias("w")), "pii-counts")
+        total = found if total is None else total.unionByName(found)
+    return total.groupBy(*names).agg(F.round(F.sum("w")).cast("long").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    for w in {term_of(w) for w in set(t.split())} & wanted:
-                        counts[w] = counts.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
-        )
 
-    found = _each(df.select(F.col(f"`{text}`").alias("text")), run, "term string, n long")
-    return found.groupBy("term").agg(F.sum("n").alias("df"))
+def _entity_keys(text: str) -> set[tuple[str, ...]]:
+    return {(entity_of(text, s),) for s in base_spans(text)}
 
 
 def _slices(df: DataFrame, rows: int) -> Iterator[list]:
@@ -189,25 +209,69 @@ def _slices(df: DataFrame, rows: int) -> Iterator[list]:
         yield part.collect()
 
 
+def _united(parts: Iterator[DataFrame], schema: str, spark: SparkSession, tag: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for part in parts:
+        out = out.unionByName(materialize(part, tag))
+    return out
+
+
 def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     """entity, term: the term reveals the entity beyond the threshold."""
-    n_docs = df.count()
-    counts = materialize(cooccurrence(df, text), "pii-cooccurrence")
-    entities = counts.where("term = ''").select("entity", F.col("n").alias("nc"))
-    joint = counts.where((F.col("term") != "") & (F.col("n") >= MIN_CONTEXTS))
-    candidates = materialize(joint.select("term").distinct(), "pii-terms")
-    frequency: DataFrame | None = None
-    for part in _slices(candidates, SLICE_ROWS):
-        found = term_documents(df, [r[0] for r in part], text)
-        frequency = found if frequency is None else frequency.unionByName(found)
-    if frequency is None:
-        return entities.select("entity", F.lit("").alias("term")).limit(0)
+    spark = df.sparkSession
+    docs, copies, n_docs = texts_of(df, text)
+    supported = F.col("n") >= MIN_DOCUMENTS
+    entities = materialize(distinct_counts(docs, copies, _entity_keys, ["entity"]).where(supported), "pii-entities")
+
+    def bound(nc: float) -> float:
+        """A term of more texts cannot disclose an entity of nc, as n <= nc."""
+        return nc**ALPHA * n_docs ** (1 - ALPHA) * (1 + 1e-9)
+
+    def beside() -> Iterator[DataFrame]:
+        for part in _slices(entities, SLICE_ROWS):
+            held = frozenset(r[0] for r in part)
+
+            def keys(t: str) -> set[tuple[str, ...]]:
+                spans = base_spans(t)
+                return {(x,) for e, terms in disclosers(t, spans) if e in held for x in terms} if spans else set()
+
+            yield distinct_counts(docs, copies, keys, ["term"]).where(supported).select("term")
+
+    candidates = materialize(_united(beside(), "term string", spark, "pii-terms").distinct(), "pii-candidates")
+    most = bound(entities.agg(F.max("n")).first()[0] or 0)
+
+    def frequencies() -> Iterator[DataFrame]:
+        for part in _slices(candidates, SLICE_ROWS):
+            wanted = frozenset(r[0] for r in part)
+
+            def keys(t: str) -> set[tuple[str, ...]]:
+                return {(x,) for x in terms_in(t, base_spans(t)) & wanted}
+
+            yield distinct_counts(docs, copies, keys, ["term"]).where(F.col("n") <= most)
+
+    frequency = _united(frequencies(), "term string, n long", spark, "pii-frequency")
+
+    def joint() -> Iterator[DataFrame]:
+        for some in _slices(entities, SLICE_ROWS):
+            limits = {e: bound(n) for e, n in some}
+            for part in _slices(frequency, SLICE_ROWS):
+                rare = dict(map(tuple, part))
+
+                def keys(t: str) -> set[tuple[str, ...]]:
+                    spans = base_spans(t)
+                    if not spans:
+                        return set()
+                    return {(e, x) for e, terms in disclosers(t, spans) if e in limits for x in terms if rare.get(x, math.inf) <= limits[e]}
+
+                yield distinct_counts(docs, copies, keys, ["entity", "term"]).where(supported)
+
+    met = _united(joint(), "entity string, term string, n long", spark, "pii-joint")
     n = F.lit(float(max(n_docs, 1)))
     pmi = F.log2(F.col("n") * n / (F.col("nc") * F.col("df")))
     information = F.log2(n / F.col("nc"))
     return (
-        joint.join(frequency, "term")
-        .join(entities, "entity")
+        met.join(frequency.withColumnRenamed("n", "df"), "term")
+        .join(entities.withColumnRenamed("n", "nc"), "entity")
         .where((information > 0) & (pmi >= ALPHA * information))
         .select("entity", "term")
     )

@@ -377,6 +377,23 @@ def test_disclosing_terms(spark):
     assert pii.sanitize(df).columns == df.columns and pii.find(df.where("doc_id < 0")).count() == 0
 
 
+def test_templates_disclose_and_copies_change_nothing(spark):
+    """A name in one fixed signature counts in each text; copies of the texts
+    leave the terms as they are."""
+    rng = random.Random(6)
+    letters = [f"{sentence(rng, 20)}\nRegards Maria Vossberg maria@post.org Tel office Berlin\n{sentence(rng, 9)}" for _ in range(5)]
+    others = [f"{sentence(rng, 25)} Regards office Tel Berlin" for _ in range(300)]
+
+    def found(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {(r.entity, r.term) for r in pii.disclosing_pairs(df).collect()}
+
+    want = {("email:maria@post.org", "maria"), ("email:maria@post.org", "vossberg")}
+    assert found(letters + others) == want
+    assert found(letters * 40 + others * 2) == want
+    assert not found(letters[:1] * 40 + others)
+
+
 # -- n-gram Jaccard join
 
 
