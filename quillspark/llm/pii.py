@@ -1,19 +1,20 @@
 """Personal data: fixed patterns plus information-theoretic sanitisation.
 
 Base spans (email, ip, card, phone) are found in every whole text.  Their values
-are the protected entities.  Terms that stand within a few words of an entity
-are its possible disclosers; with n distinct texts (so that exact copies count
-once, in every count alike),
+are the protected entities.  All terms of a text that holds an entity, wherever
+they stand, are its possible disclosers; with n distinct texts (so that exact
+copies count once, in every count alike),
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t))),   IC(c) = -log2 p(c),
 
 and t discloses c when PMI(c; t) >= alpha * IC(c) and they meet in MIN_DOCUMENTS
 distinct texts.  In documents that hold c, its disclosing terms become spans of
-kind ``term``; ``sanitize`` replaces base spans by their kind and terms by a
-general class.
+kind ``term``, wherever they stand; a document without c keeps them, as it has
+nothing that they would disclose.  ``sanitize`` replaces base spans by their kind
+and terms by a general class.
 
-The corpus gives four aggregates: texts of each entity, candidate terms beside
-the entities with support, texts of each candidate, and texts of each pair whose
+The corpus gives four aggregates: texts of each entity, candidate terms in
+the texts of entities with support, texts of each candidate, and texts of each pair whose
 term is rare enough to disclose.  Entities, terms, pairs and the digests of texts
 with copies travel to the tasks in slices of bounded size, one pass for each
 slice, so nothing is dropped at any size.
@@ -25,7 +26,6 @@ gives no rows; the caller's columns stay together in ``row``.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,8 +39,6 @@ from quillspark.llm.common import beside_text, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
-#: Words on each side of an entity whose terms are its possible disclosers.
-WINDOW_WORDS = 8
 #: Support rule: distinct texts in which entity and term must meet.
 MIN_DOCUMENTS = 3
 #: Share of an entity's information content that a term may reveal.
@@ -140,17 +138,6 @@ def terms_in(text: str, spans: list[Span]) -> set[str]:
     return {term_of(w) for w in words} - {""}
 
 
-def disclosers(text: str, spans: list[Span]) -> Iterator[tuple[str, set[str]]]:
-    """Each entity occurrence with the terms of the words around it."""
-    covered = sorted((a, b) for _, a, b in spans)
-    inside = {w for x, y in covered for w in text[x:y].split()} if len(covered) < 50 else set()
-    for span in spans:
-        _, a, b = span
-        before = text[max(0, a - 40 * WINDOW_WORDS) : a].split()[-WINDOW_WORDS:]
-        after = text[b : b + 40 * WINDOW_WORDS].split()[:WINDOW_WORDS]
-        yield entity_of(text, span), {term_of(w) for w in before + after if w not in inside} - {""}
-
-
 def _each(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
@@ -233,7 +220,9 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
 
             def keys(t: str) -> set[tuple[str, ...]]:
                 spans = base_spans(t)
-                return {(x,) for e, terms in disclosers(t, spans) if e in held for x in terms} if spans else set()
+                if not any(entity_of(t, s) in held for s in spans):
+                    return set()
+                return {(x,) for x in terms_in(t, spans)}
 
             yield distinct_counts(docs, copies, keys, ["term"]).where(supported).select("term")
 
@@ -259,9 +248,9 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
 
                 def keys(t: str) -> set[tuple[str, ...]]:
                     spans = base_spans(t)
-                    if not spans:
-                        return set()
-                    return {(e, x) for e, terms in disclosers(t, spans) if e in limits for x in terms if rare.get(x, math.inf) <= limits[e]}
+                    here = {entity_of(t, s) for s in spans} & limits.keys()
+                    terms = {x: rare[x] for x in terms_in(t, spans) & rare.keys()} if here else {}
+                    return {(e, x) for e in here for x, df in terms.items() if df <= limits[e]}
 
                 yield distinct_counts(docs, copies, keys, ["entity", "term"]).where(supported)
 

@@ -394,6 +394,19 @@ def test_templates_disclose_and_copies_change_nothing(spark):
     assert not found(letters[:1] * 40 + others)
 
 
+def test_terms_far_from_the_entity(spark):
+    """The name in a letter's head meets the address in its last line, also past
+    long words; a text with the name alone keeps it."""
+    rng = random.Random(7)
+    letters = [f"Vossberg {sentence(rng, 60)} {'x' * 400} {sentence(rng, 60)} maria@post.org" for _ in range(6)]
+    others = [sentence(rng, 60) + " " + "x" * 400 for _ in range(300)]
+    rows = list(enumerate([*letters, *others, "Vossberg " + sentence(rng, 30)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
+    assert all(clean[i] == t.replace("Vossberg", "[NAME]").replace("maria@post.org", "[EMAIL]") for i, t in enumerate(letters))
+    assert all(clean[i] == t for i, t in rows[6:])
+
+
 # -- n-gram Jaccard join
 
 
