@@ -9,7 +9,8 @@ For each document the log posterior of a language adds up
   smoothed towards its suffix's prior, that towards the corpus's prior, each by a
   Dirichlet weight.
 
-The text model is fitted on a bounded sample of declared rows.  All other
+The text model is fitted on a bounded sample of each declared language's distinct
+texts, so a rare language is in it whatever the size of the table.  All other
 statistics (declaration reliability, suffix and host counts) are grouped
 aggregations over all documents, of the language the text alone suggests.  Hosts
 are joined to their prior; Spark broadcasts that table only while it is small
@@ -17,7 +18,7 @@ and otherwise splits hot hosts' rows (AQE skew join).
 
 ``accepted``: the fused posterior reaches ``MIN_POSTERIOR`` and the text looks
 like its language (average log likelihood within ``MAX_SURPRISE`` of the
-language's own).  Texts too short to judge count by the other evidence.
+language's own, if that language's sample is large enough to tell).  Texts too short to judge count by the other evidence.
 
 Defined cases: a null or empty text gives no text evidence; missing declaration,
 suffix or host give none either; with no evidence at all the language is the
@@ -39,8 +40,11 @@ from pyspark.sql import types as T
 from quillspark.llm.common import beside_text, materialize
 
 BUCKET_BITS = 16
-#: Bound of the labelled sample on which the text model is fitted.
+#: About so many distinct texts of each language fit the text model; all where a
+#: language has fewer.
 SAMPLE_ROWS = 4000
+#: A language of fewer sample trigrams has no sure mean, so nothing is judged by it.
+SURE_TRIGRAMS = 40_000
 #: Trigrams that count as independent evidence at most; Dirichlet weights.
 EVIDENCE_TRIGRAMS, HOST_WEIGHT, SUFFIX_WEIGHT, CONFUSION_WEIGHT = 60.0, 50.0, 20.0, 1.0
 #: A text of n trigrams may lie MAX_SURPRISE + SHORT_SURPRISE / sqrt(n) nats a
@@ -63,6 +67,8 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
+        #: trigrams of each language's sample
+        self.sizes = counts.sum(1)
         smooth = counts + 0.05
         self.logp = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy()
         share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
@@ -80,12 +86,16 @@ class TextModel:
 
 
 def fit(df: DataFrame, declared: str, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit on about ``sample_rows`` declared rows, drawn by row hash."""
-    total = df.count()
-    share = min(1.0, sample_rows / total) if total else 1.0
+    """Languages and their numbers come from all declared rows; of each language
+    about ``sample_rows`` distinct texts are drawn by hash, all if it has fewer."""
     rows = df.select(F.col(f"`{declared}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    rows = rows.where("lang is not null and text is not null")
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.where("lang is not null and text is not null").withColumn("digest", F.xxhash64("text", F.lit(17)))
+    distinct = rows.select("lang", "digest").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # languages
+    if not distinct:
+        return TextModel(["und"], np.zeros((1, 1 << BUCKET_BITS)))
+    below = F.create_map(*[F.lit(x) for r in distinct for x in (r["lang"], int(min(1.0, sample_rows / r["n"]) * (1 << 30)))])
+    rows = rows.where(F.pmod("digest", F.lit(1 << 30)) < F.element_at(below, F.col("lang")))
+    rows = rows.groupBy("lang", "digest").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -99,7 +109,7 @@ def fit(df: DataFrame, declared: str, text: str = "text", sample_rows: int = SAM
 
     counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pandas()  # buckets x languages at most
-    languages = sorted(got["lang"].unique().tolist()) or ["und"]
+    languages = sorted(r["lang"] for r in distinct)
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     if len(got):
         code = {x: i for i, x in enumerate(languages)}
@@ -151,6 +161,7 @@ def identify(
     k = len(languages)
     lit_languages = F.array(*[F.lit(x) for x in languages])
     own = F.array(*[F.lit(float(x)) for x in model.own])
+    sure = F.array(*[F.lit(bool(x >= SURE_TRIGRAMS)) for x in model.sizes])
 
     def best(values: Column) -> Column:
         return F.array_position(values, F.array_max(values)).cast("int")
@@ -209,7 +220,7 @@ def identify(
         F.get(lit_languages, F.col("at") - 1).alias("language"),
         (1 / weight).alias("posterior"),
         F.when(F.col("size") > 0, F.get(lit_languages, F.col("text_at") - 1)).alias("text_language"),
-        ((1 / weight >= MIN_POSTERIOR) & evidence & ((F.col("size") < SHORT) | like)).alias("accepted"),
+        ((1 / weight >= MIN_POSTERIOR) & evidence & ((F.col("size") < SHORT) | ~F.get(sure, F.col("at") - 1) | like)).alias("accepted"),
     )
 
 

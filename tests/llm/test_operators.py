@@ -192,6 +192,23 @@ def test_language(spark):
     assert langid.identify(df.where("doc_id < 0"), F.col("lang"), F.col("host"), label="lang").count() == 0
 
 
+def test_rare_language_and_copies(spark):
+    """Three Spanish texts among many English ones stay a language, whatever the
+    sample's bound; copies do not change the model."""
+    rng = random.Random(3)
+    es = "el perro grande corre por la casa verde".split()
+    rows = [(i, sentence(rng, 40), "en") for i in range(600)] + [(1000 + i, " ".join(rng.choice(es) for _ in range(40)), "es") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "lang", sample_rows=20)
+    assert model.languages == ["en", "es"]
+    assert model.sizes[1] == sum(len(langid.trigram_buckets(t)) for _, t, x in rows if x == "es") and 0 < model.sizes[0] < 100 * 300
+    more = spark.createDataFrame([*rows, *rows[-1:] * 50, *rows[:600] * 2], df.schema)
+    assert (langid.fit(more, "lang", sample_rows=20).logp == model.logp).all()
+    unseen = [(2000 + i, " ".join(rng.choice([*es, "nunca", "piedra", "siempre", "lluvia"]) for _ in range(40)), None) for i in range(20)]
+    got = langid.identify(spark.createDataFrame(unseen, df.schema), F.col("lang"), F.lit(None).cast("string"), label="lang", model=model)
+    assert all(r.language == "es" and r.accepted for r in got.collect())
+
+
 # -- sharding
 
 
