@@ -5,13 +5,19 @@
   recomputation with different row ids.
 * ``pack``/``unpack`` move a caller's row into one struct column, so operators
   can use their own column names whatever the input's columns are called.
+* ``in_task`` wraps a function over Arrow batches: it sees batches of bounded
+  size, and what its task held is given back to the machine when the task ends,
+  as Spark keeps the worker process for later tasks of other operators.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +68,45 @@ def beside_text(df: DataFrame, text: str, *extra: Column) -> DataFrame:
     return df.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"), *extra)
 
 
-def sum_by(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+#: Rows that a task turns into Python objects at once.
+TASK_ROWS = 1000
+
+#: Called at the end of each task: they empty the worker's caches.
+_RELEASES: list[Callable[[], None]] = []
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def at_task_end(release: Callable[[], None]) -> None:
+    _RELEASES.append(release)
+
+
+def give_back() -> None:
+    """Empty this process's caches and return free memory to the machine."""
+    for release in _RELEASES:
+        release()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def in_task(run: Callable[[Batches], Batches], rows: int = TASK_ROWS) -> Callable[[Batches], Batches]:
+    """``run`` over slices of ``rows`` rows; caches and free memory go back at
+    the task's end, also when it fails or is stopped."""
+
+    def cut(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(cut(batches))
+        finally:
+            give_back()
+
+    return whole
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import beside_text, materialize
+from quillspark.llm.common import beside_text, in_task, materialize
 
 BUCKET_BITS = 16
 #: About so many distinct texts of each language fit the text model; all where a
@@ -107,7 +107,7 @@ def fit(df: DataFrame, declared: str, text: str = "text", sample_rows: int = SAM
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(have[at])], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(in_task(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pandas()  # buckets x languages at most
     languages = sorted(r["lang"] for r in distinct)
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
@@ -147,7 +147,7 @@ def _with_text(df: DataFrame, model: TextModel, text: str, declared: Column, hos
             columns += [pa.array(sizes), pa.array(list(means), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return packed.mapInArrow(run, T.StructType(fields))
+    return packed.mapInArrow(in_task(run), T.StructType(fields))
 
 
 def identify(

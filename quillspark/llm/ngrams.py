@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import graph
-from quillspark.llm.common import beside_text, materialize, shuffle_parts
+from quillspark.llm.common import at_task_end, beside_text, in_task, materialize, shuffle_parts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Counters of the frequency sketch (bits), counters in a shuffled block.
@@ -71,6 +71,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+at_task_end(_HASHES.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -135,7 +136,7 @@ def frequent_slots(df: DataFrame, bits: int = SKETCH_BITS) -> bytes:
                 names=["block", "total", "sums"],
             )
 
-    partial = df.select("text").mapInArrow(count, "block int, counts binary")
+    partial = df.select("text").mapInArrow(in_task(count), "block int, counts binary")
     parts = min(size // BLOCK, shuffle_parts(df.sparkSession))
     summed = materialize(partial.repartition(parts, "block").mapInArrow(add, "block int, total long, sums binary"), "sketch")
     total = summed.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
@@ -177,25 +178,23 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(np.frombuffer(frequent_bits, dtype=np.uint8)).astype(bool)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                numbers, singles, pairs = [], [], []
-                for t in batch.column("text").to_pylist():
-                    h = shingles(t)
-                    r, one, two = keys_of(h, frequent) if len(h) else (0, h, h)
-                    d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                    numbers.append((len(h), r, int(d[0]), int(d[1])))
-                    singles.append(one.view(np.int64))
-                    pairs.append(two.view(np.int64))
-                columns = [batch.column("row"), batch.column("text")]
-                columns += [pa.array([x[j] for x in numbers], pa.int64()) for j in range(4)]
-                for lists in (singles, pairs):
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-
-    made = packed.mapInArrow(prepare, T.StructType(fields))
+        for batch in batches:
+            numbers, singles, pairs = [], [], []
+            for t in batch.column("text").to_pylist():
+                h = shingles(t)
+                r, one, two = keys_of(h, frequent) if len(h) else (0, h, h)
+                d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), dtype=np.int64)
+                numbers.append((len(h), r, int(d[0]), int(d[1])))
+                singles.append(one.view(np.int64))
+                pairs.append(two.view(np.int64))
+            columns = [batch.column("row"), batch.column("text")]
+            columns += [pa.array([x[j] for x in numbers], pa.int64()) for j in range(4)]
+            for lists in (singles, pairs):
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    made = packed.mapInArrow(in_task(prepare), T.StructType(fields))
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
@@ -232,7 +231,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(in_task(verify), "a long, b long"), "links")
 
 
 def _size_ok(x: Column, y: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import beside_text, materialize
+from quillspark.llm.common import beside_text, in_task, materialize
 from quillspark.llm.tokens import WordTokenizer, in_worker
 
 #: Settings that are planned, of which the one with fewest sequences is taken:
@@ -248,7 +248,7 @@ def pieces(df: DataFrame, file: bytes, end_id: int, capacity: int, text: str = "
                 columns.append(pa.array(ids_out, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return packed.mapInArrow(cut, T.StructType(fields))
+    return packed.mapInArrow(in_task(cut), T.StructType(fields))
 
 
 def pack_documents(

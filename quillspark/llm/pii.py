@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import beside_text, materialize
+from quillspark.llm.common import beside_text, in_task, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -139,7 +139,7 @@ def terms_in(text: str, spans: list[Span]) -> set[str]:
 
 
 def _each(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(in_task(run), schema)
 
 
 def texts_of(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, int]:

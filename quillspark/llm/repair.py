@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, shuffle_parts
+from quillspark.llm.common import in_task, materialize, shuffle_parts
 from quillspark.llm.tokens import WordTokenizer, in_worker
 
 #: Tokens after which a shard is closed; rounds; rules a round; least count.
@@ -208,7 +208,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
         if held:
             yield close()
 
-    made = ordered.mapInArrow(shards, "part int, nth int, n_docs long, n_tokens long, payload binary")
+    made = ordered.mapInArrow(in_task(shards), "part int, nth int, n_docs long, n_tokens long, payload binary")
     return materialize(made, "repair-shards", codec="uncompressed")
 
 
@@ -242,7 +242,7 @@ def read_corpus(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("nth")) - F.col("n_tokens")
     before = sizes.select("part", "nth", inside.alias("inside")).join(parts, "part")
     before = before.select("part", "nth", (F.col("inside") + F.col("parts_before")).alias("before"))
-    docs = shards.select("part", "nth", "payload").mapInArrow(read, fields)
+    docs = shards.select("part", "nth", "payload").mapInArrow(in_task(read), fields)
     joined = docs.join(before, ["part", "nth"])
     return joined.select(
         F.col("id").alias("doc_id"), (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import beside_text
+from quillspark.llm.common import beside_text, in_task
 from quillspark.llm.tokens import groups, in_worker
 
 SPACE = "▁"
@@ -134,6 +134,10 @@ class Vocabulary:
         for c, ids, text in zip(todo, coded, texts, strict=True):
             self._chunks[c] = ",".join(map(str, ids)), len(ids), " " + text
 
+    def release(self) -> None:
+        self._chunks.clear()
+        self._segments.clear()
+
     def run(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids in decimal with commas, and decoded text of each."""
         for group in groups(texts):
@@ -192,4 +196,4 @@ def encode_decode(df: DataFrame, file: bytes, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "ids", "decoded"])
 
-    return packed.mapInArrow(encode, schema)
+    return packed.mapInArrow(in_task(encode), schema)

@@ -2,7 +2,7 @@
 
 White space ends every token of both vocabularies used here, so a text's ids are
 the ids of its space-delimited chunks, joined.  Each distinct chunk is encoded
-once per worker and kept in a bounded cache as packed ids; a whole text then
+once per task and kept in a bounded cache as packed ids; a whole text then
 costs one dictionary look-up per chunk.
 """
 
@@ -14,10 +14,12 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
+from quillspark.llm.common import at_task_end
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark owns the cores
 
-#: Distinct chunks kept by a worker before the cache starts anew.
-CACHE_CHUNKS = 900_000
+#: Distinct chunks kept by a task before the cache starts anew.
+CACHE_CHUNKS = 600_000
 
 #: U+001C..U+001F end a word for str.split() but are not White_Space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -93,6 +95,10 @@ class WordTokenizer:
             out += self._cache.join([white_space_chunks(t) for t in group])
         return out
 
+    def release(self) -> None:
+        self._cache.held.clear()
+        self._parts.held.clear()
+
     def whole(self, texts: Iterable[str]) -> list[list[int]]:
         """The library's own ids of whole texts, for checks."""
         return [e.ids for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]
@@ -126,6 +132,14 @@ def in_worker(kind: type, file: bytes):
     return _MADE[key]
 
 
+def _release_all() -> None:
+    for tokenizer in _MADE.values():
+        tokenizer.release()
+
+
+at_task_end(_release_all)
+
+
 def read_file(path: str) -> bytes:
     """A vocabulary file, read by the driver and sent with the task."""
     with open(path, "rb") as f:
