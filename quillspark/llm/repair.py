@@ -1,19 +1,21 @@
 """Token-id files compressed by a Re-Pair grammar, with random access.
 
 Documents are range-partitioned and sorted by id, tokenised, and gathered into
-shards.  In each shard frequent pairs of adjacent ids become nonterminals, round
-after round: a round counts all pairs that lie inside one document, takes the
-most frequent ones, and replaces their occurrences left to right without
-overlap.  A shard stores its rules, each rule's expansion length, the packed
-sequence, and for each document its place in the sequence and its first token,
-so one document, or a token range of it, expands without the rest.
+shards.  In each shard frequent pairs of adjacent ids inside a document become
+nonterminals, the more frequent pair before the one that it overlaps, until no
+pair occurs LEAST_COUNT times: fewer would not pay for a rule.  All occurrences
+that no more frequent pair overlaps are replaced together, which is the order of
+one pair at a time wherever pairs touch.  A shard stores its rules, each rule's expansion length, the
+packed sequence, and for each document its place in the sequence and its first
+token, so one document, or a token range of it, expands without the rest.
 
 A shard is the binary value of one row of a Parquet table (any store that Spark
-writes will do); its layout is in ``Shard``.  Memory is bounded by a shard.
+writes will do); its layout is in ``Shard``.  Memory is bounded by a shard, or
+by the longest document, which one shard holds whole.
 
 Defined cases: a null text is empty and holds its end id only; a null id sorts
 first; equal ids are ordered by text; an empty table gives an empty file table;
-only the id column travels with the text.
+only the id column travels with the text, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,63 +33,101 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import in_task, materialize, shuffle_parts
 from quillspark.llm.tokens import WordTokenizer, in_worker
 
-#: Tokens after which a shard is closed; rounds; rules a round; least count.
-SHARD_TOKENS, ROUNDS, ROUND_RULES, LEAST_COUNT = 1 << 20, 5, 3000, 8
-_MAGIC = b"QRP1"
-_HASH_BITS = 20
+#: Tokens after which a shard is closed; least count of a pair worth a rule
+#: (two symbols and a length, against one symbol saved each time).
+SHARD_TOKENS, LEAST_COUNT = 1 << 20, 4
+_MAGIC = b"QRP2"
 
 
-def _unique_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, len(keys)))
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal keys."""
+    first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    return first, np.diff(np.append(first, len(sorted_keys)))
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, its last-of-document flags, rules); nonterminal base + r
     stands for the two symbols of rules[r]."""
-    seq, ends = ids.astype(np.uint64), last.copy()
-    rules: list[np.ndarray] = []
-    made = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    seq, ends = ids.astype(np.uint32), last.copy()
+    made = np.zeros(0, dtype=np.uint64)
+    # pairs, by their first symbol, that may be frequent: all of them, then those
+    # in question or with a changed neighbourhood
+    active = ~ends
+    active[-1:] = False
+    while True:
+        at = np.flatnonzero(active)
+        if not len(at):
             break
-        inside = ~ends[:-1]
-        keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        pairs, counts = _unique_counts(keys[inside]) if inside.any() else (keys[:0], keys[:0])
-        frequent = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(frequent):
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        bits = max(8, (2 * len(at)).bit_length())
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        # a slot's count is its pairs' at least: what is rare by it is rare
+        counted = np.bincount(slot, minlength=1 << bits)
+        times = counted[slot]
+        enough = times >= least
+        active[at[~enough]] = False
+        at, key, slot, times = at[enough], key[enough], slot[enough], times[enough]
+        if not len(at):
             break
-        if len(frequent) > ROUND_RULES:
-            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:ROUND_RULES]]
-        taken = pairs[frequent]
-        # one slot holds one pair; a pair that loses its slot waits for a round
-        table = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
-        table[_slots(taken[::-1])] = np.arange(len(taken))[::-1]
-        kept = np.unique(table[table >= 0])
-        rank = np.full(len(taken), -1, dtype=np.int64)
-        rank[kept] = np.arange(len(kept))
-        at = table[_slots(keys)]
-        hit = np.flatnonzero(at >= 0)
-        hit = hit[inside[hit] & (taken[at[hit]] == keys[hit])]
-        # of overlapping occurrences every second one, from the left
-        new_run = np.concatenate(([True], np.diff(hit) > 1))
-        start = hit[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-        hit = hit[(hit - start) % 2 == 0]
-        seq[hit] = (made + rank[at[hit]]).astype(np.uint64)
-        ends[hit] = ends[hit + 1]
+        rank = (times << bits) | slot
+        around = np.zeros(len(seq) + 2, dtype=np.int64)
+        around[at + 1] = rank
+        first_here = (rank >= around[at]) & (rank >= around[at + 2])
+        hit, key, slot = at[first_here], key[first_here], slot[first_here]
+        waits_for_none = np.bincount(slot, minlength=1 << bits)[slot] == counted[slot]
+        # of a pair that overlaps itself every second occurrence, from the left
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
+        apart = np.flatnonzero((hit - np.repeat(hit[begin], np.diff(np.append(begin, len(hit))))) % 2 == 0)
+        order = np.argsort(key[apart])
+        ordered = key[apart][order]
+        first, counts = _runs(ordered)
+        often = counts >= least
+        symbol = np.where(often, len(made) + np.cumsum(often) - 1, -1)
+        of = np.empty(len(ordered), dtype=np.int64)
+        of[order] = np.repeat(symbol, counts)
+        replaced = np.zeros(len(hit), dtype=bool)
+        replaced[apart[of >= 0]] = True
+        active[hit[waits_for_none & ~replaced]] = False
+        where = hit[replaced]
+        if not len(where):
+            continue
+        seq[where] = (base + of[of >= 0]).astype(np.uint32)
+        made = np.concatenate([made, ordered[first[often]]])
+        ends[where] = ends[where + 1]
+        left = where[where > 0] - 1
+        active[where], active[left] = ~ends[where], ~ends[left]
         keep = np.ones(len(seq), dtype=bool)
-        keep[hit + 1] = False
-        seq, ends = seq[keep], ends[keep]
-        chosen = taken[kept]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1))
-        made += len(kept)
-    table_of = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint64)
-    return seq.astype(np.uint32), ends, table_of.astype(np.uint32)
+        keep[where + 1] = False
+        seq, ends, active = seq[keep], ends[keep], active[keep]
+        active[-1:] = False
+    rules = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1)
+    return seq, ends, rules.astype(np.uint32)
+
+
+def pack_symbols(x: np.ndarray, planes: int) -> bytes:
+    """The low 16 bits of each symbol, then a bit plane for each higher bit."""
+    x = x.astype(np.uint32)
+    high = [np.packbits((x >> np.uint32(16 + k)).astype(np.uint8) & 1).tobytes() for k in range(planes)]
+    return b"".join([(x & np.uint32(0xFFFF)).astype("<u2").tobytes(), *high])
+
+
+class Symbols:
+    """Packed symbols, any range of which is read without the rest."""
+
+    def __init__(self, payload: bytes, at: int, count: int, planes: int):
+        self.count = count
+        self.low = np.frombuffer(payload, dtype="<u2", count=count, offset=at)
+        at += 2 * count
+        size = -(-count // 8)
+        self.high = [np.frombuffer(payload, dtype="u1", count=size, offset=at + k * size) for k in range(planes)]
+        self.nbytes = 2 * count + planes * size
+
+    def read(self, a: int, b: int) -> np.ndarray:
+        out = self.low[a:b].astype(np.uint32)
+        for k, plane in enumerate(self.high):
+            bits = np.unpackbits(plane[a // 8 : -(-b // 8)])[a % 8 : a % 8 + b - a]
+            out |= bits.astype(np.uint32) << np.uint32(16 + k)
+        return out
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -114,14 +154,14 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 class Shard:
-    """Layout: magic; base, rules, symbols, documents, symbol bytes (5 u32);
-    rules (u32 pairs); expansion lengths (u32); places of documents in the
-    sequence (u32, one more than documents); first tokens (u64, one more);
-    ids (i64); null flags (u8); sequence."""
+    """Layout: magic; base, rules, symbols, documents, bit planes (5 u32);
+    expansion lengths (u32); places of documents in the sequence (u32, one more
+    than documents); first tokens (u64, one more); ids (i64); null flags (u8);
+    the rules' symbols (firsts, then seconds); the sequence."""
 
     def __init__(self, payload: bytes):
         assert payload[:4] == _MAGIC, "not a shard"
-        self.base, n_rules, n_symbols, n_docs, width = struct.unpack_from("<5I", payload, 4)
+        self.base, n_rules, n_symbols, n_docs, planes = struct.unpack_from("<5I", payload, 4)
         at = 24
 
         def take(count: int, kind: str) -> np.ndarray:
@@ -130,20 +170,21 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take(2 * n_rules, "<u4").reshape(-1, 2)
         self.lengths = take(n_rules, "<u4")
         self.places = take(n_docs + 1, "<u4")
         self.starts = take(n_docs + 1, "<u8")
         self.doc_ids = take(n_docs, "<i8")
         self.nulls = take(n_docs, "u1")
-        self.sequence = take(n_symbols, f"<u{width}")
+        packed = Symbols(payload, at, 2 * n_rules, planes)
+        self.rules = packed.read(0, 2 * n_rules).reshape(2, -1).T
+        self.sequence = Symbols(payload, at + packed.nbytes, n_symbols, planes)
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.sequence[self.places[k] : self.places[k + 1]], self.rules, self.base)
+        return expand(self.sequence.read(int(self.places[k]), int(self.places[k + 1])), self.rules, self.base)
 
     def token_range(self, k: int, start: int, stop: int) -> np.ndarray:
         """Tokens start..stop of a document; symbols outside are not expanded."""
-        seq = self.sequence[self.places[k] : self.places[k + 1]].astype(np.int64)
+        seq = self.sequence.read(int(self.places[k]), int(self.places[k + 1])).astype(np.int64)
         size = np.ones(len(seq), dtype=np.int64)
         big = seq >= self.base
         size[big] = self.lengths[seq[big] - self.base]
@@ -153,7 +194,7 @@ class Shard:
         return expand(seq[a:b], self.rules, self.base)[start - skipped : stop - skipped]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.base)
+        return expand(self.sequence.read(0, self.sequence.count), self.rules, self.base)
 
 
 def build_shard(docs: list[tuple[int | None, bytes]], base: int) -> bytes:
@@ -166,13 +207,14 @@ def build_shard(docs: list[tuple[int | None, bytes]], base: int) -> bytes:
     seq, ends, rules = compress(ids, last, base)
     assert (counts > 0).all(), "every document has its end id"
     places = np.concatenate(([0], np.flatnonzero(ends) + 1))
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    head = struct.pack("<5I", base, len(rules), len(seq), len(docs), width)
+    planes = max(0, max(base + len(rules) - 1, int(ids.max(initial=0))).bit_length() - 16)
+    head = struct.pack("<5I", base, len(rules), len(seq), len(docs), planes)
     parts = [
-        _MAGIC, head, rules.astype("<u4").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(),
+        _MAGIC, head, expansion_lengths(rules, base).astype("<u4").tobytes(),
         places.astype("<u4").tobytes(), starts.astype("<u8").tobytes(),
         np.array([d[0] or 0 for d in docs], dtype="<i8").tobytes(),
-        np.array([d[0] is None for d in docs], dtype="u1").tobytes(), seq.astype(f"<u{width}").tobytes(),
+        np.array([d[0] is None for d in docs], dtype="u1").tobytes(),
+        pack_symbols(rules.T.reshape(-1), planes), pack_symbols(seq, planes),
     ]
     return b"".join(parts)
 
@@ -208,7 +250,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
         if held:
             yield close()
 
-    made = ordered.mapInArrow(in_task(shards), "part int, nth int, n_docs long, n_tokens long, payload binary")
+    made = ordered.mapInArrow(in_task(shards, keep=True), "part int, nth int, n_docs long, n_tokens long, payload binary")
     return materialize(made, "repair-shards", codec="uncompressed")
 
 
