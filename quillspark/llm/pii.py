@@ -1,17 +1,21 @@
 """Personal data: fixed patterns plus information-theoretic sanitisation.
 
-Base spans (email, ip, card, phone) are found in every whole text.  Their values
-are the protected entities.  All terms of a text that holds an entity, wherever
-they stand, are its possible disclosers; with n distinct texts (so that exact
-copies count once, in every count alike),
+Base spans (email, ip, card, phone) and codes (``secret``: a run of SECRET_LENGTH
+letters and digits at least that changes between both SECRET_CHANGES times) are
+found in every whole text.  Each span protects entities of growing generality:
+its value, for an email its domain, and its kind.  Values mostly occur once, but
+domains and kinds recur, so what stands beside them can be learnt.  All terms of
+a text that holds an entity, wherever they stand, are its possible disclosers;
+with n distinct texts (so that exact copies count once, in every count alike),
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t))),   IC(c) = -log2 p(c),
 
 and t discloses c when PMI(c; t) >= alpha * IC(c) and they meet in MIN_DOCUMENTS
-distinct texts.  In documents that hold c, its disclosing terms become spans of
-kind ``term``, wherever they stand; a document without c keeps them, as it has
-nothing that they would disclose.  ``sanitize`` replaces base spans by their kind
-and terms by a general class.
+distinct texts.  An entity of less than MIN_BITS of information protects nothing:
+one text in sixteen has it.  In documents that hold c, its disclosing terms
+become spans of kind ``term``, wherever they stand; a document without c keeps
+them, as it has nothing that they would disclose.  ``sanitize`` replaces other
+spans by their kind and terms by a general class.
 
 The corpus gives four aggregates: texts of each entity, candidate terms in
 the texts of entities with support, texts of each candidate, and texts of each pair whose
@@ -20,8 +24,10 @@ with copies travel to the tasks in slices of bounded size, one pass for each
 slice, so nothing is dropped at any size.
 
 Defined cases: null text is empty and has no spans (it stays null when
-sanitised); repeated texts count once and are all marked; an empty table
-gives no rows; the caller's columns stay together in ``row``.
+sanitised); repeated texts count once and are all marked; texts of any length
+are read whole, in time linear in their words and spans; of spans that overlap
+all are listed and the first is replaced; an empty table gives no rows; the
+caller's columns stay together in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +43,17 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import beside_text, in_task, materialize
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE_KINDS = KINDS[:4]
 
 #: Support rule: distinct texts in which entity and term must meet.
 MIN_DOCUMENTS = 3
 #: Share of an entity's information content that a term may reveal.
 ALPHA = 0.9
+#: Least information content of an entity that is protected.
+MIN_BITS = 4.0
+#: A code: letters and digits in a run, and changes between both.
+SECRET_LENGTH, SECRET_CHANGES = 20, 6
 #: Terms or pairs that travel to the tasks at once.
 SLICE_ROWS = 500_000
 #: Keys that a task counts before it hands them on.
@@ -54,6 +65,9 @@ _REGION = re.compile(r"[0-9+][0-9 ().+-]+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGIT = re.compile("[0-9]")
+_RUN = re.compile(f"[A-Za-z0-9]{{{SECRET_LENGTH},}}")
+_CHANGE = re.compile("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -99,7 +113,8 @@ def base_spans(text: str) -> list[Span]:
         if b - a < 7:
             continue
         for m in _IP.finditer(text, a, b):
-            if all(len(p) < 20 and int(p) <= 255 or not p.strip("0") for p in m.group().split(".")):
+            parts = [p.lstrip("0") for p in m.group().split(".")]
+            if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
                 ips.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text, a, b):
             d = _digits(m.group())
@@ -111,10 +126,27 @@ def base_spans(text: str) -> list[Span]:
     return emails(text) + ips + cards + phones
 
 
-def entity_of(text: str, span: Span) -> str:
-    kind, a, b = span
-    value = text[a:b]
-    return f"{kind}:{_digits(value) if kind in ('card', 'phone') else value.lower()}"
+def secrets(text: str) -> list[Span]:
+    """Runs of letters and digits that change between both too often for words."""
+    if not _DIGIT.search(text):
+        return []
+    return [("secret", m.start(), m.end()) for m in _RUN.finditer(text) if len(_CHANGE.findall(m.group())) >= SECRET_CHANGES]
+
+
+def protected_spans(text: str) -> list[Span]:
+    return base_spans(text) + secrets(text)
+
+
+def entities_of(text: str, spans: list[Span]) -> set[str]:
+    """What the spans protect: values, domains of emails, and kinds."""
+    out = set()
+    for kind, a, b in spans:
+        value = text[a:b]
+        out.add(f"{kind}:{_digits(value) if kind in ('card', 'phone') else value.lower()}")
+        out.add(f"{kind}:*")
+        if kind == "email":
+            out.add(f"email:*{value[value.index('@'):].lower()}")
+    return out
 
 
 @lru_cache(1 << 16)
@@ -126,15 +158,7 @@ def term_of(word: str) -> str:
 
 def terms_in(text: str, spans: list[Span]) -> set[str]:
     """The terms of the words that no span touches."""
-    if not spans:
-        return {term_of(w) for w in set(_WORD.findall(text))} - {""}
-    covered = sorted((a, b) for _, a, b in spans)
-    words, at = set(), 0
-    for m in _WORD.finditer(text):
-        while at < len(covered) and covered[at][1] <= m.start():
-            at += 1
-        if at == len(covered) or covered[at][0] >= m.end():
-            words.add(m.group())
+    words = {m.group() for m in _outside(text, spans)} if spans else set(_WORD.findall(text))
     return {term_of(w) for w in words} - {""}
 
 
@@ -184,7 +208,7 @@ def distinct_counts(docs: DataFrame, copies: DataFrame, keys_of: Callable[[str],
 
 
 def _entity_keys(text: str) -> set[tuple[str, ...]]:
-    return {(entity_of(text, s),) for s in base_spans(text)}
+    return {(e,) for e in entities_of(text, protected_spans(text))}
 
 
 def _slices(df: DataFrame, rows: int) -> Iterator[list]:
@@ -208,7 +232,8 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     docs, copies, n_docs = texts_of(df, text)
     supported = F.col("n") >= MIN_DOCUMENTS
-    entities = materialize(distinct_counts(docs, copies, _entity_keys, ["entity"]).where(supported), "pii-entities")
+    rare = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n")) >= MIN_BITS
+    entities = materialize(distinct_counts(docs, copies, _entity_keys, ["entity"]).where(supported & rare), "pii-entities")
 
     def bound(nc: float) -> float:
         """A term of more texts cannot disclose an entity of nc, as n <= nc."""
@@ -219,8 +244,8 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
             held = frozenset(r[0] for r in part)
 
             def keys(t: str) -> set[tuple[str, ...]]:
-                spans = base_spans(t)
-                if not any(entity_of(t, s) in held for s in spans):
+                spans = protected_spans(t)
+                if held.isdisjoint(entities_of(t, spans)):
                     return set()
                 return {(x,) for x in terms_in(t, spans)}
 
@@ -234,7 +259,7 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
             wanted = frozenset(r[0] for r in part)
 
             def keys(t: str) -> set[tuple[str, ...]]:
-                return {(x,) for x in terms_in(t, base_spans(t)) & wanted}
+                return {(x,) for x in terms_in(t, protected_spans(t)) & wanted}
 
             yield distinct_counts(docs, copies, keys, ["term"]).where(F.col("n") <= most)
 
@@ -247,8 +272,8 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
                 rare = dict(map(tuple, part))
 
                 def keys(t: str) -> set[tuple[str, ...]]:
-                    spans = base_spans(t)
-                    here = {entity_of(t, s) for s in spans} & limits.keys()
+                    spans = protected_spans(t)
+                    here = entities_of(t, spans) & limits.keys()
                     terms = {x: rare[x] for x in terms_in(t, spans) & rare.keys()} if here else {}
                     return {(e, x) for e in here for x, df in terms.items() if df <= limits[e]}
 
@@ -261,21 +286,28 @@ def disclosing_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         met.join(frequency.withColumnRenamed("n", "df"), "term")
         .join(entities.withColumnRenamed("n", "nc"), "entity")
-        .where((information > 0) & (pmi >= ALPHA * information))
+        .where(pmi >= ALPHA * information)
         .select("entity", "term")
     )
 
 
-def _spans_with(text: str, spans: list[Span], pairs: dict[str, set[str]]) -> list[Span]:
-    terms = set().union(*(pairs.get(entity_of(text, s), ()) for s in spans)) if spans and pairs else ()
+def _outside(text: str, spans: list[Span]) -> Iterator[re.Match[str]]:
+    """The words that no span touches: words and spans are walked side by side."""
+    covered = sorted((a, b) for _, a, b in spans)
+    at, reach = 0, 0
+    for m in _WORD.finditer(text):
+        while at < len(covered) and covered[at][0] < m.end():
+            reach = max(reach, covered[at][1])
+            at += 1
+        if reach <= m.start():
+            yield m
+
+
+def _terms_with(text: str, spans: list[Span], pairs: dict[str, set[str]]) -> list[Span]:
+    terms = set().union(*(pairs.get(e, ()) for e in entities_of(text, spans)))
     if not terms:
         return []
-    covered = [(a, b) for _, a, b in spans]
-    out: list[Span] = []
-    for m in _WORD.finditer(text):
-        if term_of(m.group()) in terms and not any(a < m.end() and m.start() < b for a, b in covered):
-            out.append(("term", m.start(), m.end()))
-    return out
+    return [("term", m.start(), m.end()) for m in _outside(text, spans) if term_of(m.group()) in terms]
 
 
 def _span_type() -> T.ArrayType:
@@ -311,10 +343,10 @@ def _mark(packed: DataFrame, pairs: dict[str, set[str]]) -> DataFrame:
         for batch in batches:
             out = []
             for t, had in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                base = base_spans(t) if t else []
-                spans = {(x["kind"], x["start"], x["end"]) for x in had or ()} | set(base)
-                if base and pairs:
-                    spans.update(_spans_with(t, base, pairs))
+                held = protected_spans(t) if t else []
+                spans = {(x["kind"], x["start"], x["end"]) for x in had or ()} | set(held)
+                if held and pairs:
+                    spans.update(_terms_with(t, held, pairs))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2]))])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(out, kind)], names=["row", "text", "spans"])
 

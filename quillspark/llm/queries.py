@@ -104,7 +104,8 @@ def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import sharding
 
-    placed = sharding.shard_rows(_documents(spark, sf_dir), ["source", "lang", "n_chars"], shards=24)
+    # the files are written and read back; size and CRC are columns of theirs
+    placed = sharding.write_shards(_documents(spark, sf_dir), ["source", "lang", "n_chars"], shards=24)
     return placed.select(
         F.col("row.doc_id").alias("doc_id"),
         "size",
@@ -158,17 +159,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter("spans", lambda s: s["kind"] != "term")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii.KINDS[:4]]
+    counts = [count(k) for k in pii.BASE_KINDS]
     return pii.find(docs).select(
         F.col("row.doc_id").alias("doc_id"),
         *counts,
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
