@@ -91,9 +91,10 @@ def give_back() -> None:
         trim(0)
 
 
-def in_task(run: Callable[[Batches], Batches], rows: int = TASK_ROWS) -> Callable[[Batches], Batches]:
+def in_task(run: Callable[[Batches], Batches], rows: int = TASK_ROWS, keep: bool = False) -> Callable[[Batches], Batches]:
     """``run`` over slices of ``rows`` rows; caches and free memory go back at
-    the task's end, also when it fails or is stopped."""
+    the task's end, also when it fails or is stopped.  ``keep`` leaves them to the
+    worker's next task of many small ones (an idle worker ends within a minute)."""
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
@@ -104,7 +105,8 @@ def in_task(run: Callable[[Batches], Batches], rows: int = TASK_ROWS) -> Callabl
         try:
             yield from run(cut(batches))
         finally:
-            give_back()
+            if not keep:
+                give_back()
 
     return whole
 

@@ -12,13 +12,13 @@ A linear grouping scheme over the histogram of piece lengths:
 
 All four work on runs of equal lengths and of equally filled sequences, so the
 driver's work and the plan it sends out are bounded by the capacity, whatever
-the number of documents.  Pieces get their places by their rank among the pieces
+the number of documents; the offsets of the partitions are joined, not sent.  Pieces get their places by their rank among the pieces
 of the same length: a count inside their written partition plus the counts of
 the partitions before.
 
 Defined cases: a null text is empty and is packed as its end id alone; documents
-longer than the capacity are cut into full pieces and a last one that may be
-shorter; repeated rows are packed each on its own; an empty table gives no rows;
+longer than the capacity, however long, are cut into full pieces and a last one
+that may be shorter; ties between equal lengths go by place; repeated rows are packed each on its own; an empty table gives no rows;
 the caller's columns stay together in ``row``.
 """
 
@@ -265,7 +265,8 @@ def pack_documents(
     keys = table[:, 0] * rows + table[:, 1]
     earlier = Window.partitionBy("length").orderBy("part")
     before = counts.select("length", "part", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the offsets grow with the partitions: they are merged, never broadcast
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     kept = ["row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     source = ranked.select(*kept, "rank")
     fields = [source.schema[c] for c in kept]

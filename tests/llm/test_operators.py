@@ -1,5 +1,6 @@
 """Each operator on small tables: brute force, nulls, ties, repeats, clashes."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -70,18 +71,39 @@ def test_quality(docs, texts):
 
 def test_rule_order():
     flags = [[True, False, True], [True, False, False], [False, True, False], [False, False, False]]
-    costs = [[10, 1, 5]] * 4
-    assert quality.greedy_order(["a", "b", "c"], flags, costs) == ["b", "a", "c"]
-    assert quality.greedy_order(["a", "b"], [], []) == ["a", "b"]
+    assert quality.greedy_order(["a", "b", "c"], flags, [10.0, 1.0, 5.0]) == ["b", "a", "c"]
+    assert quality.greedy_order(["a", "b"], [], [1.0, 1.0]) == ["a", "b"]
 
 
 def test_order_does_not_change_verdicts(docs):
-    rules = quality.default_rules()
-    f = quality.base_features(docs)
+    rules = [*quality.base_rules(), *quality.default_rules()]
+    f = quality.with_words(docs)
     names = [r.name for r in rules]
-    a = f.select("row.doc_id", quality.cascade(rules, names).isNull().alias("k")).collect()
-    b = f.select("row.doc_id", quality.cascade(rules, names[::-1]).isNull().alias("k")).collect()
-    assert sorted(a) == sorted(b)
+    kept = []
+    for order in (names, names[::-1], names[1::2] + names[::2]):
+        judged = quality.cascade(f, rules, order).select("row.doc_id", "rejected_by").collect()
+        kept.append(sorted(r.doc_id for r in judged if r.rejected_by is None))
+    assert kept[0] == kept[1] == kept[2]
+    assert kept[0] == sorted(r.row.doc_id for r in quality.judge(docs).collect() if r.kept)
+    assert kept[0] == sorted(r.doc_id for r in quality.keep_good(docs).collect())
+
+
+def test_dear_features_wait_for_the_cascade(docs):
+    """With the repeats last, rows that earlier rules reject have none of them."""
+    rules = [*quality.base_rules(), *quality.default_rules()]
+    order = [r.name for r in rules if r.name != "repeats"] + ["repeats"]
+    judged = quality.cascade(quality.with_words(docs), rules, order).collect()
+    early = [r for r in judged if r.rejected_by not in (None, "repeats")]
+    assert early and all(r.ordered is None and r.n_repeat_words is None for r in early)
+
+
+def test_sample_is_spread(spark, tmp_path):
+    spark.range(400).repartition(8).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    few = quality.spread_sample(table, rows=1000, files=4)
+    assert 0 < few.count() < 400 and few.select(F.input_file_name()).distinct().count() <= 4
+    assert quality.spread_sample(table, rows=50, files=100).count() <= 100
+    assert quality.spread_sample(spark.range(10).where("id < 0")).count() == 0
 
 
 # -- sentencepiece
@@ -222,19 +244,52 @@ def test_hilbert_curve_is_continuous(spark, n, bits):
 
 
 def test_shards(docs, texts):
-    got = sharding.shard_rows(docs, ["row", "uid", "words"], shards=7).collect()
+    got = sharding.write_shards(docs, ["row", "uid", "words"], shards=7).collect()
     assert len(got) == len(texts)
     slots = {}
     for r in got:
         t = (texts[r.row.doc_id] or "").encode()
-        assert r.size == len(t) + 8 and r.text_crc32 == zlib.crc32(t)
+        assert r.size == len(t) + 8 and r.text_crc32 == zlib.crc32(t) and r.text == texts[r.row.doc_id]
         slots.setdefault(r.shard, []).append((r.slot, r.hilbert))
     sizes = [len(v) for v in slots.values()]
     assert set(slots) == set(range(7)) and max(sizes) - min(sizes) <= 1
     assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
     runs = [h for s in range(7) for _, h in sorted(slots[s])]
     assert runs == sorted(runs)
-    assert sharding.shard_rows(empty(docs), ["uid"], shards=7).count() == 0
+    assert sharding.write_shards(empty(docs), ["uid"], shards=7).count() == 0
+    few = sharding.write_shards(docs.where("doc_id < 3"), ["uid"], shards=7).collect()
+    assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_codes_are_quantiles(spark, monkeypatch):
+    """Strings with a long common head, dates and numbers, against plain sorting."""
+    rng = random.Random(9)
+    rows = [(f"https://example.org/long/{rng.randint(0, 199):03d}", datetime.date(2020, 1, 1) + datetime.timedelta(rng.randint(0, 900)), rng.random(), None if i % 50 else 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "s string, d date, x double, z int")
+    for limit in (10_000, 60):
+        monkeypatch.setattr(sharding, "SKETCH_VALUES", limit)
+        names = ["s", "d", "x", "z"]
+        got = df.select(*names, *[c.alias(f"c{i}") for i, c in enumerate(sharding.quantised(df, names, bits=3))]).collect()
+        for i in range(3):
+            pairs = sorted((r[i], r[4 + i]) for r in got)
+            codes = [c for _, c in pairs]
+            assert codes == sorted(codes) and set(codes) == set(range(1, 8))  # in order, all in use
+            assert max(Counter(codes).values()) <= 2 * 2000 / 7
+        assert all((r.c3 == 0) == (r.z is None) for r in got)
+
+
+def test_shards_prune_on_every_dimension(spark):
+    rng = random.Random(10)
+    rows = [(i, f"src{rng.randint(0, 19)}", rng.random(), "text") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, score double, text string")
+    made = sharding.write_shards(df, ["source", "score"], shards=16).select("shard", "row.source", "row.score").collect()
+    spans = {}
+    for r in made:
+        spans.setdefault(r.shard, []).append(r)
+    by_source = [sum(min(x.source for x in v) <= f"src{k}" <= max(x.source for x in v) for v in spans.values()) for k in range(20)]
+    by_score = [sum(min(x.score for x in v) <= k / 20 <= max(x.score for x in v) for v in spans.values()) for k in range(20)]
+    # a filter on one value of either opens about half of the files at most
+    assert sum(by_source) / 20 <= 8 and sum(by_score) / 20 <= 8
 
 
 # -- context-tree weighting
@@ -307,10 +362,30 @@ def test_top_k(spark, monkeypatch):
             for rank, (score, i) in enumerate(hits[:5], 1):
                 want[(qi, rank, i, -score)] += 1
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    with_null = df.unionByName(spark.createDataFrame([(None, vectors[1])], df.schema)).withColumn("cell", F.lit("x")).withColumn("q", F.lit(1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(with_null).collect()) == want
     assert knn.top_k(df.where("vec_id < 0")).count() == 0
     assert knn.top_k(df.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_bounds_exclude_rows_of_clustered_data(spark, monkeypatch):
+    """40 clusters of 16-dimensional vectors and a hot vector: most pairs are
+    excluded, no block is repeated, and results are those of brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 4
+    vectors = centres[rng.integers(0, 40, size=3000)] + rng.normal(size=(3000, 16)) * 0.05
+    vectors[2000:] = vectors[1999]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(knn, "DATA_BLOCK", 100)
+    excluded, repeats = knn.shares(df)
+    assert excluded > 0.5 and repeats == 1
+    q = np.floor(256 * vectors).astype(np.int64)
+    score = q @ q.T
+    np.fill_diagonal(score, -(1 << 60))
+    want = {(i, r + 1, int(j), int(score[i, j])) for i in range(0, 3000, 50) for r, j in enumerate(np.lexsort((np.arange(3000), -score[i]))[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df).collect()} == want
+
+
 # -- Re-Pair
 
 
@@ -326,7 +401,34 @@ def test_shard_round_trip():
                 x = int(rng.integers(0, len(a)))
                 assert (s.document(k) == a).all() and (s.token_range(k, x, len(a)) == a[x:]).all()
     packed = repair.build_shard([(0, np.tile(np.arange(50, dtype="<u4"), 400).tobytes())], 50)
-    assert len(packed) < 12_000  # 80,000 bytes of repeated ids
+    assert len(packed) < 3_000  # 80,000 bytes of repeated ids
+
+
+def test_no_pair_worth_a_rule_is_left():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 300, int(rng.integers(1, 9))) for _ in range(400)]
+    docs = [np.concatenate([words[int(w)] for w in rng.zipf(1.3, 60) % 400]).astype("<u4") for _ in range(200)]
+    passage = rng.integers(0, 300, 500).astype("<u4")
+    docs[::20] = [np.concatenate([d, passage]) for d in docs[::20]]
+    ids = np.concatenate(docs)
+    last = np.zeros(len(ids), dtype=bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    seq, ends, rules = repair.compress(ids, last, 300)
+    assert (repair.expand(seq, rules, 300) == ids).all() and ends.sum() == 200
+    assert all(max(r) < 300 + i for i, r in enumerate(rules.tolist()))
+    left = Counter()
+    symbols = seq.tolist()
+    i = 0
+    while i + 1 < len(symbols):  # occurrences without overlap, inside documents
+        if not ends[i]:
+            pair = symbols[i], symbols[i + 1]
+            left[pair] += 1
+            i += pair[0] == pair[1] and i + 2 < len(symbols) and symbols[i + 2] == pair[0]
+        i += 1
+    assert max(left.values()) < repair.LEAST_COUNT, left.most_common(3)
+    assert repair.expansion_lengths(rules, 300).max() >= 490  # a passage that repeats becomes one symbol
+    plain = 2 * len(ids)
+    assert len(repair.build_shard([(i, d.tobytes()) for i, d in enumerate(docs)], 300)) < 0.6 * plain
 
 
 def test_corpus_files(docs, texts, monkeypatch):
@@ -405,12 +507,74 @@ def test_templates_disclose_and_copies_change_nothing(spark):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         return {(r.entity, r.term) for r in pii.disclosing_pairs(df).collect()}
 
-    want = {("email:maria@post.org", "maria"), ("email:maria@post.org", "vossberg")}
+    levels = ("email:maria@post.org", "email:*@post.org", "email:*")
+    want = {(e, t) for e in levels for t in ("maria", "vossberg")}
     assert found(letters + others) == want
     assert found(letters * 40 + others * 2) == want
     assert not found(letters[:1] * 40 + others)
 
 
+def brute_pairs(texts):
+    """Disclosing pairs by counting every entity, term and pair of the distinct texts."""
+    entities, terms, both = Counter(), Counter(), Counter()
+    whole = {t for t in texts if t is not None}
+    for t in whole:
+        spans = brute_spans(t)
+        spans += [("secret", *m.span()) for m in re.finditer("[A-Za-z0-9]{20,}", t) if len(re.findall("[a-zA-Z](?=[0-9])|[0-9](?=[a-zA-Z])", m.group())) >= 6]
+        es = set()
+        for kind, a, b in spans:
+            value = t[a:b].lower()
+            es |= {f"{kind}:*", f"{kind}:{value if kind in ('email', 'ip', 'secret') else ''.join(re.findall('[0-9]', value))}"}
+            if kind == "email":
+                es.add("email:*" + value[value.index("@") :])
+        words = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        ts = {re.sub(r"^\W+|\W+$", "", m.group()).lower() for m in words}
+        ts = {x for x in ts if len(x) >= 3 and not x.isdigit()}
+        entities.update(es)
+        terms.update(ts)
+        both.update((e, x) for e in es for x in ts)
+    n = len(whole)
+    ic = {e: math.log2(n / c) for e, c in entities.items() if c >= 3}
+    return {
+        (e, x) for (e, x), c in both.items()
+        if c >= 3 and ic.get(e, 0) >= 4 and math.log2(c * n / (entities[e] * terms[x])) >= 0.9 * ic[e] - 1e-12
+    }
+
+
+def test_pairs_are_those_of_plain_counting(spark, monkeypatch):
+    rng = random.Random(8)
+    rare = [f"rare{i}word" for i in range(40)]
+    texts = []
+    for i in range(600):
+        t = sentence(rng, rng.randint(5, 40)).split() + rng.sample(rare, 3)
+        if i % 20 == 0:
+            code = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+            t += ["token", "=", f'"{code}"', f"rare{i % 4}near"]
+        if i % 37 == 0:
+            t += [f"user{i % 3}@mail{i % 2}.example.com", f"near{i % 5}mail", "4111 1111 1111 1111"]
+        rng.shuffle(t)
+        texts += [" ".join(t)] * (1 + (i % 40 == 0))
+    texts += [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_pairs(texts)
+    assert {t for e, t in want if e == "secret:*"} >= {"token"}
+    assert {(r.entity, r.term) for r in pii.disclosing_pairs(df).collect()} == want
+    monkeypatch.setattr(pii, "SLICE_ROWS", 20)  # many slices, the same pairs
+    assert {(r.entity, r.term) for r in pii.disclosing_pairs(df).collect()} == want
+
+
+@pytest.mark.parametrize("n", [49, 50, 51, 400])
+def test_any_number_of_spans(n):
+    t = " ".join(f"word{i}x u{i}@x.org" for i in range(n)) + " " + "y" * 5000 + " end"
+    spans = pii.protected_spans(t)
+    assert len(spans) == n and pii.terms_in(t, spans) == {f"word{i}x" for i in range(n)} | {"y" * 5000, "end"}
+
+
+def test_ip_parts_of_any_length():
+    assert pii.base_spans("000000000000000000001.1.1.1") == [("ip", 0, 27)]
+    assert pii.base_spans("1.1.1.0000000000000000000000256") == []
+
+
 def test_terms_far_from_the_entity(spark):
     """The name in a letter's head meets the address in its last line, also past
     long words; a text with the name alone keeps it."""
