@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import is_availability_note, is_highlights_only, title_key
+from quillspark.functions.text import is_availability_note, title_key, trimmed
+
+
+#: What is recorded where a placeholder was taken away.
+PLACEHOLDER_NOTE = "The metadata supplied a placeholder or highlights, not a complete author abstract."
 
 
 def unique_lookup(wanted: DataFrame, results: DataFrame, key: str) -> DataFrame:
@@ -33,18 +37,21 @@ def recover_doi(papers: DataFrame, candidates: DataFrame, normalise: bool = True
 
 def rebuild_text(df: DataFrame, key: str, index: str, cap: int = 50_000) -> DataFrame:
     """Text from an inverted index word -> positions; positions from ``cap`` on
-    are no text, holes close up, of words at one position the last one stays."""
+    are no text, holes close up, of words at one position the last one stays.
+    Runs of white space are one space; a placeholder gives null."""
     words = df.select(key, F.posexplode(F.map_entries(index)).alias("nth", "e"))
     placed = words.select(key, "nth", F.col("e.key").alias("word"), F.explode("e.value").alias("at")).where((F.col("at") >= 0) & (F.col("at") < cap))
     one = placed.groupBy(key, "at").agg(F.max_by("word", "nth").alias("word"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "word")))  # cap words at most
-    return one.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"))
+    joined = one.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"))
+    plain = trimmed(F.regexp_replace("text", "(?U)\\s+", " "))
+    return joined.withColumn("text", plain).withColumn("text", F.when((F.col("text") != "") & ~is_availability_note(F.col("text")), F.col("text")))
 
 
 def discard_placeholders(papers: DataFrame) -> DataFrame:
     """Abstracts that are none are taken away and the retrieval marked partial."""
-    bad = F.coalesce(is_availability_note(F.col("abstract")) | is_highlights_only(F.col("abstract")), F.lit(False))
-    note = F.lit("The metadata supplied a placeholder or highlights, not a complete author abstract.")
+    bad = F.coalesce(is_availability_note(F.col("abstract")), F.lit(False))
+    note = F.lit(PLACEHOLDER_NOTE)
     r = F.col("abstractRetrieval")
     return (
         papers.withColumn("__bad", bad)
@@ -72,7 +79,33 @@ def fill_abstracts(papers: DataFrame, found: DataFrame, aggregators: tuple[str,
     )
 
 
-def pending_work(papers: DataFrame, done: DataFrame, generation: str) -> DataFrame:
-    """Papers not yet enriched in this generation (id, doi, generation)."""
-    same = done.where(F.col("generation") == generation).select("id", "doi")
+def fill_missing(papers: DataFrame, found: DataFrame) -> DataFrame:
+    """Abstracts of later sources (id, text, source) only where none is there."""
+    f = found.select("id", F.col("text").alias("__t"), F.col("source").alias("__s"))
+    take = (F.coalesce("abstract", F.lit("")) == "") & F.col("__t").isNotNull()
+    return (
+        papers.join(f, "id", "left").withColumn("__take", take)
+        .withColumn("abstract", F.when(F.col("__take"), F.col("__t")).otherwise(F.col("abstract")))
+        .withColumn("abstractSource", F.when(F.col("__take"), F.col("__s")).otherwise(F.col("abstractSource")))
+        .drop("__t", "__s", "__take")
+    )
+
+
+def enrich(papers: DataFrame, publisher: DataFrame, elsevier: DataFrame, openalex: DataFrame, errors: DataFrame, now: str) -> DataFrame:
+    """The sources in order: the publisher's page may replace a text, the others
+    only fill a gap.  The retrieval's state follows from the outcome and the errors
+    (id, error)."""
+    full = fill_missing(fill_missing(fill_abstracts(papers, publisher), elsevier), openalex)
+    told = errors.groupBy("id").agg(F.sort_array(F.collect_list("error")).alias("__errors"))
+    joined = full.join(told, "id", "left").withColumn("__errors", F.coalesce("__errors", F.array().cast("array<string>")))
+    state = F.when(F.coalesce("abstract", F.lit("")) != "", "available").when(F.size("__errors") > 0, "partial").otherwise("not-found")
+    record = F.struct(F.lit(now).alias("checkedAt"), state.alias("status"), F.col("__errors").alias("errors"))
+    return joined.withColumn("abstractRetrieval", record).select(*papers.columns)
+
+
+def pending_work(papers: DataFrame, done: DataFrame, generation: str, now: str, hours: int = 24) -> DataFrame:
+    """Papers that this generation has not enriched in the last day: ``done`` is
+    (id, doi, generation, at); another DOI or an older look counts as not done."""
+    fresh = F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.try_to_timestamp(F.col("at"))) < hours * 3_600_000
+    same = done.where((F.col("generation") == generation) & F.coalesce(fresh, F.lit(False))).select("id", "doi")
     return papers.join(same, (papers["id"] == same["id"]) & papers["doi"].eqNullSafe(same["doi"]), "left_anti")

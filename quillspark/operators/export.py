@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.functions.identifiers import public_url
-from quillspark.functions.text import escape_markdown, strip_private, word_count
+from quillspark.functions.identifiers import permissive_licence, public_url
+from quillspark.functions.text import escape_markdown, is_excluded, strip_private, word_count
 
 #: What a published record says about its topic.
 TOPIC_REASONS = {
@@ -16,6 +17,10 @@ TOPIC_REASONS = {
 }
 
 
+#: Versions of a text that are named in public.
+VERSIONS = ("publishedVersion", "acceptedVersion", "submittedVersion")
+
+
 def summary_admissible(summary: Column, reviewed: Column, same_source: Column, verified: Column) -> Column:
     return word_count(summary).between(150, 250) & reviewed & same_source & verified
 
@@ -34,16 +39,30 @@ def public_papers(papers: DataFrame, licences: DataFrame) -> DataFrame:
 
     def published(c: str) -> Column:
         d = F.col(c)
-        return F.when(d.isNotNull(), F.struct(d["value"].alias("value"), d["precision"].alias("precision"), F.lit("metadata").alias("source"))).alias(c)
+        return F.when(d.isNotNull(), F.struct(d["value"].alias("value"), d["precision"].alias("precision"), F.lit("Publication metadata").alias("source"))).alias(c)
 
     none = F.array().cast("array<string>")
-    return papers.join(l, "id", "left").where(topic.isin(*TOPIC_REASONS)).select(
-        "id", "journalId", "doi", strip_private(F.col("title")).alias("title"), "authors", "keywords", "articleType",
-        public_url(F.col("url")).alias("url"), "volume", "issue", "pages",
-        published("publishedOnline"), published("publishedIssue"), published("publicationDate"),
+    plain = lambda c: F.transform(F.col(c), strip_private)
+    locations = F.transform(
+        F.filter("oaLocations", lambda o: o["isOa"] & public_url(o["url"]).isNotNull()),
+        lambda o: F.struct(
+            public_url(o["url"]).alias("url"), public_url(o["pdfUrl"]).alias("pdfUrl"), o["hostType"].alias("hostType"),
+            F.when(o["version"].isin(*VERSIONS), o["version"]).alias("version"), permissive_licence(o["license"]).alias("license"),
+            F.lit(True).alias("isOa"), F.lit("Public OA metadata").alias("source"),
+        ),
+    )
+    seen = F.transform("milestones", lambda m: F.struct(m["kind"].alias("kind"), m["observedAt"].alias("observedAt"), m["date"].alias("date")))
+    shown = papers.join(l, "id", "left").where(topic.isin(*TOPIC_REASONS) & ~is_excluded(F.col("articleType"), F.col("title")))
+    return shown.select(
+        "id", "journalId", "doi", strip_private(F.col("title")).alias("title"), plain("authors").alias("authors"), plain("keywords").alias("keywords"),
+        "articleType", F.coalesce(public_url(F.col("url")), F.lit("")).alias("url"),
+        *[strip_private(F.col(c)).alias(c) for c in ("volume", "issue", "pages")],
+        published("publishedOnline"), published("publishedIssue"), published("publicationDate"), "firstSeenAt", "updatedAt",
         F.when(state == "licensed", strip_private(F.col("abstract"))).alias("abstract"),
+        F.when(state == "licensed", public_url(F.col("abstractSource"))).alias("abstractSource"),
         F.struct(state.alias("abstract"), F.col("__l").alias("license"), F.col("__s").alias("licenseSource")).alias("publicContent"),
-        F.struct(topic.alias("topic"), reason.alias("reason"), none.alias("evidence")).alias("relevance"),
+        F.struct(topic.alias("topic"), F.col("relevance.method").alias("method"), F.col("relevance.confidence").alias("confidence"), reason.alias("reason"), none.alias("evidence")).alias("relevance"),
+        locations.alias("oaLocations"), seen.alias("milestones"),
         none.alias("aliases"), none.alias("provenance"), F.lit("unavailable").alias("pdfStatus"),
     )
 
@@ -59,18 +78,55 @@ def api_paper(papers: DataFrame) -> DataFrame:
     )
 
 
+#: Marks of private data, and fields that no published record has.
+PRIVATE_MARKS = (
+    "[a-z]:[\\\\/](?:users|windows|temp)[\\\\/]", "/(?:home|users|private|tmp|var|mnt)/", "https?://(?:127[.]0[.]0[.]1|localhost)(?=[:/])",
+    "gh[pousr]_[a-z0-9]{20,}", "github_pat_[a-z0-9_]{20,}",
+)
+PRIVATE_FIELDS = ("path", "sha256", "bytes", "error", "credentials", "credentialStatus", "textPath", "runId", "lastRunId", "reviewedFingerprint")
+
+
+def _fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, str, T.DataType]]:
+    """(path, name, type) of every field, those inside structs and arrays too."""
+    out = []
+    for f in schema:
+        kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        out.append((f"{prefix}{f.name}", f.name, f.dataType))
+        if isinstance(kind, T.StructType):
+            out += _fields(kind, f"{prefix}{f.name}.")
+    return out
+
+
 def violations(published: DataFrame) -> DataFrame:
-    """(id, rule) for every rule that a published record breaks."""
-    private = "(?i)(?:\\b[a-z]:[\\\\/]|/(?:home|users|private|tmp|var|mnt)/|eyJ[\\w-]+\\.[\\w-]+\\.[\\w-]+)"
+    """(id, rule) for every rule that a published record breaks.  All texts at any
+    depth are searched in the record's JSON; repeated ids break one, too."""
+    body = F.to_json(F.struct(*published.columns))
+    plain = F.replace(body, F.lit("\\\\"), F.lit("\\"))  # JSON doubles a backslash
+    strings = F.regexp_extract_all(plain, F.lit("(?i)\"(https?://[^\"]+)\""), F.lit(1))
+    there = {f for f, _, _ in _fields(published.schema)}
+
+    def col(path: str, kind: str) -> Column:
+        return F.col(path) if path in there else F.lit(None).cast(kind)
+
+    forbidden = [p for p, name, _ in _fields(published.schema) if name in PRIVATE_FIELDS]
+    text = F.coalesce(col("abstract", "string"), F.lit(""))
+    bare = (F.coalesce(F.col("publicContent.abstract") != "licensed", F.lit(True))) | F.col("publicContent.license").isNull()
+    bare = bare | (col("abstractSource", "string").isNull() if "abstractSource" in there else F.lit(False)) | (F.size(col("authors", "array<string>")) < 1)
+    summary = F.coalesce(col("summary", "string"), F.lit(""))
+    traced = col("summarySource", "string").isNotNull() & col("summaryGeneratedAt", "string").isNotNull() & word_count(summary).between(150, 250)
     rules = {
-        "private marker": F.coalesce(F.col("title").rlike(private) | F.coalesce("abstract", F.lit("")).rlike(private), F.lit(False)),
-        "unsafe url": F.col("url").isNotNull() & (public_url(F.col("url")).isNull() | (public_url(F.col("url")) != F.col("url"))),
-        "text without licence": F.col("abstract").isNotNull() & F.coalesce(F.col("publicContent.abstract") != "licensed", F.lit(True)),
+        "private marker": plain.rlike(f"(?i){'|'.join(PRIVATE_MARKS)}"),
+        "private field": F.lit(bool(forbidden)),
+        "unsafe url": F.exists(strings, lambda u: public_url(u).isNull()),
+        "text without licence": (text != "") & bare,
+        "summary without source": (summary != "") & ~F.coalesce(traced, F.lit(False)),
         "evidence": (F.size("relevance.evidence") > 0) | (F.size("aliases") > 0) | (F.size("provenance") > 0),
         "hidden topic": ~F.coalesce(F.col("relevance.topic").isin(*TOPIC_REASONS), F.lit(False)),
-    }
-    found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda r: r.isNotNull())
-    return published.select("id", F.explode(found).alias("rule"))
+        "pdf state": col("pdf.status" if "pdf.status" in there else "pdfStatus", "string") != "unavailable",
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]), lambda r: r.isNotNull())
+    twice = published.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("rule"))
+    return published.select("id", F.explode(found).alias("rule")).unionByName(twice)
 
 
 def report_lines(papers: DataFrame, journals: DataFrame, compact: bool = False) -> DataFrame:

@@ -110,7 +110,7 @@ def merge_records(papers: DataFrame, component: str, order: Column) -> DataFrame
     fold position.  Components of one record pass unchanged."""
     rows = keyed(papers).withColumn("__ord", order)
     sized = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(component)))
-    single = sized.where("__n = 1").select(component, *papers.columns if component not in papers.columns else [c for c in papers.columns if c != component])
+    single = sized.where("__n = 1").select(component, *[c for c in papers.columns if c != component and not c.startswith("__")])
     many = sized.where("__n > 1")
     # the component's DOI comes first: licences are judged against it
     many = many.withColumn("__doi", doi_plain(_last_over("doi", component)))
@@ -180,12 +180,21 @@ def merge_papers(papers: DataFrame, order: Column) -> DataFrame:
     return merge_records(joined, "component", order).drop("component")
 
 
-def first_match(new: DataFrame, previous: DataFrame) -> DataFrame:
+def first_match(new: DataFrame, previous: DataFrame, order: Column | None = None) -> DataFrame:
     """(newId, previousId): the previous record reached by the first key that
-    matches, in key order."""
+    matches, in key order; a key of several records belongs to the last by
+    ``order`` (the records' position; their id if there is none)."""
     a = keyed(new).select(F.col("id").alias("newId"), F.posexplode("identityKeys").alias("pos", "key"))
-    b = keyed(previous).select(F.col("id").alias("previousId"), F.explode("identityKeys").alias("key"))
-    return a.join(b, "key").groupBy("newId").agg(F.min_by("previousId", F.struct("pos", "previousId")).alias("previousId"))
+    owned = keyed(previous).withColumn("__at", F.col("id") if order is None else order)
+    return first_by_key(a, owned.select(F.col("id").alias("previousId"), "__at", F.explode("identityKeys").alias("key")), "newId", "previousId")
+
+
+def first_by_key(new: DataFrame, previous: DataFrame, new_id: str, previous_id: str) -> DataFrame:
+    """``new`` is (new_id, pos, key), ``previous`` (previous_id, __at, key): each
+    key keeps its last owner before the join, so a hot key is one row there."""
+    owner = previous.groupBy("key").agg(F.max_by(previous_id, "__at").alias(previous_id))
+    reached = new.join(owner, "key").groupBy(new_id)
+    return reached.agg(F.min_by(F.struct("pos", previous_id), "pos").alias("b")).select(new_id, "b.pos", f"b.{previous_id}")
 
 
 def merge_discovered(records: DataFrame, order: Column) -> DataFrame:

@@ -101,3 +101,81 @@ def location_licence(papers: DataFrame, official: dict[str, list[str]]) -> DataF
     permit = permissive_licence(F.col("o.license"))
     ok = F.col("o.isOa") & permit.isNotNull() & (F.col("o.hostType") == "publisher") & of_publisher(F.col("o.url")) & mine & linked
     return flat.where(ok).groupBy("id").agg(F.min_by(permit, "pos").alias("licence"))
+
+
+#: The journal whose policy licences its texts, its feed's path, the
+#: licence, and the day from which the policy holds without a statement.
+POLICY_PUBLISHER, POLICY_HOSTS, POLICY_FEED = "jla", ("learning-analytics.info", "www.learning-analytics.info"), "/index.php/JLA/oai"
+POLICY_LICENCE, POLICY_SINCE = "https://creativecommons.org/licenses/by/4.0/", "2024-12"
+RIGHTS_SOURCE, POLICY_SOURCE = "JLA OAI rights", "JLA open-access policy"
+
+
+def policy_licence(papers: DataFrame) -> DataFrame:
+    """id, licence of papers whose registry abstract the journal's own licence
+    covers: the abstract is the exact record's, and both the registry's and the
+    journal's feed stand behind the paper, with a published open version under it."""
+    record = F.concat(F.lit("https://api.crossref.org/works/"), F.url_encode(F.lower(F.trim("doi"))))
+    on_host = lambda u: F.lower(F.try_parse_url(u, F.lit("HOST"))) == POLICY_HOSTS[0]
+    from_registry = F.exists("provenance", lambda p: (p["source"] == "crossref") & (p["url"] == record))
+    from_feed = F.exists("provenance", lambda p: (p["source"] == "jla-oai") & on_host(p["url"]) & (F.try_parse_url(p["url"], F.lit("PATH")) == POLICY_FEED))
+    open_version = F.exists(
+        "oaLocations",
+        lambda o: o["isOa"] & (o["hostType"] == "publisher") & (o["version"] == "publishedVersion") & (o["source"] == RIGHTS_SOURCE)
+        & (permissive_licence(o["license"]) == POLICY_LICENCE) & on_host(o["url"]) & (same_url_key(o["url"]) == same_url_key(F.col("url"))),
+    )
+    text = (F.coalesce("abstract", F.lit("")) != "") & (F.size("authors") > 0) & (F.col("abstractSource") == record)
+    ok = (F.col("publisher") == POLICY_PUBLISHER) & text & from_registry & from_feed & open_version
+    return papers.where(F.coalesce(ok, F.lit(False))).select("id", F.lit(POLICY_LICENCE).alias("licence"))
+
+
+def repository_licence(papers: DataFrame, verified: DataFrame) -> DataFrame:
+    """id, licence of papers whose abstract was recovered from a verified file that
+    is exactly the repository's PDF under that licence."""
+    source = same_url_key(F.regexp_replace(public_url(F.col("abstractSource")), "#.*$", ""))
+    file = same_url_key(F.regexp_replace(public_url(F.col("pdf.sourceUrl")), "#.*$", ""))
+    flat = papers.where((F.coalesce("abstract", F.lit("")) != "") & (F.size("authors") > 0) & (source == file))
+    flat = flat.join(verified.select("id"), "id", "left_semi").select("id", source.alias("__s"), F.posexplode("oaLocations").alias("pos", "o"))
+    permit = permissive_licence(F.col("o.license"))
+    same = same_url_key(public_url(F.col("o.pdfUrl"))) == F.col("__s")
+    ok = F.col("o.isOa") & (F.col("o.hostType") == "repository") & permit.isNotNull() & same
+    return flat.where(F.coalesce(ok, F.lit(False))).groupBy("id").agg(F.min_by(permit, "pos").alias("licence"))
+
+
+def abstract_licences(papers: DataFrame, official: dict[str, list[str]], verified: DataFrame, as_of: str) -> DataFrame:
+    """id, licence, source: the registry's terms decide first, then the journal's
+    policy, the publisher's own location and the repository's file; an aggregator's
+    text has no licence but by the first two."""
+    none = F.lit(None).cast("string").alias("source")
+    second_hand = F.coalesce(F.col("abstractSource").rlike("(?i)(?:^|//)api[.](?:openalex|crossref)[.]org/"), F.lit(False))
+    own = papers.where(~second_hand)
+    routes = [
+        registry_licence(papers, as_of).select("id", "licence", "source"),
+        policy_licence(papers).select("id", "licence", none),
+        location_licence(own, official).select("id", "licence", none),
+        repository_licence(own, verified).select("id", "licence", none),
+    ]
+    every = routes[0].withColumn("rank", F.lit(0))
+    for i, r in enumerate(routes[1:], 1):
+        every = every.unionByName(r.withColumn("rank", F.lit(i)))
+    return every.groupBy("id").agg(F.min_by(F.struct("licence", "source"), "rank").alias("r")).select("id", "r.licence", "r.source")
+
+
+def policy_locations(url: Column, date: Column, relations: Column, rights: Column) -> Column:
+    """Open locations of an article of the policy journal: its page and related
+    pages on its hosts; views of a galley file are its download."""
+    stated = F.nullif(F.regexp_extract(rights, "(?i)https?://creativecommons[.]org/licenses/[^\\s<>]+", 0), F.lit(""))
+    licence = F.coalesce(stated, F.when(date >= POLICY_SINCE, POLICY_LICENCE))
+    pages = F.filter(F.array_distinct(F.concat(F.array(url), F.coalesce(relations, F.array().cast("array<string>")))), lambda u: F.coalesce(F.lower(F.try_parse_url(u, F.lit("HOST"))).isin(*POLICY_HOSTS), F.lit(False)))
+
+    def file(u: Column) -> Column:
+        galley = u.rlike("/article/view/\\d+/\\d+(?:$|[?])")
+        direct = F.lower(u).contains("/article/download/") | u.rlike("(?i)[.]pdf(?:$|[?])")
+        return F.when(direct, u).when(galley, F.replace(u, F.lit("/article/view/"), F.lit("/article/download/")))
+
+    return F.transform(
+        pages,
+        lambda u: F.struct(
+            u.alias("url"), file(u).alias("pdfUrl"), F.lit("publisher").alias("hostType"), F.lit("publishedVersion").alias("version"),
+            licence.alias("license"), F.lit(True).alias("isOa"), F.when(stated.isNotNull(), RIGHTS_SOURCE).otherwise(POLICY_SOURCE).alias("source"),
+        ),
+    )

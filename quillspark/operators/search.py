@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from calendar import monthrange
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +87,18 @@ def parse_search(params: dict[str, str | Sequence[str]], journals: Sequence[str]
     )
 
 
-def name_matches(name: str, title: Column, authors: Column, normalise: bool = False) -> Column:
-    needle = name.lower()
-    folded = F.transform(F.concat(F.array(title), F.coalesce(authors, F.array().cast("array<string>"))), lambda x: F.lower(x))
-    if normalise:  # one Python pass over the title only; authors fold in the JVM
-        return text.fold(title).contains(needle) | F.exists(folded, lambda x: x.contains(needle))
-    return F.exists(folded, lambda x: F.coalesce(x.contains(needle), F.lit(False)))
+def name_matches(name: str, title: Column, authors: Column, normalise: bool = True) -> Column:
+    """The folded name is a part of the folded title or of one author's name."""
+    # one fold over title and authors, parted by line ends
+    names = F.array_join(F.concat(F.array(F.coalesce(title, F.lit(""))), F.coalesce(authors, F.array().cast("array<string>"))), "\n")
+    return F.coalesce(text.fold(names, normalise).contains(text.folded(name)), F.lit(False))
 
 
-def keywords_match(keywords: str, *parts: Column) -> Column:
+def keywords_match(keywords: str, *parts: Column, normalise: bool = True) -> Column:
     """Every white-space token is a substring of the joined folded parts."""
-    body = F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
+    body = text.fold(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]), normalise)
     out = F.lit(True)
-    for token in keywords.lower().split():
+    for token in text.folded(keywords).split():
         out = out & body.contains(token)
     return out
 
@@ -127,7 +126,8 @@ def paper_filter(f: SearchFilters, normalise: bool = True) -> Column:
     if f.name:
         out = out & name_matches(f.name, F.col("title"), F.col("authors"), normalise)
     if f.keywords:
-        body = keywords_match(f.keywords, F.col("title"), F.col("abstract"), F.array_join("keywords", " "), F.col("summary"))
+        parts = F.col("title"), F.col("abstract"), F.array_join("keywords", " "), F.col("summary")
+        body = keywords_match(f.keywords, *parts, normalise=normalise)
         out = out & body
     return out
 
@@ -165,6 +165,14 @@ def search(papers: DataFrame, f: SearchFilters) -> SearchResult:
     return SearchResult(ordered.offset((page - 1) * PAGE_SIZE).limit(PAGE_SIZE), total, page, pages)
 
 
+def public_search(papers: DataFrame, f: SearchFilters) -> SearchResult:
+    """The search of a published library: its PDF filter means an open link."""
+    if f.pdf != "any":
+        linked = open_access_url(F.col("oaLocations")).isNotNull()
+        papers = papers.where(linked if f.pdf == "downloaded" else ~linked)
+    return search(papers, replace(f, pdf="any"))
+
+
 def by_id(papers: DataFrame, key: str) -> DataFrame:
     """One visible paper."""
     return papers.where((F.col("id") == key) & F.col("relevance.topic").isin(*VISIBLE_TOPICS))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, identifiers, text
-from quillspark.operators import classify, coverage, enrichment, identity, licences, lifecycle, queues, search
+from quillspark.model import paper_schema
+from quillspark.operators import archive, classify, coverage, enrichment, export, identity, licences, lifecycle, queues, search
+from quillspark.sources import snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +59,57 @@ def _end(v: str) -> str:
     return f"CASE length({v}) WHEN 10 THEN try_cast({v} AS DATE) WHEN 7 THEN last_day(try_cast({v} || '-01' AS DATE)) WHEN 4 THEN try_cast({v} || '-12-31' AS DATE) END"
 
 
+def paper_table(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` in the paper schema: the named columns, empty lists, else null."""
+    out = []
+    for f in paper_schema():
+        c = made.get(f.name)
+        if c is None:
+            c = F.array() if f.name in ("aliases", "authors", "keywords", "oaLocations", "milestones", "provenance") else F.lit(None)
+        elif f.dataType.typeName() == "struct":
+            c = F.when(c.isNotNull(), F.from_json(F.to_json(c), f.dataType))
+        elif f.name in ("oaLocations", "milestones", "provenance"):
+            c = F.from_json(F.to_json(c), f.dataType)
+        out.append(c.cast(f.dataType).alias(f.name))
+    return rows.select(*out)
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers whose states follow from the document's number."""
+    d = titled(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    n = F.col("doc_id")
+
+    def by(k: int, *values: str | None) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (n % k + 1).cast("int"))
+
+    tried = F.struct(F.concat(F.lit("2025-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0")).alias("checkedAt"), by(4, None, "available", "partial", "not-found").alias("status"))
+    address = F.concat(F.lit("https://x.org/"), n.cast("string"))
+    place = F.struct(address.alias("url"), F.when(n % 4 == 0, F.concat(address, F.lit(".pdf"))).alias("pdfUrl"), F.lit("repository").alias("hostType"), F.lit(True).alias("isOa"))
+    return paper_table(
+        d, id=F.concat(F.lit("d"), n.cast("string")), journalId=F.col("source"), title=F.col("title"),
+        abstract=F.when(n % 9 == 1, "  ").when(n % 9 != 0, F.col("text")), summary=F.when(F.col("lang") == "de", F.col("title")),
+        authors=F.array(F.concat(F.lit("Author "), (n % 100).cast("string"))), keywords=F.array("lang"),
+        articleType=F.when(n % 7 == 0, "editorial").otherwise("journal-article"),
+        relevance=F.struct(by(5, "both", "learning-analytics", "ai", "unrelated", "pending").alias("topic"), by(3, "codex", "rules", "rules").alias("method"), F.lit("low").alias("confidence")),
+        abstractRetrieval=F.when(n % 4 != 0, tried), pdf=F.struct(by(6, "downloaded", "pending", "pending", "failed", "blocked", "unavailable").alias("status")),
+        publicContent=F.struct(F.when(F.col("quality") == 1, "licensed").when(F.col("quality") == 0, "withheld").otherwise("unavailable").alias("abstract")),
+        oaLocations=F.when(n % 2 == 0, F.array(place)).otherwise(F.array()),
+        publicationDate=F.struct(F.concat(F.lit("20"), F.lpad((n % 20).cast("string"), 2, "0")).alias("value"), F.lit("year").alias("precision")),
+    )
+
+
+# the same papers for the oracle
+PAPERS = f"""SELECT doc_id AS n, 'd' || doc_id AS id, source AS journal, title, text,
+  CASE doc_id % 9 WHEN 1 THEN '  ' WHEN 0 THEN NULL ELSE text END AS abstract, CASE WHEN lang = 'de' THEN title END AS summary, lang, quality,
+  CASE doc_id % 5 WHEN 0 THEN 'both' WHEN 1 THEN 'learning-analytics' WHEN 2 THEN 'ai' WHEN 3 THEN 'unrelated' ELSE 'pending' END AS topic,
+  doc_id % 3 = 0 AS reviewed, doc_id % 7 = 0 AS excluded, doc_id % 4 <> 0 AS tried, doc_id % 4 AS state, doc_id % 6 = 0 AS downloaded,
+  CASE quality WHEN 1 THEN 'licensed' WHEN 0 THEN 'withheld' ELSE 'unavailable' END AS public,
+  '2025-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS checked_at, doc_id % 4 = 0 AS open_pdf, doc_id % 2 = 0 AS open_page
+  FROM ({TITLED}) LEFT JOIN labels USING (doc_id)"""
+_SHOWN, _SUMMARY = "trim(coalesce(abstract, ''), ' \t\n\r') <> ''", "trim(coalesce(summary, ''), ' \t\n\r') <> ''"
+_VISIBLE = "topic IN ('both', 'learning-analytics', 'ai')"
+
+
 NAME, KEYWORDS, SOURCES = "the", "that with", ("src0", "src3", "src5", "src7")
 
 SEARCHED = f"""SELECT d.doc_id, d.title, d.source, coalesce(l.quality, -1) AS quality FROM ({TITLED}) d LEFT JOIN labels l USING (doc_id)
@@ -117,19 +170,20 @@ def search_date_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH o AS (SELECT o_custkey, o_orderkey, {_start('value')} AS s FROM ({PARTIAL}))
-SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC NULLS LAST, o_orderkey)::INTEGER AS newest,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY s ASC NULLS LAST, o_orderkey)::INTEGER AS oldest FROM o
+WITH o AS (SELECT o_custkey, o_orderkey, o_clerk, {_start('value')} AS s FROM (SELECT p.*, 'Clerk ' || (o_orderkey % 3) AS o_clerk FROM ({PARTIAL}) p))
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC NULLS LAST, o_clerk, o_orderkey)::INTEGER AS newest,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY s ASC NULLS LAST, o_clerk, o_orderkey)::INTEGER AS oldest FROM o
 """)
 def search_sort_unknown_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks inside each customer, unknown dates last in both directions."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", dates.interval_start(partial_date()).alias("s"))
+    clerk = F.concat(F.lit("Clerk "), (F.col("o_orderkey") % 3).cast("string"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", clerk.alias("title"), partial_date().alias("value"))
     by = Window.partitionBy("o_custkey")
-    return o.select(
-        "o_orderkey",
-        F.row_number().over(by.orderBy(F.col("s").desc_nulls_last(), "o_orderkey")).alias("newest"),
-        F.row_number().over(by.orderBy(F.col("s").asc_nulls_last(), "o_orderkey")).alias("oldest"),
-    )
+
+    def rank(sort: str) -> Column:
+        return F.row_number().over(by.orderBy(*search.ordering(F.col("value"), F.col("title"), F.col("o_orderkey"), sort)))
+
+    return o.select("o_orderkey", rank("newest").alias("newest"), rank("oldest").alias("oldest"))
 
 
 _ODD = "CASE WHEN o_orderkey % 7 = 0 THEN '2025-02-29' WHEN o_orderkey % 7 = 1 THEN '2025-13' ELSE value END"
@@ -270,44 +324,82 @@ def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", r.alias("r")).select("doc_id", F.col("r.topic").alias("topic"), F.array_join("r.evidence", "; ").alias("evidence"))
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shown, checked, public, summary of each document."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select(
-        "doc_id", "source", "n_chars", (F.col("n_chars") >= 400).alias("shown"), F.col("quality").isNotNull().alias("checked"),
-        F.when(F.col("quality") == 1, "licensed").when(F.col("quality") == 0, "withheld").alias("public"), (F.col("lang") == "en").alias("summary"),
-    )
+_COVERED = f"""count(*) AS papers, count_if({_SHOWN}) AS available, count_if(NOT ({_SHOWN})) AS missing, count_if({_SUMMARY}) AS summaries,
+  count_if(tried) AS attempted, count_if(state = 2) AS partial, count_if(state = 3) AS "notFound", count_if(NOT tried) AS "noRecordedCheck",
+  count_if(NOT ({_SHOWN}) AND NOT tried) AS "missingWithoutRecordedCheck", max(CASE WHEN tried THEN checked_at END) AS "lastCheckedAt\""""
 
 
-_STATES = """SELECT d.doc_id, source, n_chars, n_chars >= 400 AS shown, quality IS NOT NULL AS checked,
-  CASE quality WHEN 1 THEN 'licensed' WHEN 0 THEN 'withheld' END AS public, lang = 'en' AS summary FROM documents d LEFT JOIN labels l USING (doc_id)"""
-_COUNTS = """count(*) AS total, count_if(shown) AS available, count_if(NOT shown) AS missing, count_if(checked AND NOT shown) AS checked,
-  count_if(NOT checked AND NOT shown) AS unchecked, count_if(public = 'licensed') AS licensed, count_if(public = 'withheld') AS withheld,
-  count(*) - count_if(public = 'licensed') - count_if(public = 'withheld') AS unavailable, count_if(summary) AS summaries, max(n_chars) AS longest"""
+@query(f"SELECT {_COVERED} FROM ({PAPERS}) WHERE {_VISIBLE}")
+def coverage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.abstract_coverage(papers(spark, sf_dir))
 
 
-def _counts() -> list[Column]:
-    return [*coverage.state_counts(F.col("shown"), F.col("checked"), F.col("public"), F.col("summary")), F.max("n_chars").alias("longest")]
+@query(f"""
+WITH c AS (SELECT journal, {_COVERED} FROM ({PAPERS}) WHERE {_VISIBLE} GROUP BY journal), s AS (SELECT journal FROM c UNION SELECT 'none')
+SELECT s.journal AS "journalId", {', '.join(f'coalesce("{c}", 0) AS "{c}"' for c in coverage.COVERAGE)}, "lastCheckedAt" FROM s LEFT JOIN c ON s.journal = c.journal
+""")
+def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = coverage.abstract_coverage(papers(spark, sf_dir), "journalId")
+    return coverage.zero_filled(counted, spark.createDataFrame([("none",)], "journalId string"), "journalId")
 
 
-@query(f"SELECT {_COUNTS} FROM ({_STATES})")
-def coverage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).agg(*_counts())
+@query(f"""
+SELECT journal AS "journalId", count(*) AS papers, count_if(public = 'licensed' AND {_SHOWN}) AS licensed, count_if(public = 'withheld') AS withheld,
+  count(*) - count_if(public = 'withheld' OR public = 'licensed' AND {_SHOWN}) AS unavailable, count_if({_SUMMARY}) AS summaries FROM ({PAPERS}) GROUP BY journal
+""")
+def public_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.public_coverage(papers(spark, sf_dir), "journalId")
 
 
 @query(f"""
-WITH c AS (SELECT source, {_COUNTS} FROM ({_STATES}) GROUP BY source), s AS (SELECT source FROM c UNION SELECT 'none')
-SELECT s.source, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*coverage.COUNTS, 'longest'))} FROM s LEFT JOIN c ON s.source = c.source
+SELECT count(*) AS papers, count_if({_SHOWN}) AS abstracts, count_if({_SUMMARY}) AS summaries, count_if(downloaded) AS pdfs,
+  count_if(NOT ({_SHOWN})) AS "missingAbstracts", count_if(NOT downloaded AND open_pdf) AS "pdfQueued" FROM ({PAPERS}) WHERE {_VISIBLE}
 """)
-def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _states(spark, sf_dir).groupBy("source").agg(*_counts())
-    return coverage.zero_filled(counted, spark.createDataFrame([("none",)], "source string"), "source")
+def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.content_counts(papers(spark, sf_dir))
 
 
-@query(f"""SELECT count(*) AS documents, count_if(public = 'licensed') AS licensed, count_if(public = 'withheld') AS withheld,
-  count(*) - count_if(public = 'licensed') - count_if(public = 'withheld') AS unavailable FROM ({_STATES})""")
-def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).agg(*_counts()).select(F.col("total").alias("documents"), "licensed", "withheld", "unavailable")
+@query(f"""
+SELECT count(*) AS papers, count_if(coalesce(abstract, '') <> '') AS abstracts, count_if(coalesce(summary, '') <> '') AS summaries, 0 AS pdfs,
+  count_if(coalesce(abstract, '') = '') AS "missingAbstracts", 0 AS "pdfQueued", count_if(open_page) AS "oaLinks",
+  count_if(public = 'withheld') AS "withheldAbstracts" FROM ({PAPERS})
+""")
+def public_content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.content_counts(papers(spark, sf_dir), public=True)
+
+
+@query(f"""
+SELECT id, CASE WHEN {_SHOWN} THEN 'Author abstract available' WHEN NOT tried THEN 'No recorded abstract check' WHEN state = 2 THEN 'Abstract retrieval incomplete'
+    WHEN state = 3 THEN 'Author abstract not found' ELSE 'Author abstract currently unavailable' END AS local_label,
+  CASE WHEN public = 'withheld' THEN 'withheld' WHEN public = 'licensed' AND {_SHOWN} THEN 'available' ELSE 'unavailable' END AS public_kind FROM ({PAPERS})
+""")
+def abstract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir).select("id", coverage.abstract_label(False).alias("here"), coverage.abstract_label(True).alias("public"))
+    return p.select("id", F.col("here.label").alias("local_label"), F.col("public.kind").alias("public_kind"))
+
+
+@query(f"""
+SELECT count_if(NOT excluded AND NOT reviewed) AS unreviewed, count_if({_VISIBLE} AND NOT downloaded AND open_pdf) AS queued FROM ({PAPERS})
+""")
+def run_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.run_warnings(papers(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT source AS j, count(*) AS discovered, count_if(doc_id % 50 = 0) = 0 AS clean, bool_or(doc_id % 3 = 0) AND source <> 'src1' AS complete FROM documents GROUP BY 1
+  UNION ALL SELECT 'none', 0, true, false)
+SELECT j AS "journalId", CASE WHEN complete AND clean THEN 'ok' WHEN complete OR discovered > 0 THEN 'partial' ELSE 'failed' END AS status,
+  CASE WHEN complete THEN '2025-06-01' WHEN j = 'src1' THEN '2025-05-01' END AS "lastSuccessAt" FROM c
+""")
+def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("journalId")).agg(
+        F.count(F.lit(1)).cast("int").alias("discovered"), F.when(F.count_if(F.col("doc_id") % 50 == 0) > 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("errors"),
+        (F.bool_or(F.col("doc_id") % 3 == 0) & (F.col("journalId") != "src1")).alias("complete"),
+    )
+    kind = "journalId string, discovered int, errors array<string>, complete boolean"
+    checked = d.unionByName(spark.createDataFrame([("none", 0, [], False)], kind))
+    prior = spark.createDataFrame([("src1", "2025-05-01"), ("src2", "2025-05-01")], "journalId string, lastSuccessAt string")
+    return coverage.source_health(checked, prior, "2025-06-01").select("journalId", "status", "lastSuccessAt")
 
 
 @query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -329,23 +421,34 @@ def journal_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.zero_filled(counted, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey")), "nationkey", extra)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
-def semi_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noticed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(noticed, "c_custkey", "left_semi").select("c_custkey", "c_name")
-
-
-@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
-def anti_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+@query(f"""
+WITH k AS (SELECT 'd' || doc_id AS id, count(*) AS told FROM (SELECT doc_id, unnest([1, 2]) AS i FROM labels WHERE quality = 1) GROUP BY 1)
+SELECT journal AS "journalId", count(*) AS papers, sum(told)::BIGINT AS notices FROM ({PAPERS}) JOIN k USING (id) GROUP BY journal
+""")
+def report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of a digest are those with a notice; here labelled ones have two."""
+    twice = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paperId"), F.explode(F.array(F.lit("online"), F.lit("issue"))).alias("kind"))
+    return coverage.report_counters(papers(spark, sf_dir), twice)
 
 
-@query("SELECT sha256(text) AS text_sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
-def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the digest, not the text, is shuffled
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    return docs.groupBy("text_sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+@query("""
+WITH p AS (SELECT 'd' || (doc_id // 2) AS id, source, CASE WHEN doc_id % 5 = 0 THEN '2025-01' ELSE '2025' END AS v FROM documents)
+SELECT 'duplicate id' AS rule, id FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown journal', id FROM p WHERE source NOT IN ('src1', 'src2')
+UNION ALL SELECT 'unknown source journal', 'src9' UNION ALL SELECT 'date precision', id FROM p WHERE length(v) <> 4
+""")
+def library_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a snapshot: ids once, known journals, dates as long as they say."""
+    n = F.col("doc_id")
+    value = F.when(n % 5 == 0, "2025-01").otherwise("2025")
+    half = F.floor(n / 2).cast("string")
+    rows = paper_table(
+        table(spark, sf_dir, "documents"), id=F.concat(F.lit("d"), half), journalId=F.col("source"),
+        publicationDate=F.struct(value.alias("value"), F.lit("year").alias("precision")),
+    )
+    journals = spark.createDataFrame([("src1",), ("src2",)], "id string")
+    sources = spark.createDataFrame([("src1",), ("src9",)], "journalId string")
+    header = spark.createDataFrame([(1,)], "schemaVersion int")
+    return snapshot.problems(snapshot.Library(header, rows, journals, sources))
 
 
 _TITLE_KEY = r"regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g')"
@@ -353,18 +456,16 @@ _TITLE_KEY = r"regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g')"
 
 @query(f"""
 WITH k AS (SELECT doc_id, unnest([1, 2]) AS pos, unnest(['text:' || substr(sha256(text), 1, 24), 'title:' || source || ':' || {_TITLE_KEY}]) AS key FROM ({TITLED})),
-m AS (SELECT n.doc_id, n.pos, p.doc_id AS previous FROM k n JOIN k p USING (key) WHERE n.doc_id % 2 = 1 AND p.doc_id % 2 = 0)
-SELECT doc_id, min(pos)::INTEGER AS key_position, arg_min(previous, pos * 1000000000 + previous) AS previous_id FROM m GROUP BY doc_id
+o AS (SELECT key, max(doc_id) AS previous FROM k WHERE doc_id % 2 = 0 GROUP BY key)
+SELECT doc_id, min(pos)::INTEGER AS key_position, arg_min(previous, pos) AS previous_id FROM k JOIN o USING (key) WHERE doc_id % 2 = 1 GROUP BY doc_id
 """)
 def first_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For odd documents the even one that their first matching key reaches."""
+    """For odd documents the even one that their first matching key reaches; a
+    key of several belongs to the last."""
     keys = _document_keys(spark, sf_dir)
-    new = keys.where("doc_id % 2 = 1")
-    old = keys.where("doc_id % 2 = 0").select(F.col("doc_id").alias("previous"), "key")
-    best = F.min(F.struct("pos", "previous"))
-    return new.join(old, "key").groupBy("doc_id").agg(best.alias("b")).select(
-        "doc_id", F.col("b.pos").alias("key_position"), F.col("b.previous").alias("previous_id")
-    )
+    old = keys.where("doc_id % 2 = 0").select(F.col("doc_id").alias("previous_id"), F.col("doc_id").alias("__at"), "key")
+    found = identity.first_by_key(keys.where("doc_id % 2 = 1"), old, "doc_id", "previous_id")
+    return found.select("doc_id", F.col("pos").alias("key_position"), "previous_id")
 
 
 def _document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +475,12 @@ def _document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.array(by_text, by_title)).alias("p", "key")).select("doc_id", (F.col("p") + 1).alias("pos"), "key")
 
 
-@query("SELECT conv_id, string_agg(role, ', ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(DISTINCT role, ', ' ORDER BY role) AS roles FROM conversations GROUP BY conv_id")
 def notice_kinds_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return c.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ", ").alias("roles"))
+    c = table(spark, sf_dir, "conversations")
+    noticed = c.select(F.col("conv_id").alias("paperId"), F.col("role").alias("kind"))
+    found = lifecycle.joined_kinds(c.select(F.col("conv_id").alias("id")).distinct(), noticed)
+    return found.select(F.col("id").alias("conv_id"), F.col("kinds").alias("roles"))
 
 
 _DAY = "DATE '2024-01-20'"
@@ -428,21 +531,26 @@ def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {_COMPONENTS}, d AS (SELECT * FROM ({TITLED}) JOIN c USING (doc_id))
-SELECT component, count(*) AS records, min(doc_id) AS first_id, arg_max(lang, doc_id) AS last_lang,
-  arg_max(title, length(title) * 1000000000 + doc_id) AS title, arg_max(doc_id, n_chars * 1000000000 - doc_id) AS longest_id,
-  array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs FROM d GROUP BY component
+WITH RECURSIVE {_COMPONENTS}, d AS (SELECT * FROM ({TITLED}) JOIN c USING (doc_id)),
+  w AS (SELECT component, lang, min(doc_id) AS seen FROM d GROUP BY 1, 2)
+SELECT 'd' || min(doc_id) AS id, arg_max(lang, doc_id) AS volume, arg_max(title, length(title) * 1000000000 + doc_id) AS title,
+  sha256(arg_max(text, length(text) * 1000000000 - doc_id)) AS text_sha256, count(*) AS milestones,
+  (SELECT string_agg(lang, ',' ORDER BY seen) FROM w WHERE w.component = d.component) AS langs FROM d GROUP BY component
 """)
 def survivorship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, last, longest and united fields of each component."""
-    roots = identity_components(spark, sf_dir)
-    d = titled(table(spark, sf_dir, "documents")).join(roots, "doc_id")
-    o = F.col("doc_id")
-    return d.groupBy("component").agg(
-        F.count("*").alias("records"), F.min("doc_id").alias("first_id"), F.max_by("lang", o).alias("last_lang"),
-        F.max_by("title", F.struct(F.length("title"), o)).alias("title"), F.max_by("doc_id", F.struct("n_chars", -o)).alias("longest_id"),
-        F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"),
+    """Documents that share a text or a title in a source become one record: first
+    id, last volume, longest title and text, languages and milestones of all."""
+    n = F.col("doc_id")
+    seen = F.array(F.struct(F.lit("online").alias("kind"), F.concat(F.lit("run"), n.cast("string")).alias("runId"), F.lit("2025-01-01").alias("observedAt")))
+    records = paper_table(
+        titled(table(spark, sf_dir, "documents")), id=F.concat(F.lit("d"), n.cast("string")), journalId=F.col("source"), title=F.col("title"),
+        aliases=F.array(F.concat(F.lit("text:"), F.substring(F.sha2("text", 256), 1, 24))), abstract=F.col("text"), volume=F.col("lang"),
+        keywords=F.array("lang"), milestones=seen, updatedAt=n.cast("string"),
     )
+    merged = identity.merge_papers(records, F.substring("id", 2, 20).cast("long"))
+    return merged.select(
+        "id", "volume", "title", F.sha2("abstract", 256).alias("text_sha256"), F.size("milestones").cast("long").alias("milestones"), F.array_join("keywords", ",").alias("langs")
+    )
 
 
 @query("""
@@ -451,10 +559,10 @@ SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id)
 """)
 def keep_last_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last event of each type, at the place of the type's first."""
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    kept = e.agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"), F.min("event_id").alias("first"))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("first"))
-    return kept.withColumn("position", place).drop("first")
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", "event_type", "value").alias("e"))
+    items = e.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("items"))  # a user's milestones
+    kept = items.select("user_id", F.posexplode(identity.keep_last_per_key(F.col("items"), lambda x: x["event_type"])).alias("at", "e"))
+    return kept.select("user_id", "e.event_type", "e.event_id", "e.value", (F.col("at") + 1).alias("position"))
 
 
 _QUEUE = """
@@ -481,23 +589,23 @@ def resume_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("o_orderkey", F.row_number().over(order).alias("rank"))
 
 
-@query("""
-WITH a AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id),
-q AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus <> 'F') DESC, (last IS NOT NULL), coalesce(strftime(last, '%Y-%m-%d %H:%M:%S'), ''), o_orderdate DESC, o_orderkey)::INTEGER AS rank
-  FROM orders LEFT JOIN a ON user_id = o_custkey)
-SELECT o_orderkey, rank, (SELECT count(*) FROM orders) - 100 AS remaining FROM q WHERE rank <= 100
+_ATTEMPT = "CASE n % 4 WHEN 1 THEN '2025-05-' || lpad((n % 30 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' WHEN 2 THEN 'unreadable' END"
+
+
+@query(f"""
+WITH a AS (SELECT *, {_ATTEMPT} AS attempt, {_VISIBLE} AND NOT excluded AS relevant FROM ({PAPERS})),
+q AS (SELECT id, row_number() OVER (ORDER BY relevant DESC, attempt IS NOT NULL, coalesce(attempt, ''), '20' || lpad((n % 20)::VARCHAR, 2, '0') DESC, id)::INTEGER AS rank FROM a
+  WHERE NOT excluded AND (coalesce(abstract, '') = '' OR NOT open_pdf) AND (attempt IS NULL OR attempt = 'unreadable' OR attempt < '2025-05-13T00:00:00Z'))
+SELECT id, rank, (SELECT greatest(0, count(*) - 100) FROM q) AS remaining FROM q WHERE rank <= 100
 """)
 def priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant, never attempted, oldest attempt, newest record; head and rest."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    o = table(spark, sf_dir, "orders").join(last, F.col("user_id") == F.col("o_custkey"), "left")
-    order = [
-        (F.col("o_orderstatus") != "F").cast("int").desc(), F.col("last").isNotNull().cast("int"),
-        F.coalesce(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.col("o_orderdate").desc(), F.col("o_orderkey"),
-    ]
-    first, remaining = queues.head(o.orderBy(*order), 100)
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.select("o_orderkey", "rank", F.lit(remaining).cast("long").alias("remaining"))
+    """Relevant, never attempted, oldest attempt, newest paper; head and rest."""
+    p, n = papers(spark, sf_dir), F.substring("id", 2, 20).cast("long")
+    day = F.concat(F.lit("2025-05-"), F.lpad((n % 30 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
+    tried = p.select("id", F.when(n % 4 == 1, day).when(n % 4 == 2, "unreadable").alias("attemptedAt")).where("attemptedAt is not null")
+    first, remaining = queues.head(queues.enrichment_queue(p, tried, "2025-05-20 00:00:00"), 100)
+    numbered = first.select("id", F.monotonically_increasing_id().alias("at"))  # sorted, in one partition
+    return numbered.select("id", F.row_number().over(Window.orderBy("at")).alias("rank"), F.lit(remaining).cast("long").alias("remaining"))
 
 
 @query("""
@@ -516,22 +624,13 @@ def lifecycle_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", kind.alias("kind"))
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos FROM documents)
-SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS text_sha256 FROM w WHERE pos < 500 GROUP BY doc_id
-""")
-def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inverted index of each text, and the first 500 words rebuilt from it
-    (a check of a small cap; the operator's own cap is in the next query)."""
-    return enrichment.rebuild_text(_inverted_index(spark, sf_dir), "doc_id", "index", cap=500).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-
-
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos FROM documents)
 SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS text_sha256 FROM w WHERE pos < 50000 GROUP BY doc_id
 """)
-def inverted_index_rebuild_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the operator's own cap of 50,000 positions."""
+def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inverted index of each text, and the text rebuilt from it with the
+    operator's cap of 50,000 positions."""
     return enrichment.rebuild_text(_inverted_index(spark, sf_dir), "doc_id", "index").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -552,7 +651,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, {_TITLE_KEY} AS letters, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS folded FROM ({TITLED})")
 def title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = titled(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", text.title_letters(F.col("title")).alias("letters"), text.title_key(F.col("title")).alias("folded"))
+    return d.select("doc_id", text.title_letters(F.col("title")).alias("letters"), text.title_key(F.col("title"), numeric=False).alias("folded"))
 
 
 @query(rf"""
@@ -599,29 +698,128 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.sha2("t", 256).alias("text_sha256"))
 
 
+_SECRETS_SQL = r"""regexp_replace({c}, '(?i)\b((?:api[-_ ]?key|access[-_ ]?token|token|secret|password|passwd)\s*[:=]\s*["'']?)[^\s"''&,;]+', '\1[REDACTED]', 'g')"""
+
+
 @query(f"""
-SELECT doc_id, title, source, CASE WHEN quality = 1 THEN sha256(text) END AS text_sha256,
-  CASE WHEN quality = 1 THEN 'licensed' WHEN text <> '' THEN 'withheld' ELSE 'unavailable' END AS state
-FROM ({TITLED}) LEFT JOIN labels USING (doc_id) WHERE lang <> 'es'
+SELECT id, {_SECRETS_SQL.format(c='title')} AS title, journal AS "journalId", CASE WHEN coalesce(abstract, '') = '' THEN 'unavailable' WHEN quality = 1 THEN 'licensed' ELSE 'withheld' END AS state,
+  CASE WHEN quality = 1 AND coalesce(abstract, '') <> '' THEN sha256({_SECRETS_SQL.format(c='abstract')}) END AS text_sha256,
+  CASE topic WHEN 'both' THEN 'This paper relates to learning analytics and artificial intelligence.' WHEN 'ai' THEN 'This paper relates to artificial intelligence.'
+    ELSE 'This paper relates to learning analytics.' END AS reason, CASE WHEN open_page THEN 1 ELSE 0 END AS locations
+FROM ({PAPERS}) WHERE {_VISIBLE} AND NOT excluded
 """)
 def public_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named columns only, text only where it is permitted."""
-    d = titled(table(spark, sf_dir, "documents")).where("lang <> 'es'").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    ok = F.coalesce(F.col("quality") == 1, F.lit(False))
-    state = F.when(ok, "licensed").when(F.col("text") != "", "withheld").otherwise("unavailable")
-    return d.select("doc_id", "title", "source", F.when(ok, F.sha2("text", 256)).alias("text_sha256"), state.alias("state"))
+    """Named columns only, text only where a licence permits it."""
+    return _published(spark, sf_dir).select(
+        "id", "title", "journalId", F.col("publicContent.abstract").alias("state"), F.sha2("abstract", 256).alias("text_sha256"),
+        F.col("relevance.reason").alias("reason"), F.size("oaLocations").alias("locations"),
+    )
 
 
-@query(rf"""
-SELECT 'd' || doc_id AS id, rule FROM (
-  SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '(?i)\btoken\s*=') THEN 'secret' END, CASE WHEN n_chars < 300 THEN 'short' END]) AS rule FROM documents) WHERE rule IS NOT NULL
-UNION ALL SELECT 'p' || page_id, 'unsafe url' FROM ({_KEPT}) WHERE len([p FOR p IN kept IF NOT regexp_matches(p, '(?i){_ALLOWED}')]) > 0
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where("quality = 1")
+    licence = labels.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("CC BY").alias("licence"), F.lit(None).cast("string").alias("source"))
+    return export.public_papers(papers(spark, sf_dir), licence)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({PAPERS}) WHERE {_VISIBLE} AND NOT excluded)
+SELECT id, 'private marker' AS rule FROM p WHERE n % 13 = 0 UNION ALL SELECT id, 'unsafe url' FROM p WHERE n % 11 = 0
+UNION ALL SELECT id, 'text without licence' FROM p WHERE quality = 1 AND coalesce(abstract, '') <> ''
+UNION ALL SELECT id, 'evidence' FROM p WHERE n % 17 = 0 UNION ALL SELECT id, 'hidden topic' FROM p WHERE n % 19 = 0
 """)
 def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.array(F.when(F.col("text").rlike("(?i)\\btoken\\s*="), "secret"), F.when(F.col("n_chars") < 300, "short"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
-    pages = table(spark, sf_dir, "pages").where(identifiers.public_url(F.col("url")).isNull())
-    return docs.unionByName(pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.lit("unsafe url").alias("rule")))
+    """Published papers with planted faults: a private path as volume, an address
+    of a private network, topics and provenance; their texts have no source."""
+    n = F.substring("id", 2, 20).cast("long")
+    published = _published(spark, sf_dir).withColumns({
+        "volume": F.when(n % 13 == 0, "/home/me/x"), "url": F.when(n % 11 == 0, "https://100.64.0.1/x").otherwise(""),
+        "provenance": F.when(n % 17 == 0, F.array(F.lit("feed"))).otherwise(F.array().cast("array<string>")),
+        "relevance": F.when(n % 19 == 0, F.col("relevance").withField("topic", F.lit("pending"))).otherwise(F.col("relevance")),
+    })
+    return export.violations(published)
+
+
+_NOTES = ("Contains full text: x", "Full  text is available from y", "Abstract  is not available", "No abstract unavailable", "Download full text here", "Abstract available in the archive",
+          "• one • two", "Highlights: • one • two", "• one", "• Background: a • two")
+
+
+@query(f"""
+WITH v AS (SELECT doc_id, doc_id % 12 AS k, text FROM documents)
+SELECT doc_id, k IN (0, 1, 2, 3, 4, 6, 7) AS placeholder FROM v
+""")
+def availability_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and highlights in place of abstracts; the others are texts."""
+    k = F.col("doc_id") % 12
+    body = F.col("text")
+    for i, note in enumerate(_NOTES):
+        body = F.when(k == i, note).otherwise(body)
+    d = table(spark, sf_dir, "documents").select("doc_id", body.alias("abstract"))
+    return d.select("doc_id", text.is_availability_note(F.col("abstract")).alias("placeholder"))
+
+
+_OCTETS = [f"((page_id * {m}) % 256)" for m in (7, 13, 101, 251)]
+
+
+@query(f"""
+WITH a AS (SELECT page_id, {', '.join(f'{o} AS {c}' for o, c in zip(_OCTETS, 'xyzw'))} FROM pages)
+SELECT page_id, NOT (x IN (0, 10, 127) OR x >= 224 OR (x = 169 AND y = 254) OR (x = 172 AND y BETWEEN 16 AND 31) OR (x = 192 AND (y IN (0, 168) OR (y = 88 AND z = 99)))
+  OR (x = 100 AND y BETWEEN 64 AND 127) OR (x = 198 AND (y IN (18, 19) OR (y = 51 AND z = 100))) OR (x = 203 AND y = 0 AND z = 113)) AS reachable,
+  x BETWEEN 32 AND 63 AND NOT (x = 32 AND y = 1 AND (z < 2 OR (z = 13 AND w = 184))) AND NOT (x = 32 AND y = 2) AND NOT (x = 63 AND y = 255) AS reachable6 FROM a
+""")
+def address_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds made of a page's number: x.y.z.w and xxyy:zzww::1."""
+    octets = [F.expr(o) for o in _OCTETS]
+    four = F.concat_ws(".", *octets)
+    x, y, z, w = (F.lpad(F.hex(o), 2, "0") for o in octets)
+    six = F.lower(F.concat(F.lit("["), x, y, F.lit(":"), z, w, F.lit("::1]")))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", identifiers.public_host(four).alias("reachable"), identifiers.public_host(six).alias("reachable6"))
+
+
+@query(rf"""
+SELECT page_id, 'see ' || coalesce(CASE WHEN ok THEN stripped END, '[link withheld]') || ' or [private path withheld]' AS shown FROM (
+  SELECT page_id, {_STRIPPED} AS stripped, len([p FOR p IN kept IF NOT regexp_matches(p, '(?i){_ALLOWED}')]) = 0
+    AND regexp_matches(url, '^https?://[^/@:?#]+\.[^/@:?#]+(?:[/?#]|$)') AS ok FROM ({_KEPT}))
+""")
+def private_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a text are shown in their public form or withheld, paths withheld."""
+    words = F.concat(F.lit("see "), "url", F.lit(" or /home/me/notes"))
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_private(words).alias("shown"))
+
+
+_WIDE = str.maketrans({chr(c): chr(c + 0xFEE0) for c in range(ord("a"), ord("z") + 1)})
+
+
+@query(f"SELECT doc_id FROM ({TITLED}) WHERE contains(lower(title), 'the') AND contains(lower(text), 'that')")
+def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width letters in every third title, and in the query, are plain ones."""
+    plain = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    d = titled(table(spark, sf_dir, "documents"))
+    title = F.when(F.col("doc_id") % 3 == 0, F.translate("title", plain, plain.translate(_WIDE))).otherwise(F.col("title"))
+    none = F.array().cast("array<string>")
+    found = search.name_matches("the".translate(_WIDE), title, none) & search.keywords_match("THAT", F.col("text"))
+    return d.where(found).select("doc_id")
+
+
+@query(f"""
+WITH p AS (SELECT *, 'Intro text. [Page ' || (n % 5 + 1) || '] ABSTRACT ' AS head, array_to_string(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:100], ' ') AS body FROM ({PAPERS}))
+SELECT id, sha256(CASE WHEN coalesce(abstract, '') <> '' THEN abstract WHEN downloaded AND len(string_split(body, ' ')) >= 60 THEN body END) AS text_sha256,
+  CASE WHEN coalesce(abstract, '') = '' AND downloaded AND len(string_split(body, ' ')) >= 60 THEN 'https://x.org/' || n || '.pdf#page=' || (n % 5 + 1) END AS source FROM p
+""")
+def recovered_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts from the stored texts of downloaded files, with their page."""
+    n = F.substring("id", 2, 20).cast("long")
+    p = papers(spark, sf_dir)
+    at = F.concat(F.lit("pdf/"), "id", F.lit(".pdf"))
+    p = p.withColumn("pdf", F.col("pdf").withField("path", at).withField("sourceUrl", F.concat(F.lit("https://x.org/"), n.cast("string"), F.lit(".pdf#a"))))
+    d = table(spark, sf_dir, "documents")
+    words = F.array_join(F.slice(F.split(text.trimmed(F.regexp_replace("text", "(?U)\\s+", " ")), " "), 1, 100), " ")
+    page = (F.col("doc_id") % 5 + 1).cast("string")
+    body = F.concat(F.lit("Intro text. [Page "), page, F.lit("] ABSTRACT "), words, F.lit(" Keywords: x"))
+    texts = d.select(F.concat(F.lit("pdf/d"), F.col("doc_id").cast("string"), F.lit(".pdf.txt")).alias("path"), body.alias("text"))
+    got = archive.recover_abstracts(p, texts)
+    return got.select("id", F.sha2("abstract", 256).alias("text_sha256"), F.col("abstractSource").alias("source"))
 
 
 @query("""

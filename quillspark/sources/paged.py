@@ -2,7 +2,11 @@
 
 ``fetch(options, cursor)`` is any importable function ``module:name`` returning
 (records, next cursor or None).  A scan stops at the page without a next cursor;
-a cursor that comes again is an error.  Options: ``fetch`` and whatever it needs.
+a cursor that comes again is an error.  With ``rows``, the size of a whole page, a
+scan stops at a page of fewer records, and a whole page without a next cursor is
+an error: the service stopped before its end.  With ``errors`` = "rows" a source
+that fails gives the records it had and a row with its error, and the others go
+on.  Other options are the fetcher's: filters are pushed down to the service so.
 """
 
 from __future__ import annotations
@@ -31,12 +35,18 @@ def pages(fetch: Fetch, options: dict, cursor: str = FIRST) -> Iterator[tuple[st
     """(cursor, records, next) until the last page."""
     seen: set[str] = set()
     at: str | None = cursor
+    rows = int(options.get("rows", 0))
     while at is not None:
         if at in seen:
             raise PageError(f"cursor {at!r} came again")
         seen.add(at)
         records, after = fetch(options, at)
-        yield at, records, after
+        last = bool(rows) and len(records) < rows
+        yield at, records, None if last else after
+        if last:
+            return
+        if rows and after is None:
+            raise PageError("a whole page without a next cursor")
         at = after
 
 
@@ -50,9 +60,14 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         options = {**self.options, "source": partition.value}
-        for cursor, records, _ in pages(_load(options), options):
-            for r in records:
-                yield partition.value, cursor, r
+        try:
+            for cursor, records, _ in pages(_load(options), options):
+                for r in records:
+                    yield partition.value, cursor, r, None
+        except Exception as e:
+            if options.get("errors") != "rows":
+                raise
+            yield partition.value, None, None, f"{type(e).__name__}: {e}"[:400]
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -69,7 +84,7 @@ class _Stream(SimpleDataSourceStreamReader):
             return iter([]), start
         records, after = _load(self.options)(self.options, start["cursor"])
         end = {"cursor": after or start["cursor"], "done": after is None}
-        return iter([("", start["cursor"], r) for r in records]), end
+        return iter([("", start["cursor"], r, None) for r in records]), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return self.read(start)[0]
@@ -81,7 +96,7 @@ class PagedRecords(DataSource):
         return "paged_records"
 
     def schema(self) -> str:
-        return "source string, cursor string, record string"
+        return "source string, cursor string, record string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -62,8 +62,9 @@ def crossref_licences(license: Column, doi: Column, now: str) -> Column:
 
 def crossref_works(raw: DataFrame, column: str, journal: str, now: str) -> DataFrame:
     """Papers of registry works (JSON in ``column``); works without a title or an
-    address are left out.  All in the JVM."""
-    w = raw.select(F.from_json(F.col(column), WORK_DDL).alias("w")).select("w.*")
+    address are left out.  Numeric references are decoded in the raw document,
+    all else in the JVM."""
+    w = raw.select(F.from_json(text.decode_numeric_json(F.col(column)), WORK_DDL).alias("w")).select("w.*")
     titles = _lines(F.coalesce("title", F.array()))
     more = F.filter(_lines(F.coalesce("subtitle", F.array())), lambda s: ~F.exists(titles, lambda t: t.contains(s)))
     doi = ids.doi_lenient(F.col("DOI"))
@@ -73,7 +74,7 @@ def crossref_works(raw: DataFrame, column: str, journal: str, now: str) -> DataF
     parts = {c: date_from_parts(F.get(F.col(f"`{c}`.`date-parts`"), F.lit(0))) for c in ("published-online", "published-print", "published", "issued")}
     online, print_, issued = parts["published-online"], parts["published-print"], parts["issued"]
     issue = missing(text.one_line(F.col("issue"), False))
-    body = missing(text.clean_text(F.col("abstract"), numeric=True))
+    body = missing(text.clean_text(F.col("abstract"), numeric=False))
     source = F.when(doi.isNotNull(), F.concat(F.lit("https://api.crossref.org/works/"), F.url_encode(doi))).otherwise(address)
     authors = F.filter(
         F.transform(
@@ -179,7 +180,7 @@ def xml_records(raw: DataFrame, column: str, source: str) -> DataFrame:
             rows = []
             for s, x in zip(f["source"], f["xml"], strict=True):
                 try:
-                    rows += [(s, *r) for r in _document(x)]
+                    rows += [(s, kind, {k: [text.numeric_references(v) for v in vs] for k, vs in fields.items()}, *r) for kind, fields, *r in _document(x)]
                 except (ET.ParseError, ValueError, TypeError) as e:
                     rows.append((s, "error", None, None, str(e)[:400]))
             yield pd.DataFrame(rows, columns=["source", "kind", "fields", "token", "error"])

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError, Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,40 +89,71 @@ def problems(library: Library) -> DataFrame:
 
 
 class SnapshotStore:
-    """The last valid version of a snapshot, reread when its file changes."""
+    """The last valid version of a snapshot, reread when its file changes.
+
+    Calls from several threads share one reading.  While a newer file cannot be
+    read or breaks the rules, the last valid version stays and ``error`` says so;
+    without any version the failure is the caller's.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.error: str | None = None
         self._mark: tuple | None = None
         self._library: Library | None = None
+        self._reading = threading.Lock()
 
     def get(self) -> Library:
-        fs, p = _filesystem(self.spark, self.path)
+        with self._reading:
+            try:
+                fs, p = _filesystem(self.spark, self.path)
+                status = fs.getFileStatus(p)
+                # stores without checksums give none; time and length then tell
+                mark = status.getModificationTime(), status.getLen(), str(fs.getFileChecksum(p))
+                if mark != self._mark:
+                    library = read_library(self.spark, self.path)
+                    if not problems(library).isEmpty():
+                        raise InvalidLibrary("the snapshot breaks its own rules")
+                    # the version is kept even when its file is replaced by a broken one
+                    kept = [cut(d) for d in (library.header, library.papers, library.journals, library.sources)]
+                    self._library, self._mark = Library(*kept), mark
+                self.error = None
+            except (InvalidLibrary, Py4JError, PySparkException) as e:
+                if self._library is None:
+                    raise
+                self.error = f"the newest snapshot could not be read: {type(e).__name__}"
+            return self._library
+
+
+#: Times that a file is tried to be replaced, and the first pause in seconds.
+REPLACE_ATTEMPTS, FIRST_PAUSE = 6, 0.1
+
+
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One file, replaced as a whole: written beside its place and renamed over
+    it, so that readers see the old or the new one; a busy file is tried again
+    after pauses that double."""
+    jvm = spark.sparkContext._jvm
+    fs, target = _filesystem(spark, path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(staged, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    for attempt in range(REPLACE_ATTEMPTS):
         try:
-            status = fs.getFileStatus(p)
-            mark = status.getModificationTime(), status.getLen()
-            if mark != self._mark:
-                library = read_library(self.spark, self.path)
-                if not problems(library).isEmpty():
-                    raise InvalidLibrary("the snapshot breaks its own rules")
-                # the version is kept even when its file is replaced by a broken one
-                kept = [cut(d) for d in (library.header, library.papers, library.journals, library.sources)]
-                self._library, self._mark = Library(*kept), mark
-        except Exception:
-            if self._library is None:
+            context.rename(fs.makeQualified(staged), fs.makeQualified(target), options)
+            return
+        except Py4JJavaError:
+            if attempt == REPLACE_ATTEMPTS - 1:
+                fs.delete(staged, False)
                 raise
-        return self._library
+            time.sleep(FIRST_PAUSE * 2**attempt)
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
-    """One JSON document, two-space indent, replaced as a whole: written beside
-    its place and renamed."""
-    jvm = spark.sparkContext._jvm
-    fs, target = _filesystem(spark, path)
-    staged = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(staged, True)
-    out.write(bytearray((json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not replace {path}")
+    """One JSON document with two-space indent, replaced as a whole."""
+    write_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False) + "\n")

@@ -48,5 +48,5 @@ def test_whole_texts_are_rebuilt(spark, tmp_path):
     texts = {1: [f"w{i % 700}" for i in range(3000)], 2: ["one", "two", "one"], 3: [f"v{i % 90}" for i in range(50_010)]}
     rows = [(k, " ".join(w)) for k, w in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text_sha256 for r in catalog.QUERIES["inverted_index_rebuild_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text_sha256 for r in catalog.QUERIES["inverted_index_rebuild"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256(" ".join(w[:50_000]).encode()).hexdigest() for k, w in texts.items()}

@@ -124,4 +124,49 @@ def test_coverage_has_zero_rows(spark):
     df = papers(spark, paper("a", abstract="x"), paper("b", abstractRetrieval={"checkedAt": "2026", "status": "partial"}), paper("u", relevance={"topic": "pending"}))
     counted = coverage.abstract_coverage(df, "journalId")
     got = {r.journalId: r for r in coverage.zero_filled(counted, spark.createDataFrame([("jla",), ("bjet",)], "journalId string"), "journalId").collect()}
-    assert (got["bjet"].total, got["bjet"].available, got["bjet"].checked, got["jla"].total) == (2, 1, 1, 0)
+    assert (got["bjet"].papers, got["bjet"].available, got["bjet"].attempted, got["bjet"].partial, got["jla"].papers) == (2, 1, 1, 1, 0)
+
+
+def test_one_of_two_writers_is_stale(spark, tmp_path, monkeypatch):
+    """Both have read the same generation; the second finds the journal's next
+    file taken."""
+    store, other = (lifecycle.RunStore(spark, f"file://{tmp_path}/lib") for _ in range(2))
+    one = spark.createDataFrame([(1,)], "a int")
+    monkeypatch.setattr(other, "journal", lambda: [])
+    assert store.commit("r1", None, {"papers": one})
+    with pytest.raises(lifecycle.StaleRun):
+        other.commit("r2", None, {"papers": one})
+    assert [r["run"] for r in store.journal()] == ["r1"]
+    with store.lock("me"):
+        with pytest.raises(lifecycle.Locked), store.lock("you"):
+            pass
+        with pytest.raises(lifecycle.Locked):
+            store.unlock(lambda owner: owner == "me")
+        assert store.unlock(lambda owner: False)
+    assert not store.unlock(lambda owner: False)
+
+
+def test_progress_is_of_its_generation(spark, tmp_path):
+    store = lifecycle.RunStore(spark, f"file://{tmp_path}/lib")
+    assert store.progress("r", None) is None
+    store.save_progress("r", "g1", spark.createDataFrame([("a",)], "id string"))
+    store.save_progress("r", "g1", spark.createDataFrame([("b",)], "id string"))
+    assert store.progress("r", "g1").count() == 2 and store.progress("r", "g2").count() == 0
+    feeds = {"bjet": ["https://f.org"]}
+    state = papers(spark, paper("old"))
+    near = {"source": "publisher-rss", "url": "https://f.org", "fetchedAt": "2025-05-01T00:00:00Z"}
+    saved = papers(
+        spark, paper("new", title="New"), paper("strange", journalId="zz", title="S"), paper("early", title="E", publicationDate=day("2024-01-01")),
+        paper("ahead", title="A", publicationDate=day("2026-01-01")), paper("told", title="T", publicationDate=day("2026-01-01"), provenance=[near]),
+    )
+    got = lifecycle.restore_progress(state, saved, "g", "g", feeds, "2025-01-01", "2025-06-01")
+    assert {r.id for r in got.collect()} == {"old", "new", "told"}
+    assert lifecycle.restore_progress(state, saved, "g", "h", feeds, "2025-01-01", "2025-06-01").count() == 1
+
+
+def test_keys_belong_to_their_last_owner(spark):
+    old = papers(spark, paper("z1", doi="10.1/x", title="A"), paper("a2", doi="10.1/x", title="B"))
+    new = papers(spark, paper("n", doi="10.1/x", title="C"))
+    order = F.when(F.col("id") == "z1", 0).otherwise(1)
+    assert identity.first_match(new, old, order).head().previousId == "a2"
+    assert identity.first_match(new, old).head().previousId == "z1"
