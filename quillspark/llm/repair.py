@@ -36,6 +36,8 @@ from quillspark.llm.tokens import WordTokenizer, in_worker
 #: Tokens after which a shard is closed; least count of a pair worth a rule
 #: (two symbols and a length, against one symbol saved each time).
 SHARD_TOKENS, LEAST_COUNT = 1 << 20, 4
+#: Distinct chunks that a worker keeps from task to task, as ranges of ids are small.
+CACHED = 900_000
 _MAGIC = b"QRP2"
 
 
@@ -130,20 +132,26 @@ class Symbols:
         return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def expansions(rules: np.ndarray, base: int) -> list[bytes]:
+    """The packed ids that each nonterminal stands for; a rule has earlier ones only."""
+    made: list[bytes] = []
+    for a, b in rules.tolist():
+        left = made[a - base] if a >= base else a.to_bytes(4, "little")
+        made.append(left + (made[b - base] if b >= base else b.to_bytes(4, "little")))
+    return made
+
+
+def expand(seq: np.ndarray, made: list[bytes], base: int) -> np.ndarray:
     """The ids that a sequence of symbols stands for."""
-    seq = seq.astype(np.int64)
-    rules = rules.astype(np.int64)
-    while True:
-        big = seq >= base
-        if not big.any():
-            return seq.astype("<u4")
-        width = 1 + big
-        first = np.cumsum(width) - width
-        out = np.repeat(seq, width)
-        pair = rules[seq[big] - base]
-        out[first[big]], out[first[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+    used, of = np.unique(seq, return_inverse=True)
+    parts = [made[x - base] if x >= base else x.to_bytes(4, "little") for x in used.tolist()]
+    size = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+    flat = np.frombuffer(b"".join(parts), dtype="<u4")
+    first = np.cumsum(size) - size
+    out = size[of]
+    # place in ``flat`` of each id: its symbol's first one, then on
+    begin = np.cumsum(out) - out
+    return flat[np.repeat(first[of] - begin, out) + np.arange(int(out.sum()))]
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -178,9 +186,10 @@ class Shard:
         packed = Symbols(payload, at, 2 * n_rules, planes)
         self.rules = packed.read(0, 2 * n_rules).reshape(2, -1).T
         self.sequence = Symbols(payload, at + packed.nbytes, n_symbols, planes)
+        self.made = expansions(self.rules, self.base)
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.sequence.read(int(self.places[k]), int(self.places[k + 1])), self.rules, self.base)
+        return expand(self.sequence.read(int(self.places[k]), int(self.places[k + 1])), self.made, self.base)
 
     def token_range(self, k: int, start: int, stop: int) -> np.ndarray:
         """Tokens start..stop of a document; symbols outside are not expanded."""
@@ -191,10 +200,10 @@ class Shard:
         ends = np.cumsum(size)
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(seq[a:b], self.rules, self.base)[start - skipped : stop - skipped]
+        return expand(seq[a:b], self.made, self.base)[start - skipped : stop - skipped]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.sequence.read(0, self.sequence.count), self.rules, self.base)
+        return expand(self.sequence.read(0, self.sequence.count), self.made, self.base)
 
 
 def build_shard(docs: list[tuple[int | None, bytes]], base: int) -> bytes:
@@ -228,7 +237,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
     ordered = docs.repartitionByRange(shuffle_parts(df.sparkSession), *keys[:2]).sortWithinPartitions(*keys)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = in_worker(WordTokenizer, file)
+        tokenizer = in_worker(WordTokenizer, file, CACHED)
         end, part, nth = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0

@@ -63,12 +63,12 @@ class ChunkCache:
 class WordTokenizer:
     """Ids of a white-space-dropping ``tokenizers`` file, as uint32 bytes."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, cached: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(file.decode())
-        self._parts = ChunkCache(self._library)
-        self._cache = ChunkCache(self._encode)
+        self._parts = ChunkCache(self._library, cached)
+        self._cache = ChunkCache(self._encode, cached)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """Letters with punctuation behind them are two pre-tokens of their own,
@@ -118,17 +118,17 @@ def groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str |
         yield run
 
 
-_MADE: dict[tuple[type, int], object] = {}
+_MADE: dict[tuple, object] = {}
 
 
-def in_worker(kind: type, file: bytes):
+def in_worker(kind: type, file: bytes, *options: int):
     """One tokenizer of a kind and file for each Python worker process."""
-    key = kind, hash(file)
+    key = kind, hash(file), options
     if key not in _MADE:
         # the caches hold millions of objects without cycles: look at them rarely
         gc.set_threshold(200_000, 50, 1000)
         _MADE.clear()
-        _MADE[key] = kind(file)
+        _MADE[key] = kind(file, *options)
     return _MADE[key]
 
 

@@ -414,7 +414,7 @@ def test_no_pair_worth_a_rule_is_left():
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum([len(d) for d in docs]) - 1] = True
     seq, ends, rules = repair.compress(ids, last, 300)
-    assert (repair.expand(seq, rules, 300) == ids).all() and ends.sum() == 200
+    assert (repair.expand(seq, repair.expansions(rules, 300), 300) == ids).all() and ends.sum() == 200
     assert all(max(r) < 300 + i for i, r in enumerate(rules.tolist()))
     left = Counter()
     symbols = seq.tolist()
