@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 WS_REGEX = "[\\x20\\x09-\\x0D]+"
 
 _LOCAL_DIRS: dict[str, str] = {}
+#: Tables written by each application, for ``drop_tables``.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that operators of this application have written.  Call it
+    when the results that were read from them are stored."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

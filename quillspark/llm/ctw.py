@@ -21,7 +21,8 @@ The unigram baseline needs every token's count.  Frequent words travel to the
 tasks as a bounded table; the other tokens are joined to their counts.
 
 Defined cases: a null text is empty and scores its end byte; a null id counts as
-the empty string for the hold-out; repeated rows are scored each on its own; an
+the empty string for the hold-out; repeated rows are scored each on its own;
+texts of any length are scored whole, by the task that holds them; an
 empty table gives no rows; with no training text every estimate is 1/2 and the
 baseline's N is 0; the caller's columns stay together in ``row``.
 """

@@ -22,8 +22,10 @@ language's own, if that language's sample is large enough to tell).  Texts too s
 
 Defined cases: a null or empty text gives no text evidence; missing declaration,
 suffix or host give none either; with no evidence at all the language is the
-corpus's most common one and is not accepted; an empty table gives no rows; ties
-go to the language first in the alphabet; the caller's columns stay in ``row``.
+corpus's most common one and is not accepted; texts of any length are read whole;
+an empty table gives no rows; ties go to the language first in the alphabet; the
+caller's columns stay in ``row``.  Every distinct value of the label is a language
+with a row of 2**BUCKET_BITS numbers in each task: labels are meant to be few.
 """
 
 from __future__ import annotations

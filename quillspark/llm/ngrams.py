@@ -21,8 +21,11 @@ An exact prefix-filtered join with token-combination keys.
 * Verification computes both shingle sets from the texts.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
-links with nothing; fewer than five words are one shingle; equal sets link;
-an empty table gives no rows; the caller's columns stay together in ``row``.
+links with nothing; fewer than five words are one shingle; equal sets link, of
+repeated rows too; texts of any length are read whole, by the task that holds
+them; a null id is a value like others (``one_of_each`` takes it for the
+smallest); an empty table gives no rows; the caller's columns stay together in
+``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,8 +46,9 @@ from quillspark.llm.common import at_task_end, beside_text, in_task, materialize
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Counters of the frequency sketch (bits), counters in a shuffled block.
 SKETCH_BITS, BLOCK = 22, 4096
-#: A shingle is frequent from this count on, or four times the mean counter.
-FREQUENT = 64
+#: A shingle is frequent from this count on, or four times the mean counter, but
+#: from MOST_RARE on at any size: so many members at most has a rare key's list.
+FREQUENT, MOST_RARE = 64, 4096
 #: Slots (bits) of the filter by which texts are fetched for verification.
 FETCH_BITS = 20
 
@@ -140,7 +144,7 @@ def frequent_slots(df: DataFrame, bits: int = SKETCH_BITS) -> bytes:
     parts = min(size // BLOCK, shuffle_parts(df.sparkSession))
     summed = materialize(partial.repartition(parts, "block").mapInArrow(add, "block int, total long, sums binary"), "sketch")
     total = summed.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
-    threshold = max(FREQUENT, -(-4 * total // size))
+    threshold = min(max(FREQUENT, -(-4 * total // size)), MOST_RARE)
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,8 +11,10 @@ chunks that are new to a worker are checked against the sentencepiece library,
 ids and decoded text, one call per Arrow batch; a difference is an error.
 
 Defined cases: null text is an empty text with no ids; U+2581 in a text decodes
-to a space, as the library does; repeated rows and ties need no care; an empty
-table gives no rows; the caller's other columns stay together in ``row``.
+to a space, as the library does; a long text without any place to cut is one
+segment, merged in n log n time; repeated rows and ties need no care; an empty
+table gives no rows; the caller's other columns stay together in ``row``,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -122,6 +122,29 @@ def test_sentencepiece(docs, texts):
     assert sentencepieces.encode_decode(empty(docs), file).count() == 0
 
 
+def test_sentencepiece_of_long_texts():
+    """Long texts without spaces, or of spaces alone."""
+    import sentencepiece
+
+    file = tokens.read_file(public_tokenizers.path("piece_bpe_32k.model"))
+    vocabulary, lib = sentencepieces.Vocabulary(file), sentencepiece.SentencePieceProcessor(model_proto=file)
+    long = ["é" * 20_000, "中" * 3000 + "文" * 7000, "a" * 30_000, "thequickbrownfox" * 3000, " " * 5000, "x" + " " * 3000 + "y", "\n" * 2000 + "z"]
+    for t, (n, ids, decoded) in zip(long, vocabulary.run(long), strict=True):
+        want = lib.encode(t)
+        assert (n, ids, decoded) == (len(want), ",".join(map(str, want)), lib.decode(want))
+
+
+def test_word_tokenizer_is_the_library():
+    """Ids of random texts with odd white space, case, marks and punctuation."""
+    rng = random.Random(21)
+    file = tokens.read_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = tokens.WordTokenizer(file, 500)  # a small cache, emptied many times
+    marks = list("abcXYZ éÉßñ中文🙂…“”'!.,;:-_#$%&|<>0123456789\t\n\r\x0b\x1c\x1f\x85\xa0\u2028\u3000\u0301")
+    some = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [" ".join(rng.choice(WORDS) for _ in range(50)) for _ in range(200)]
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in made.packed(some)]
+    assert got == made.whole(some)
+
+
 def test_sentencepiece_fuzz():
     v = sentencepieces.Vocabulary(tokens.read_file(public_tokenizers.path("piece_bpe_32k.model")))
     rng = random.Random(3)
@@ -231,6 +254,106 @@ def test_rare_language_and_copies(spark):
     assert all(r.language == "es" and r.accepted for r in got.collect())
 
 
+def brute_posterior(rows, model_rows):
+    """Posterior of every row by plain counting of whole trigrams."""
+    def grams(t):
+        t = " " + (t or "").lower() + " "
+        return [t[i : i + 3] for i in range(len(t) - 2)]
+
+    langs = sorted({x for _, _, x, _ in model_rows if x})
+    counts = {x: Counter(g for t in {t for _, t, y, _ in model_rows if y == x and t is not None} for g in grams(t)) for x in langs}
+    size = {x: sum(c.values()) for x, c in counts.items()}
+    slots = 1 << langid.BUCKET_BITS
+
+    def mean(t, x):
+        g = grams(t)
+        return sum(math.log((counts[x][y] + 0.05) / (size[x] + 0.05 * slots)) for y in g) / len(g) if t and g else 0.0
+
+    judged = []
+    for _, t, declared, host in rows:
+        if t and len(grams(t)) >= langid.SHORT:
+            judged.append((max(langs, key=lambda x: (mean(t, x), -langs.index(x))), declared, host))
+    n_k, total, k = Counter(x for x, _, _ in judged), len(judged), len(langs)
+    corpus = [(n_k[x] + 1) / (total + k) for x in langs]
+
+    def smooth(of, prior, weight):
+        c = Counter(x for x, _ in of)
+        return [(c[x] + weight * p) / (len(of) + weight) for x, p in zip(langs, prior, strict=True)]
+
+    suffix = lambda h: h.rpartition(".")[2] if h and "." in h else None
+    declared_kinds = len({d for _, d, _ in judged if d}) + 1
+    by_k = Counter(x for x, d, _ in judged if d)
+    out = []
+    for i, t, declared, host in rows:
+        prior = corpus
+        if suffix(host) and any(suffix(h) == suffix(host) for _, _, h in judged):
+            prior = smooth([(x, h) for x, _, h in judged if suffix(h) == suffix(host)], corpus, langid.SUFFIX_WEIGHT)
+        if host and any(h == host for _, _, h in judged):
+            prior = smooth([(x, h) for x, _, h in judged if h == host], prior, langid.HOST_WEIGHT)
+        n = len(grams(t)) if t else 0
+        logs = []
+        for j, x in enumerate(langs):
+            lp = min(n, langid.EVIDENCE_TRIGRAMS) * mean(t, x) + math.log(prior[j])
+            if declared and any(d == declared for _, d, _ in judged):
+                both = sum(y == x and d == declared for y, d, _ in judged)
+                lp += math.log((both + 1) / (by_k[x] + declared_kinds)) if both else math.log(1 / (max(total, 1) + declared_kinds))
+            logs.append(lp)
+        top = max(logs)
+        out.append((i, langs[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)))
+    return out
+
+
+def test_posterior_is_that_of_plain_counting(spark):
+    """Short texts that the words of both languages fit: the host's and the
+    declaration's evidence turns the verdict of the text."""
+    rng = random.Random(12)
+    en, fr, both = "the and with house there".split(), "le et avec maison été".split(), "on a the le it".split()
+    rows = []
+    for i in range(160):
+        words = fr if i % 4 == 0 else en
+        rows.append((i, " ".join(rng.choice(words) for _ in range(30)), "fr" if i % 4 == 0 else "en", f"h{i % 4}.{'fr' if i % 4 == 0 else 'org'}"))
+    odd = [(200 + i, " ".join(rng.choice(both) for _ in range(rng.randint(1, 3))), rng.choice(["en", "fr", None]), rng.choice(["h0.fr", "new.fr", "h1.org", None])) for i in range(40)]
+    odd += [(300, None, None, "h0.fr"), (301, "", "fr", None), (302, "x", None, None)]
+    kind = "doc_id long, text string, lang string, host string"
+    df = spark.createDataFrame(rows + odd, kind)
+    model = langid.fit(spark.createDataFrame(rows, kind), "lang")
+    got = {r.row.doc_id: r for r in langid.identify(df, F.col("lang"), F.col("host"), label="lang", model=model).collect()}
+    want = brute_posterior(rows + odd, rows)
+    assert all(got[i].language == x and abs(got[i].posterior - p) < 1e-3 for i, x, p in want)
+    turned = [i for i, x, _ in want if got[i].text_language and got[i].text_language != x]
+    assert len(turned) >= 3  # priors and declarations decide
+
+
+def test_held_out_texts_without_their_declaration(spark):
+    """Fitted on four of five documents, judged on the fifth with its declaration
+    hidden or false."""
+    rng = random.Random(13)
+    words = {"en": "the and with house there stone river".split(), "fr": "le et avec maison été pierre fleuve".split(), "de": "der und mit haus dort stein fluss".split()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(25)), x) for i in range(300) for x in [list(words)[i % 3]]]
+    kind = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame([r for r in rows if r[0] % 5], kind), "lang")
+    truth = {i: x for i, _, x in rows}
+    for told in (lambda x: None, lambda x: {"en": "fr", "fr": "de", "de": "en"}[x]):
+        held = [(i, t, told(x) if i % 5 == 0 else x) for i, t, x in rows]
+        found = langid.identify(spark.createDataFrame(held, kind), F.col("lang"), F.lit(None).cast("string"), label="lang", model=model).collect()
+        judged = [r for r in found if r.row.doc_id % 5 == 0]
+        assert sum(r.language == truth[r.row.doc_id] for r in judged) >= 0.95 * len(judged) and all(r.accepted for r in judged)
+
+
+def test_page_languages(spark, tmp_path):
+    """Markup, suffix and host of web pages; script text is no evidence."""
+    from quillspark.llm import queries
+
+    rng = random.Random(14)
+    en, fr = "the and with house there".split(), "le et avec maison été".split()
+    pages = [(i, f"https://h{i % 2}.org/p{i}", f"<html lang='{'en' if i % 2 else 'fr'}'><script>the the</script><p>{' '.join(rng.choice(en if i % 2 else fr) for _ in range(40))}</p></html>") for i in range(60)]
+    pages += [(100, "https://h0.org/x", "<html><p>x</p></html>"), (101, None, None), (102, "notaurl", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.llm_page_languages(spark, str(tmp_path)).collect()}
+    assert len(got) == 63 and all(got[i].language == ("en" if i % 2 else "fr") and got[i].accepted for i in range(60))
+    assert got[100].language == "fr" and not got[101].accepted
+
+
 # -- sharding
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -78,3 +79,32 @@ def test_run(spark, stored):
     path, _ = stored
     first = {(r.doc_id, r.piece, r.ids_crc32) for r in pipeline.run(spark, path).collect()}
     assert first and all(p == 0 for _, p, _ in first)
+
+
+def test_stages_of_odd_tables(spark, stored):
+    """Empty tables, nulls in every column, repeated rows, ties and columns with
+    the operators' own names: each stage keeps columns and clean rows."""
+    path, rows = stored
+    plain = spark.read.parquet(f"{path}/documents.parquet")
+    extra = ["row", "uid", "words", "root", "spans", "hilbert", "kept", "lines"]
+    odd = plain.unionByName(plain.where("doc_id in (1, 2, 3)"))  # whole rows repeated
+    null = spark.createDataFrame([(None,) * len(plain.columns)], plain.schema)
+    odd = odd.unionByName(null).unionByName(null)
+    for c in extra:
+        odd = odd.withColumn(c, F.lit(c) if c != "uid" else F.lit(None).cast("long"))
+    for name, stage in pipeline.STAGES:
+        none = stage(spark, plain.where("doc_id < 0"), path)
+        assert none.count() == 0, name
+        out = stage(spark, odd, path)
+        got = out.collect()
+        if name != "best_fit_packing":
+            assert out.columns == odd.columns and all(r["row"] == "row" for r in got), name
+        if name == "quality_rules":
+            assert sum(r.doc_id == 1 for r in got) == 2 and all(r.doc_id is not None for r in got)
+        if name == "near_duplicates":
+            assert sum(r.doc_id in (1, 2, 3) for r in got) == 3  # repeated rows are copies
+        if name == "personal_data":
+            assert len(got) == odd.count()  # nothing is dropped, null texts stay
+            assert {r.doc_id for r in got if r.text is None} == {None, 104}
+        if name == "best_fit_packing":
+            assert sum(r.doc_id is None for r in got) == 2 and all(r.length == 1 for r in got if r.doc_id is None)
