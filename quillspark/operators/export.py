@@ -44,13 +44,14 @@ def public_papers(papers: DataFrame, licences: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     plain = lambda c: F.transform(F.col(c), strip_private)
     locations = F.transform(
-        F.filter("oaLocations", lambda o: o["isOa"] & public_url(o["url"]).isNotNull()),
+        F.filter("oaLocations", lambda o: o["isOa"]),
         lambda o: F.struct(
             public_url(o["url"]).alias("url"), public_url(o["pdfUrl"]).alias("pdfUrl"), o["hostType"].alias("hostType"),
             F.when(o["version"].isin(*VERSIONS), o["version"]).alias("version"), permissive_licence(o["license"]).alias("license"),
             F.lit(True).alias("isOa"), F.lit("Public OA metadata").alias("source"),
         ),
     )
+    locations = F.filter(locations, lambda o: o["url"].isNotNull())
     seen = F.transform("milestones", lambda m: F.struct(m["kind"].alias("kind"), m["observedAt"].alias("observedAt"), m["date"].alias("date")))
     shown = papers.join(l, "id", "left").where(topic.isin(*TOPIC_REASONS) & ~is_excluded(F.col("articleType"), F.col("title")))
     return shown.select(

@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.identity import _cut
+
 
 def fair_rounds(df: DataFrame, group: str, order: list[Column], key: str) -> DataFrame:
     """``round`` and ``groupOrder``: one row of each group a round, groups in
     order of their first row.
 
-    Ranks are taken inside a group; the groups themselves are one small row
-    each, so the only global window is over groups.
+    A few groups may hold all rows, so no group is ranked in one task: the rows
+    are range-partitioned by group and order and written once; a row's round is its
+    place in its partition plus the group's rows in the partitions before.  Only
+    sums for each group and partition, and heads of groups, are windowed.
     """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order, F.col(key)))
-    ranked = df.withColumn("round", rank)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    by = [F.col(group), *order, F.col(key)]
+    # bits 33 and up number the partition, those below the row in it
+    ordered = _cut(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("__part", F.shiftright("__place", 33))
+    runs = ordered.groupBy(group, "__part").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n")
+    runs = runs.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__first", earlier.alias("__earlier"))
+    same = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p"))
+    rank = (F.col("__earlier") + F.col("__place") - F.col("__first") + 1).cast("int")
+    ranked = ordered.join(runs, same).withColumn("round", rank).select(*df.columns, "round")
     heads = ranked.where("round = 1")
-    order_of = F.row_number().over(Window.orderBy(*order, F.col(key)))
+    order_of = F.row_number().over(Window.orderBy(*order, F.col(key)))  # a row for each group
     return ranked.join(heads.select(group, order_of.alias("groupOrder")), group)
 
 
