@@ -113,13 +113,21 @@ def overlaps_coverage(value: Column, since: str, until: str) -> Column:
 
 
 def display(value: Column) -> Column:
-    """Reader's form of a partial date, by its precision."""
+    """Reader's form of a partial date, by its precision; an unreadable one as it is."""
     start = interval_start(value)
-    return (
+    shown = (
         F.when(F.length(value) == 10, F.date_format(start, "d MMM yyyy"))
         .when(F.length(value) == 7, F.date_format(start, "MMM yyyy"))
-        .when(F.length(value) == 4, F.date_format(start, "yyyy"))
+        .when(F.length(value) == 4, value)
     )
+    return F.when(missing(value).isNull(), "Date unavailable").otherwise(F.coalesce(shown, value))
+
+
+def display_timestamp(value: Column, with_year: bool = False, zone: str = "Asia/Shanghai") -> Column:
+    """Reader's form of a time in the readers' zone."""
+    local = F.from_utc_timestamp(F.try_to_timestamp(value), zone)
+    shown = F.date_format(local, "d MMM yyyy, HH:mm" if with_year else "d MMM, HH:mm")
+    return F.when(missing(value).isNull(), "Awaiting first collection").otherwise(F.coalesce(shown, F.lit("Date unavailable")))
 
 
 def local_day(ts: Column, zone: str = "Asia/Shanghai") -> Column:

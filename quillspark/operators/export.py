@@ -25,10 +25,10 @@ def summary_admissible(summary: Column, reviewed: Column, same_source: Column, v
     return word_count(summary).between(150, 250) & reviewed & same_source & verified
 
 
-def public_papers(papers: DataFrame, licences: DataFrame) -> DataFrame:
+def public_papers(papers: DataFrame, licences: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """The allow-listed columns only; text appears where a licence (id, licence,
-    source) permits it.  Columns are named, never dropped, so that a new one
-    cannot slip out."""
+    source) permits it, and a generated summary where its id is admitted.  Columns
+    are named, never dropped, so that a new one cannot slip out."""
     l = licences.select("id", F.col("licence").alias("__l"), F.col("source").alias("__s"))
     has = F.coalesce("abstract", F.lit("")) != ""
     state = F.when(has & F.col("__l").isNotNull(), "licensed").when(has, "withheld").otherwise("unavailable")
@@ -53,6 +53,10 @@ def public_papers(papers: DataFrame, licences: DataFrame) -> DataFrame:
     )
     locations = F.filter(locations, lambda o: o["url"].isNotNull())
     seen = F.transform("milestones", lambda m: F.struct(m["kind"].alias("kind"), m["observedAt"].alias("observedAt"), m["date"].alias("date")))
+    admitted = F.lit(False)
+    if summaries is not None:
+        papers = papers.join(summaries.select("id", F.lit(True).alias("__told")), "id", "left")
+        admitted = F.coalesce("__told", F.lit(False)) & (F.coalesce("summary", F.lit("")) != "")
     shown = papers.join(l, "id", "left").where(topic.isin(*TOPIC_REASONS) & ~is_excluded(F.col("articleType"), F.col("title")))
     return shown.select(
         "id", "journalId", "doi", strip_private(F.col("title")).alias("title"), plain("authors").alias("authors"), plain("keywords").alias("keywords"),
@@ -61,6 +65,8 @@ def public_papers(papers: DataFrame, licences: DataFrame) -> DataFrame:
         published("publishedOnline"), published("publishedIssue"), published("publicationDate"), "firstSeenAt", "updatedAt",
         F.when(state == "licensed", strip_private(F.col("abstract"))).alias("abstract"),
         F.when(state == "licensed", public_url(F.col("abstractSource"))).alias("abstractSource"),
+        F.when(admitted, strip_private(F.col("summary"))).alias("summary"), F.when(admitted, public_url(F.col("summarySource"))).alias("summarySource"),
+        F.when(admitted, F.col("summaryGeneratedAt")).alias("summaryGeneratedAt"),
         F.struct(state.alias("abstract"), F.col("__l").alias("license"), F.col("__s").alias("licenseSource")).alias("publicContent"),
         F.struct(topic.alias("topic"), F.col("relevance.method").alias("method"), F.col("relevance.confidence").alias("confidence"), reason.alias("reason"), none.alias("evidence")).alias("relevance"),
         locations.alias("oaLocations"), seen.alias("milestones"),
@@ -130,20 +136,55 @@ def violations(published: DataFrame) -> DataFrame:
     return published.select("id", F.explode(found).alias("rule")).unionByName(twice)
 
 
-def report_lines(papers: DataFrame, journals: DataFrame, compact: bool = False) -> DataFrame:
-    """Markdown in order: journals, their topics, their papers (pos, line)."""
-    p = papers.join(journals.select(F.col("id").alias("journalId"), F.col("name").alias("journal")), "journalId")
-    line = F.concat(F.lit("- "), escape_markdown(F.col("title")), F.when(F.col("url").isNotNull(), F.concat(F.lit(" ("), "url", F.lit(")"))).otherwise(""))
-    rows = p.select("journal", F.col("relevance.topic").alias("topic"), "title", "id", line.alias("line"))
-    if not compact:
-        text = F.concat(F.lit("  "), F.col("abstract"))
-        more = p.where("abstract is not null").select("journal", F.col("relevance.topic").alias("topic"), "title", "id", text.alias("line"))
-        rows = rows.withColumn("k", F.lit(2)).unionByName(more.withColumn("k", F.lit(3)))
-    else:
-        rows = rows.withColumn("k", F.lit(2))
-    heads = rows.select("journal").distinct().select("journal", F.lit("").alias("topic"), F.lit("").alias("title"), F.lit("").alias("id"), F.concat(F.lit("## "), escape_markdown(F.col("journal"))).alias("line"), F.lit(0).alias("k"))
-    topics = rows.select("journal", "topic").distinct().select("journal", "topic", F.lit("").alias("title"), F.lit("").alias("id"), F.concat(F.lit("### "), "topic").alias("line"), F.lit(1).alias("k"))
-    return rows.unionByName(heads).unionByName(topics).orderBy("journal", "topic", "title", "id", "k").select("journal", "topic", "title", "id", "k", "line")
+#: Headings and sentences of a report.
+TOPIC_HEADINGS = {"both": "Learning analytics + AI", "learning-analytics": "Learning analytics", "ai": "Artificial intelligence"}
+NO_LINK, NO_DATE, NO_ABSTRACT = "Publisher link unavailable or withheld", "Date unavailable", "Abstract unavailable. Retrieval will be retried."
+
+
+def report_lines(papers: DataFrame, notices: DataFrame, journals: DataFrame, health: DataFrame, compact: bool = False, port: int = 3000) -> DataFrame:
+    """A digest's Markdown as rows (journal, topic, title, id, k, line), to be read
+    in this order: each journal with its check and the number of its papers, their
+    topics, and the papers that have a notice with date, notices, link, text with its
+    source, and file.  ``compact`` leaves out the texts."""
+    from quillspark.functions.dates import effective_date
+    from quillspark.functions.identifiers import report_url
+    from quillspark.operators.archive import pdf_link, source_label
+
+    def plain(c: Column) -> Column:
+        return escape_markdown(F.regexp_replace(F.coalesce(c, F.lit("")), "[\r\n\t]+", " "))
+
+    kinds = notices.groupBy(F.col("paperId").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("kind")), ", ").alias("__kinds"))
+    named = journals.select(F.col("id").alias("journalId"), F.col("name").alias("journal"))
+    # one rank for each topic keeps their order
+    order = F.create_map(*[x for i, t in enumerate(TOPIC_HEADINGS) for x in (F.lit(t), F.lit(i))])
+    p = papers.join(kinds, "id").join(named, "journalId").withColumn("topic", F.try_element_at(order, F.col("relevance.topic"))).where("topic is not null")
+    value = effective_date(F.col("publishedOnline.value"), F.col("publishedIssue.value"), F.col("publicationDate.value"))
+    link, has = report_url(F.col("url")), F.coalesce("abstract", F.lit("")) != ""
+    doi = F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit(" · DOI: "), plain(F.col("doi")))).otherwise("")
+    told = F.coalesce("summary", F.lit("")) != ""
+    text = (
+        F.when(has, F.concat(F.lit("Author abstract:\n\n"), escape_markdown(F.col("abstract")), F.lit("\n\nSource: "), source_label(F.col("abstractSource"))))
+        .when(told, F.concat(F.lit("AI-generated full-text summary (not the author abstract):\n\n"), escape_markdown(F.col("summary")), F.lit("\n\nFull-text source: "), source_label(F.col("summarySource"))))
+        .otherwise(NO_ABSTRACT)
+    )
+    reason = F.concat(F.lit("Relevance: "), plain(F.col("relevance.reason")), F.lit(" ("), plain(F.col("relevance.method")), F.lit("; "), plain(F.col("relevance.confidence")), F.lit(" confidence)"))
+    lines = [
+        F.concat(F.lit("#### "), plain(F.col("title"))),
+        F.concat_ws(" · ", plain(F.array_join("authors", "; ")), plain(F.coalesce(value, F.lit(NO_DATE))), plain(F.col("__kinds"))),
+        F.concat(F.coalesce(F.concat(F.lit("[Publisher article](<"), link, F.lit(">)")), F.lit(NO_LINK)), doi),
+        *([] if compact else [text, reason]),
+        F.concat(F.lit("PDF: "), plain(F.col("pdf.status")), pdf_link(port)),
+    ]
+    body = p.select("journal", "topic", "title", "id", F.posexplode(F.array(*lines)).alias("k", "line"))
+    none = [F.lit("").alias("title"), F.lit("").alias("id")]
+    headings = F.array(*[F.lit(t) for t in TOPIC_HEADINGS.values()])
+    topics = p.select("journal", "topic").distinct().select("journal", "topic", *none, F.lit(-1).alias("k"), F.concat(F.lit("### "), F.get(headings, F.col("topic"))).alias("line"))
+    counted = p.groupBy("journal").agg(F.count(F.lit(1)).alias("__n"))
+    state = health.join(named, "journalId").select("journal", "status")
+    check = F.concat(F.lit("Check: "), plain(F.coalesce("status", F.lit("not checked"))), F.lit(". "), F.coalesce("__n", F.lit(0)).cast("string"), F.lit(" paper(s) in this digest."))
+    tops = named.join(state, "journal", "left").join(counted, "journal", "left")
+    tops = tops.select("journal", F.lit(-1).alias("topic"), *none, F.posexplode(F.array(F.concat(F.lit("## "), plain(F.col("journal"))), check)).alias("k", "line"))
+    return body.unionByName(topics).unionByName(tops).orderBy("journal", "topic", "title", "id", "k")
 
 
 def changed_files(built: DataFrame, tree: DataFrame) -> DataFrame:

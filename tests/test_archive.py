@@ -150,7 +150,26 @@ def test_export(spark, tmp_path):
     told = (tmp_path / "site/data/latest.md").read_text()
     assert "2 relevant papers." in told and told.rstrip().endswith("- B \\(J\\): partial")
     assert {r.rule for r in export.violations(published).collect()} == {"text without licence"}  # its source is missing
+    told = papers(spark, paper("a", summary="w " * 150, summarySource="https://x.org/a.pdf", summaryGeneratedAt=NOW), paper("b", title="B", summary="w " * 150))
+    shown = {r.id: r.summary for r in export.public_papers(told, licence, spark.createDataFrame([("a",)], "id string")).collect()}
+    assert shown["a"].startswith("w w") and shown["b"] is None
     (tmp_path / "real").mkdir()
     (tmp_path / "linked").symlink_to(tmp_path / "real")
     with pytest.raises(publication.UnsafeTarget):
         publication.export(spark, snapshot.Library(header, df, journals, sources), published, f"file://{tmp_path}/linked")
+
+
+def test_report(spark):
+    df = papers(
+        spark, paper("a", title="A *b*", abstract="text", abstractSource="https://x.org/a", relevance={"topic": "ai", "reason": "r", "method": "rules", "confidence": "low"}, publicationDate=day("2025-03"), pdf={"status": "downloaded", "path": "p"}),
+        paper("b", title="B", relevance={"topic": "both"}, url="http://x.org"), paper("silent", title="C", relevance={"topic": "ai"}),
+    )
+    notices = spark.createDataFrame([("a", "online"), ("a", "issue"), ("b", "backfill")], "paperId string, kind string")
+    journals = spark.createDataFrame([("bjet", "B J"), ("jla", "Z J")], "id string, name string")
+    health = spark.createDataFrame([("bjet", "ok")], "journalId string, status string")
+    lines = [r.line for r in export.report_lines(df, notices, journals, health).collect()]
+    assert lines[:3] == ["## B J", "Check: ok. 2 paper(s) in this digest.", "### Learning analytics + AI"] and lines[-1] == "Check: not checked. 0 paper(s) in this digest."
+    at = lines.index("#### A \\*b\\*")
+    assert lines[at + 1].endswith(" · 2025-03 · issue, online") and "Source: [Source](<https://x.org/a>)" in lines[at + 3] and "Open in library" in lines[at + 5]
+    assert export.NO_LINK in lines and export.NO_ABSTRACT in lines and not any("C" == x[5:] for x in lines)
+    assert all("Relevance" not in r.line for r in export.report_lines(df, notices, journals, health, compact=True).collect())

@@ -170,3 +170,14 @@ def test_keys_belong_to_their_last_owner(spark):
     order = F.when(F.col("id") == "z1", 0).otherwise(1)
     assert identity.first_match(new, old, order).head().previousId == "a2"
     assert identity.first_match(new, old).head().previousId == "z1"
+
+
+
+def test_review_request(spark):
+    df = papers(
+        spark, paper("new", title="New", pdf={"status": "downloaded", "path": "pdf/n.pdf"}), paper("out", title="Out", articleType="editorial"),
+        paper("done", title="Done", abstract="x", relevance={"topic": "ai", "method": "codex"}), paper("text", title="Text", abstract="x"),
+    )
+    texts = spark.createDataFrame([("pdf/n.pdf.txt",)], "path string")
+    got = {r.id: (r.textPath, r.needsSummary) for r in lifecycle.review_request(df, texts).collect()}
+    assert got == {"new": ("pdf/n.pdf.txt", True), "text": (None, False)}
