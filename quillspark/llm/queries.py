@@ -202,6 +202,74 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) m ON m.node = w.doc_id
 """
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import balltree
+
+    return balltree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """One pair of steps for each round: nearest centroid, then floors of means."""
+    steps = ["""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < 8)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT v.r, v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+  FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY v.r ORDER BY d, c.c) = 1)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS q
+    FROM (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS k FROM a{i}) GROUP BY c, k)
+    GROUP BY c) m ON m.c = c.c)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+def op12_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import cnn
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    net = cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=~held_out)
+    scored = cnn.score(docs, net).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import fim
+
+    made = fim.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select(
+        F.col("row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x FROM documents),
+t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || x[1:8])::UBIGINT::BIGINT AS h1,
+         ('0x' || x[9:16])::UBIGINT::BIGINT AS h2, ('0x' || x[17:24])::UBIGINT::BIGINT AS h3, ('0x' || x[25:32])::UBIGINT::BIGINT AS h4 FROM h),
+c AS (
+  SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -214,5 +282,14 @@ QUERIES = {
     "op8_repair_files": op8_repair_files,
     "op9_pii": op9_pii,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ball_tree": op11_ball_tree,
+    "op12_byte_network": op12_byte_network,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLES = {
+    "op1_quality_rules": OP1_SQL,
+    "op7_voronoi_topk": OP7_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
+    "op11_ball_tree": _op11_sql(),
+    "op13_fill_in_middle": OP13_SQL,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op7_voronoi_topk": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
