@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates, text
 from quillspark.functions.dates import missing
 from quillspark.model import VISIBLE_TOPICS
+from quillspark.operators import paging
 
 PAGE_SIZE = 25
 
@@ -132,11 +133,14 @@ def paper_filter(f: SearchFilters, normalise: bool = True) -> Column:
     return out
 
 
-def ordering(value: Column, title: Column, key: Column, sort: str = "newest") -> list[Column]:
+def order_keys(value: Column, title: Column, key: Column, sort: str = "newest") -> list[paging.Key]:
     """Interval start, unknown last either way, then title and key."""
     start = dates.interval_start(value)
-    first = start.desc_nulls_last() if sort == "newest" else start.asc_nulls_last()
-    return [first, F.collate(title, "UNICODE").asc(), key.asc()]
+    return [paging.Key(start, sort == "newest"), paging.Key(F.collate(title, "UNICODE")), paging.Key(key)]
+
+
+def ordering(value: Column, title: Column, key: Column, sort: str = "newest") -> list[Column]:
+    return [k.order() for k in order_keys(value, title, key, sort)]
 
 
 @dataclass(frozen=True)
@@ -154,15 +158,16 @@ def clamp(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
     return min(page, max(1, pages)), pages
 
 
-def search(papers: DataFrame, f: SearchFilters) -> SearchResult:
-    """A page of matches.  Two actions over the same pruned scan: a count, and
-    a top-n (each task keeps offset + page rows at most)."""
+def search(papers: DataFrame, f: SearchFilters, sort_rows: int = paging.SORT_ROWS) -> SearchResult:
+    """A page of matches: a count, then the page.  Matches are sorted as a whole
+    only up to ``sort_rows``; beyond that the page's range is found first."""
     matched = papers.where(paper_filter(f))
     total = matched.count()
     page, pages = clamp(total, f.page)
     value = dates.effective_date(F.col("publishedOnline.value"), F.col("publishedIssue.value"), F.col("publicationDate.value"))
-    ordered = matched.orderBy(*ordering(value, F.col("title"), F.col("id"), f.sort))
-    return SearchResult(ordered.offset((page - 1) * PAGE_SIZE).limit(PAGE_SIZE), total, page, pages)
+    keys = order_keys(value, F.col("title"), F.col("id"), f.sort)
+    shown = paging.page(matched, keys, (page - 1) * PAGE_SIZE, PAGE_SIZE, total, sort_rows)
+    return SearchResult(shown, total, page, pages)
 
 
 def public_search(papers: DataFrame, f: SearchFilters) -> SearchResult:
