@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import beside_text, materialize, shuffle_parts
+from quillspark.llm.common import at_task_end, beside_text, materialize, shuffle_parts
 
 DEPTH, END = 5, 0xFF
 #: Grams that travel to the tasks at once; words of the frequent-word table.
@@ -280,6 +280,8 @@ class GramTable:
 
 
 _TABLES: dict[str, object] = {}
+#: This operator's tasks share a table; the next task of another one gives it back.
+at_task_end(_TABLES.clear)
 
 
 def _once(key: str, make):

@@ -72,8 +72,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import packing
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
-    return packed.select(F.col("row.doc_id").alias("doc_id"), *packed.columns[1:])
+    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=True)
+    return packed.drop("ids").select(F.col("row.doc_id").alias("doc_id"), *[c for c in packed.columns[1:] if c != "ids"])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,9 +76,34 @@ def test_stages(spark, stored):
 
 
 def test_run(spark, stored):
-    path, _ = stored
-    first = {(r.doc_id, r.piece, r.ids_crc32) for r in pipeline.run(spark, path).collect()}
-    assert first and all(p == 0 for _, p, _ in first)
+    """The whole run against plain versions of its stages: which documents are left,
+    their sanitised texts' ids, and sequences without gaps."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rows = stored
+    texts = {i: t for i, t, *_ in rows}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    good = {r.row.doc_id for r in quality.judge(docs).where("kept").collect()}
+    parts = brute_components([(i, texts[i]) for i in sorted(good)])
+    left = {c for _, c in parts.values()}
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs.where(F.col("doc_id").isin(*left))).collect()}
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*encode.encode(clean[i], add_special_tokens=False).ids, 1] for i in left}
+    got = pipeline.run(spark, path).collect()
+    assert {(r.doc_id, r.piece) for r in got} == {(i, 0) for i in left}  # these texts are short
+    used = {}
+    for r in got:
+        ids = list(memoryview(bytes(r.ids)).cast("I"))
+        assert ids == want[r.doc_id] and len(ids) == r.length and r.start == 0
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in used.values():
+        ends = [o + n for o, n in sorted(spans)]
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(used) <= -(-sum(map(len, want.values())) // 4096) + 1
 
 
 def test_stages_of_odd_tables(spark, stored):
