@@ -46,9 +46,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of 4096 tokens.  A null text is
-    empty: its end id alone; repeated rows are packed each on its own."""
-    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """The documents' pieces with their token ids (little-endian unsigned 32-bit),
+    packed into sequences of 4096 tokens.  A null text is empty: its end id alone;
+    repeated rows are packed each on its own."""
+    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=True)
     return packed.select("row.*", *packed.columns[1:])
 
 
