@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.identifiers import paper_id, public_url, report_url
-from quillspark.functions.text import author_abstract, escape_markdown, redact_secrets, trimmed, word_count
+from quillspark.functions.text import author_abstract, report_line, trimmed, word_count
 
 #: Fewest characters of a text that counts as extracted.
 LEAST_TEXT = 100
@@ -41,11 +41,10 @@ def source_label(value: Column) -> Column:
     """Where a text is from, as a report says it: a link, a provider's name, or
     that it is withheld."""
     url = report_url(value)
-    plain = escape_markdown(redact_secrets(F.regexp_replace(value, "[\r\n\t]+", " ")))
     return (
         F.when(F.coalesce(value, F.lit("")) == "", F.lit("Provenance unavailable"))
         .when(url.isNotNull(), F.concat(F.lit("[Source](<"), url, F.lit(">)")))
-        .when(value.rlike("^\\w[\\w\\s-]{0,100}$"), plain)
+        .when(value.rlike("^\\w[\\w\\s-]{0,100}$"), report_line(value))
         .otherwise(F.lit("Source link unavailable or withheld"))
     )
 

@@ -57,7 +57,7 @@ def discard_placeholders(papers: DataFrame) -> DataFrame:
         papers.withColumn("__bad", bad)
         .withColumn("abstract", F.when(~F.col("__bad"), F.col("abstract")))
         .withColumn("abstractSource", F.when(~F.col("__bad"), F.col("abstractSource")))
-        .withColumn("abstractRetrieval", F.when(F.col("__bad") & r.isNotNull(), r.withField("status", F.lit("partial")).withField("errors", F.array_append(r["errors"], note))).otherwise(r))
+        .withColumn("abstractRetrieval", F.when(F.col("__bad") & r.isNotNull(), r.withField("status", F.lit("partial")).withField("errors", F.array_append(F.coalesce(r["errors"], F.array().cast("array<string>")), note))).otherwise(r))
         .drop("__bad")
     )
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.dates import missing
@@ -12,15 +13,26 @@ from quillspark.functions.identifiers import doi_plain, identity_keys
 from quillspark.functions.text import is_excluded
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; set a folder only if unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; a temporary one in
+    local mode where none is set."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
         import tempfile
 
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint; set a folder only if unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession).rsplit("/", 1)[0])
     return df.checkpoint()
 
 

@@ -18,12 +18,10 @@ def latest_as_of(evidence: DataFrame, key: str, start: Column, as_of: Column) ->
 
 def all_permit(current: DataFrame, key: str, licence: Column, position: Column) -> DataFrame:
     """key, licence: the first licence, where every current one permits."""
-    return (
-        current.groupBy(key)
-        .agg(F.bool_and(F.coalesce(licence.isNotNull(), F.lit(False))).alias("ok"), F.min_by(licence, position).alias("licence"))
-        .where("ok")
-        .select(key, "licence")
-    )
+    # computed before the aggregation: addresses are no deterministic expressions to Spark
+    rows = current.select(F.col(key), licence.alias("__l"), position.alias("__p"))
+    found = rows.groupBy(key).agg(F.bool_and(F.col("__l").isNotNull()).alias("ok"), F.min_by("__l", "__p").alias("licence"))
+    return found.where("ok").select(key, "licence")
 
 
 def registry_licence(papers: DataFrame, as_of: str) -> DataFrame:
@@ -55,7 +53,8 @@ def registry_licence(papers: DataFrame, as_of: str) -> DataFrame:
     current = latest_as_of(eligible, "id", F.col("start"), F.lit(as_of[:10]).cast("date"))
     permit = F.when(public_url(F.col("l.url")).isNotNull(), permissive_licence(F.col("l.url")))
     granted = all_permit(current, "id", permit, F.col("pos"))
-    first = current.groupBy("id").agg(F.min_by(public_url(F.col("l.sourceUrl")), "pos").alias("source"))
+    shown = current.select("id", "pos", public_url(F.col("l.sourceUrl")).alias("shown"))
+    first = shown.groupBy("id").agg(F.min_by("shown", "pos").alias("source"))
     return granted.join(first, "id").where(F.col("source").isNotNull())
 
 

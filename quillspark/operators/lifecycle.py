@@ -99,15 +99,30 @@ class RunStore:
 
     def commit(self, run: str, base: str | None, tables: Mapping[str, DataFrame]) -> bool:
         """False if the run is committed already; ``StaleRun`` if another is newer."""
-        done = self.journal()
+        if not self._is_next(run, base, self.journal()):
+            return False
+        return self.publish(run, base, self.write_tables(run, tables))
+
+    def _is_next(self, run: str, base: str | None, done: list[dict]) -> bool:
         if any(r["run"] == run for r in done):
             return False
         if (done[-1]["run"] if done else None) != base:
             raise StaleRun(f"{run} started from {base}")
+        return True
+
+    def write_tables(self, run: str, tables: Mapping[str, DataFrame]) -> dict[str, str]:
+        """A run's tables on paths of their own, not seen by readers yet."""
         paths = {}
         for name, df in tables.items():
             paths[name] = f"{self.root}/tables/{name}/{run}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(paths[name])
+        return paths
+
+    def publish(self, run: str, base: str | None, paths: Mapping[str, str]) -> bool:
+        """Make written tables the run's, all at once."""
+        done = self.journal()
+        if not self._is_next(run, base, done):
+            return False
         row = {"n": len(done), "run": run, "base": base, "tables": json.dumps(paths)}
         if not self._create(f"journal/{len(done):012d}.json", json.dumps(row)):
             raise StaleRun(f"another run was committed while {run} was written")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -10,13 +11,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import strip_private
 from quillspark.model import HEALTH_DDL
-from quillspark.sources import snapshot
+from quillspark.sources import document, snapshot
 
 #: What a published check says of its errors.
 CHECK_NOTES = {"failed": "The source check was unsuccessful.", "partial": "Some source checks were unavailable."}
 #: Marks that Markdown reads, and the overview's sentences.
 MARKS = "[\\\\`*_{}\\[\\]()#+.!|<>:\\-]"
-OVERVIEW_TITLE = "# Paper Monitor public library"
 OVERVIEW_NOTE = "Public files contain bibliographic metadata and permitted text only. PDFs and private local reports are not published."
 
 
@@ -56,11 +56,11 @@ def export_counts(published: DataFrame) -> DataFrame:
     )
 
 
-def overview_lines(header: DataFrame, counts: DataFrame, journals: DataFrame, sources: DataFrame) -> DataFrame:
+def overview_lines(header: DataFrame, counts: DataFrame, journals: DataFrame, sources: DataFrame, title: str) -> DataFrame:
     """(pos, line) of the overview; one row for each journal behind the head."""
     head = header.crossJoin(counts)  # one row each
     lines = [
-        F.lit(OVERVIEW_TITLE), F.lit(""), F.concat(F.lit("Updated: "), escaped(F.coalesce("generatedAt", F.lit("")))),
+        F.lit(f"# {title}"), F.lit(""), F.concat(F.lit("Updated: "), escaped(F.coalesce("generatedAt", F.lit("")))),
         F.concat(F.lit("Coverage: "), escaped(F.col("coverageStart")), F.lit(" onward")),
         F.concat(F.col("paperCount").cast("string"), F.lit(" relevant papers.")),
         F.concat(F.col("licensedAbstracts").cast("string"), F.lit(" abstracts with supported redistribution licences.")),
@@ -95,21 +95,25 @@ def _check_target(spark: SparkSession, path: str) -> None:
         p = p.getParent()
 
 
-def export(spark: SparkSession, library: snapshot.Library, published: DataFrame, folder: str) -> Exported:
-    """Write data/library.json (a Parquet of papers beside it for large ones is
-    the caller's own) and data/latest.md; the JSON document is written by Spark as
-    one line and comes to its place whole, after the overview."""
+def _plain(df: DataFrame) -> list[dict]:
+    """The rows of a small table without their nulls, as a JSON document has them."""
+    return [json.loads(r["j"]) for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).collect()]
+
+
+def export(spark: SparkSession, library: snapshot.Library, published: DataFrame, folder: str, title: str = "Public library", files: int | None = None) -> Exported:
+    """Write data/latest.md and data/library.json.  The papers are written by
+    partitions, in order of ``at`` (their place in the library, if they have that
+    column) and id, and joined into the one document that the format is; only
+    journals and their checks pass through the driver."""
     data = f"{folder.rstrip('/')}/data"
     _check_target(spark, data)
     sources, journals = public_sources(library.sources), public_journals(library.journals)
     counts = export_counts(published)
-    lines = overview_lines(library.header, counts, journals, sources).orderBy("pos")
+    lines = overview_lines(library.header, counts, journals, sources, title).orderBy("pos")
     overview = "\n".join(r["line"] for r in lines.collect()) + "\n"  # a line for each journal
-    rows = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    # one document is the format: its papers meet in one task, as in any reader of it
-    doc = library.header.select("schemaVersion", "generatedAt", "coverageStart").crossJoin(rows(journals, "journals"))
-    doc = doc.crossJoin(rows(published, "papers")).crossJoin(rows(sources, "sources"))  # one row each
-    body = doc.select(F.to_json(F.struct(*doc.columns)).alias("j")).head()["j"]
+    before = {**_plain(library.header.select("schemaVersion", "generatedAt", "coverageStart"))[0], "journals": _plain(journals)}
+    order = [F.col("at"), F.col("id")] if "at" in published.columns else [F.col("id")]
     snapshot.write_text(spark, f"{data}/latest.md", overview)
-    snapshot.write_text(spark, f"{data}/library.json", body + "\n")
+    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    document.write_json_document(published, "papers", order, before, {"sources": _plain(sources)}, f"{data}/library.json", parts)
     return Exported(f"{data}/library.json", f"{data}/latest.md", counts.head().asDict())

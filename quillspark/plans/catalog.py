@@ -110,55 +110,46 @@ _SHOWN, _SUMMARY = "trim(coalesce(abstract, ''), ' \t\n\r') <> ''", "trim(coales
 _VISIBLE = "topic IN ('both', 'learning-analytics', 'ai')"
 
 
-NAME, KEYWORDS, SOURCES = "the", "that with", ("src0", "src3", "src5", "src7")
+NAME, KEYWORDS, FROM_YEAR, UNTIL_YEAR = "author 1", "that with", "2003", "2016"
 
-SEARCHED = f"""SELECT d.doc_id, d.title, d.source, coalesce(l.quality, -1) AS quality FROM ({TITLED}) d LEFT JOIN labels l USING (doc_id)
-  WHERE contains(lower(title), '{NAME}') AND contains(lower(text), 'that') AND contains(lower(text), 'with')
-    AND source IN {SOURCES} AND lang IN ('en', 'de')"""
+FOUND = f"""SELECT id, n, 'Title ' || lpad((n % 97)::VARCHAR, 2, '0') AS title, 2000 + n % 20 AS year FROM ({PAPERS})
+  WHERE {_VISIBLE} AND contains('author ' || n % 100, '{NAME}') AND n % 20 BETWEEN 3 AND 16
+    AND contains(lower(concat_ws(' ', coalesce(abstract, ''), lang, coalesce(summary, ''))), 'that')
+    AND contains(lower(concat_ws(' ', coalesce(abstract, ''), lang, coalesce(summary, ''))), 'with')"""
 
 
-def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = titled(table(spark, sf_dir, "documents")).where(F.col("source").isin(*SOURCES) & F.col("lang").isin("en", "de"))
-    found = docs.where(
-        search.name_matches(NAME, F.col("title"), F.array().cast("array<string>"))
-        & search.keywords_match(KEYWORDS, F.col("title"), F.col("text"))
-    )
-    return found.select("doc_id", "title", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").fillna(-1, ["quality"])
+def _search(spark: SparkSession, sf_dir: str, **options) -> search.SearchResult:
+    """A search of the papers, with titles whose order is the same in any collation."""
+    n = F.substring("id", 2, 20).cast("long")
+    found = papers(spark, sf_dir).withColumn("title", F.concat(F.lit("Title "), F.lpad((n % 97).cast("string"), 2, "0")))
+    filters = {"name": NAME, "keywords": KEYWORDS, "date_from": FROM_YEAR, "date_to": UNTIL_YEAR} | options
+    return search.search(found, search.SearchFilters(**filters))
 
 
 @query(f"""
-WITH m AS ({SEARCHED}), t AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS page FROM m),
-r AS (SELECT *, row_number() OVER (ORDER BY quality DESC, doc_id) AS rank FROM m)
-SELECT doc_id, title, source, quality, rank::BIGINT AS rank, page FROM r, t WHERE rank > (page - 1) * 25 AND rank <= page * 25
+WITH m AS ({FOUND}), t AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS page FROM m),
+r AS (SELECT *, row_number() OVER (ORDER BY year DESC, title, id) AS rank FROM m)
+SELECT id, title, year, page FROM r, t WHERE rank > (page - 1) * 25 AND rank <= page * 25
 """)
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page 999 of a search: clamped to the last page."""
-    found = _searched(spark, sf_dir)
-    page, _ = search.clamp(found.count(), 999)
-    at = (page - 1) * search.PAGE_SIZE
-    shown = found.orderBy(F.col("quality").desc(), "doc_id").offset(at).limit(search.PAGE_SIZE)
-    order = Window.orderBy(F.col("quality").desc(), "doc_id")  # one page of rows
-    return shown.withColumn("rank", (F.row_number().over(order) + at).cast("long")).withColumn("page", F.lit(page).cast("long"))
+    """Page 999 of a search, clamped to the last page."""
+    found = _search(spark, sf_dir, page=999)
+    return found.papers.select("id", "title", F.col("publicationDate.value").cast("int").alias("year"), F.lit(found.page).cast("long").alias("page"))
 
 
 @query(f"""
-WITH m AS ({SEARCHED})
-SELECT 'some' AS filter, count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS total_pages, greatest(1, least(2, ceil(count(*) / 25.0)))::BIGINT AS page FROM m
+WITH m AS ({FOUND}), t AS (SELECT count(*) AS total FROM m)
+SELECT 'some' AS filter, total, ceil(total / 25.0)::BIGINT AS total_pages, greatest(1, least(2, ceil(total / 25.0)))::BIGINT AS page FROM t
 UNION ALL SELECT 'none', 0, 0, 1
 """)
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and the effective page, with the search that finds nothing."""
-    n = F.count(F.lit(1))
-    pages = F.ceil(n / search.PAGE_SIZE)
 
-    def totals(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(n.alias("total")).select(
-            F.lit(name).alias("filter"), "total", F.ceil(F.col("total") / search.PAGE_SIZE).alias("total_pages"),
-            F.greatest(F.lit(1), F.least(F.lit(2), F.ceil(F.col("total") / search.PAGE_SIZE))).cast("long").alias("page"),
-        )
+    def totals(label: str, **options) -> DataFrame:
+        r = _search(spark, sf_dir, page=2, **options)
+        return spark.range(1).select(F.lit(label).alias("filter"), F.lit(r.total).cast("long").alias("total"), F.lit(r.total_pages).cast("long").alias("total_pages"), F.lit(r.page).cast("long").alias("page"))
 
-    found = _searched(spark, sf_dir)
-    return totals(found, "some").unionByName(totals(found.where(F.col("title") == "no such title"), "none"))
+    return totals("some").unionByName(totals("none", name="no such name"))
 
 
 @query(f"""
@@ -247,23 +238,20 @@ def _named_sql(c: str) -> str:
     return f"regexp_replace({c}, '(?i)&amp;', '&', 'g')"
 
 
-_CLEAN_STEPS = [
-    (r"(?s)<!\[CDATA\[(.*?)\]\]>", r"\1"),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?i)</?(?:[\w.-]+:)?(?:p|div|section|title|abstract|sec|h[1-6])\b[^>]*>", "\n\n"),
-    (r"(?i)<(?:[\w.-]+:)?br\b[^>]*/?\s*>", "\n"),
-    (r"(?i)</?[a-z][\w:.-]*(?:\s[^<>]*?)?\s*/?>", ""),
-    ("\r\n?", "\n"), ("[\t  ]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), (r"^\s+", ""), (r"\s+$", ""),
-]
+_PIECE = r"<script\b[^>]*>(?s:.*?)</script\s*>|<style\b[^>]*>(?s:.*?)</style\s*>|<!--(?s:.*?)-->|</?[a-z][^<>]*>|[^<]+|<"
 
 
 def _clean_sql(c: str) -> str:
-    out = _named_sql(_named_sql(c))
-    for pattern, to in _CLEAN_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return out
+    """The text as a list of pieces of markup and of text, each turned by its kind;
+    then lines are trimmed one by one."""
+    blocks = ", ".join(f"'{t}'" for t in text.PARAGRAPH_TAGS)
+    name = r"lower(regexp_extract(p, '^</?(?:[\w.-]+:)?([A-Za-z0-9]+)', 1))"
+    shown = rf"""CASE WHEN NOT regexp_matches(p, '^(<!--|</?[A-Za-z])') THEN p WHEN {name} IN ({blocks}) THEN chr(10) || chr(10)
+      WHEN {name} = 'br' AND NOT starts_with(p, '</') THEN chr(10) ELSE '' END"""
+    pieces = rf"list_transform(regexp_extract_all({_named_sql(_named_sql(c))}, '(?i){_PIECE}'), lambda p: {shown})"
+    lines = rf"string_split(regexp_replace(array_to_string({pieces}, ''), '\r\n?', chr(10), 'g'), chr(10))"
+    tidy = rf"array_to_string(list_transform({lines}, lambda x: trim(regexp_replace(x, '[\t\x{{00A0}} ]+', ' ', 'g'), ' ')), chr(10))"
+    return rf"regexp_replace(regexp_replace(regexp_replace({tidy}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"
 
 
 @query(f"""
@@ -802,10 +790,11 @@ def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(found).select("doc_id")
 
 
-@query(f"""
-WITH p AS (SELECT *, 'Intro text. [Page ' || (n % 5 + 1) || '] ABSTRACT ' AS head, array_to_string(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:100], ' ') AS body FROM ({PAPERS}))
-SELECT id, sha256(CASE WHEN coalesce(abstract, '') <> '' THEN abstract WHEN downloaded AND len(string_split(body, ' ')) >= 60 THEN body END) AS text_sha256,
-  CASE WHEN coalesce(abstract, '') = '' AND downloaded AND len(string_split(body, ' ')) >= 60 THEN 'https://x.org/' || n || '.pdf#page=' || (n % 5 + 1) END AS source FROM p
+@query(rf"""
+WITH p AS (SELECT *, array_to_string(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), ' ') AS body FROM ({PAPERS})),
+q AS (SELECT *, downloaded AND coalesce(abstract, '') = '' AND len(string_split(body, ' ')) BETWEEN 60 AND 600 AS recovered FROM p)
+SELECT id, sha256(CASE WHEN coalesce(abstract, '') <> '' THEN abstract WHEN recovered THEN body END) AS text_sha256,
+  CASE WHEN recovered THEN 'https://x.org/' || n || '.pdf#page=' || (n % 5 + 1) END AS source FROM q
 """)
 def recovered_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstracts from the stored texts of downloaded files, with their page."""
@@ -814,7 +803,7 @@ def recovered_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.concat(F.lit("pdf/"), "id", F.lit(".pdf"))
     p = p.withColumn("pdf", F.col("pdf").withField("path", at).withField("sourceUrl", F.concat(F.lit("https://x.org/"), n.cast("string"), F.lit(".pdf#a"))))
     d = table(spark, sf_dir, "documents")
-    words = F.array_join(F.slice(F.split(text.trimmed(F.regexp_replace("text", "(?U)\\s+", " ")), " "), 1, 100), " ")
+    words = text.trimmed(F.regexp_replace("text", "(?U)\\s+", " "))
     page = (F.col("doc_id") % 5 + 1).cast("string")
     body = F.concat(F.lit("Intro text. [Page "), page, F.lit("] ABSTRACT "), words, F.lit(" Keywords: x"))
     texts = d.select(F.concat(F.lit("pdf/d"), F.col("doc_id").cast("string"), F.lit(".pdf.txt")).alias("path"), body.alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,7 @@ ELSEVIER_ARTICLE = "https://api.elsevier.com/content/article/"
 BATCH = 100
 #: Replies after which a host is asked no more, and journals whose
 #: abstracts the publisher's service has.
-REFUSALS = ("401", "403", "429")
+REFUSALS = (401, 403, 429)
 ELSEVIER_JOURNALS = ("compedu", "edurev", "caeai")
 FIELDS = "id,doi,abstract_inverted_index,keywords,best_oa_location,locations"
 
@@ -62,6 +63,17 @@ def elsevier_requests(papers: DataFrame, has_key: bool) -> DataFrame:
     return rows.where("request is not null")
 
 
+def status_of(error: Exception) -> int | None:
+    """The status of an HTTP failure: the error's own, or the code that its message
+    begins with; numbers elsewhere in a message are none."""
+    for name in ("status", "code", "status_code"):
+        value = getattr(error, name, None)
+        if isinstance(value, int):
+            return value
+    told = re.match(r"HTTP(?: Error)? (\d{3})\b", str(error))
+    return int(told[1]) if told else None
+
+
 def replies(requests: DataFrame, fetch: str) -> DataFrame:
     """``requests`` with body or error.  Each request is made once; after a
     refusal a host's later requests in the task are errors without a call."""
@@ -85,7 +97,7 @@ def replies(requests: DataFrame, fetch: str) -> DataFrame:
                             memo[request] = call(request), None
                         except Exception as e:  # any failure of a service is a row
                             memo[request] = None, str(e)[:400]
-                            if any(code in str(e) for code in REFUSALS):
+                            if status_of(e) in REFUSALS:
                                 blocked.add(at)
                 got.append(memo[request])
             yield f.assign(body=[g[0] for g in got], error=[g[1] for g in got])

@@ -413,8 +413,8 @@ def article_pages(raw: DataFrame, html: str, url: str) -> DataFrame:
 
 
 OPENALEX_DDL = """doi string, abstract_inverted_index map<string,array<int>>, keywords array<struct<display_name:string>>,
-best_oa_location struct<landing_page_url:string,pdf_url:string,license:string,version:string,is_oa:boolean>,
-locations array<struct<landing_page_url:string,pdf_url:string,license:string,version:string,is_oa:boolean>>"""
+best_oa_location struct<landing_page_url:string,pdf_url:string,license:string,version:string,is_oa:boolean,source:struct<type:string>>,
+locations array<struct<landing_page_url:string,pdf_url:string,license:string,version:string,is_oa:boolean,source:struct<type:string>>>"""
 
 
 def openalex_works(raw: DataFrame, column: str) -> DataFrame:

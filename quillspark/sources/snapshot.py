@@ -129,23 +129,18 @@ class SnapshotStore:
 REPLACE_ATTEMPTS, FIRST_PAUSE = 6, 0.1
 
 
-def write_text(spark: SparkSession, path: str, body: str) -> None:
-    """One file, replaced as a whole: written beside its place and renamed over
-    it, so that readers see the old or the new one; a busy file is tried again
-    after pauses that double."""
+def rename_over(spark: SparkSession, staged, target: str) -> None:
+    """Put a staged file in its place at once, so that readers see the old or the
+    new one; a busy place is tried again after pauses that double."""
     jvm = spark.sparkContext._jvm
-    fs, target = _filesystem(spark, path)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
-    out = fs.create(staged, True)
-    out.write(bytearray(body.encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _filesystem(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(kind, 1)
     options[0] = kind.OVERWRITE
     for attempt in range(REPLACE_ATTEMPTS):
         try:
-            context.rename(fs.makeQualified(staged), fs.makeQualified(target), options)
+            context.rename(fs.makeQualified(staged), fs.makeQualified(at), options)
             return
         except Py4JJavaError:
             if attempt == REPLACE_ATTEMPTS - 1:
@@ -154,6 +149,16 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
             time.sleep(FIRST_PAUSE * 2**attempt)
 
 
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One file, replaced as a whole: written beside its place and renamed over it."""
+    fs, _ = _filesystem(spark, path)
+    staged = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(staged, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    rename_over(spark, staged, path)
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
     """One JSON document with two-space indent, replaced as a whole."""
     write_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False) + "\n")

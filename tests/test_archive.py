@@ -161,15 +161,20 @@ def test_export(spark, tmp_path):
 
 def test_report(spark):
     df = papers(
-        spark, paper("a", title="A *b*", abstract="text", abstractSource="https://x.org/a", relevance={"topic": "ai", "reason": "r", "method": "rules", "confidence": "low"}, publicationDate=day("2025-03"), pdf={"status": "downloaded", "path": "p"}),
+        spark, paper("a", title="A *b*", abstract="line one\n- two (c) & token=abcdef1234", abstractSource="https://X.org:443/a", relevance={"topic": "ai", "reason": "r", "method": "rules", "confidence": "low"}, publicationDate=day("2025-03"), pdf={"status": "downloaded", "path": "p", "license": "CC BY", "version": "publishedVersion"}),
         paper("b", title="B", relevance={"topic": "both"}, url="http://x.org"), paper("silent", title="C", relevance={"topic": "ai"}),
     )
     notices = spark.createDataFrame([("a", "online"), ("a", "issue"), ("b", "backfill")], "paperId string, kind string")
     journals = spark.createDataFrame([("bjet", "B J"), ("jla", "Z J")], "id string, name string")
-    health = spark.createDataFrame([("bjet", "ok")], "journalId string, status string")
-    lines = [r.line for r in export.report_lines(df, notices, journals, health).collect()]
-    assert lines[:3] == ["## B J", "Check: ok. 2 paper(s) in this digest.", "### Learning analytics + AI"] and lines[-1] == "Check: not checked. 0 paper(s) in this digest."
+    health = spark.createDataFrame([("bjet", "ok", ["HTTP 500."])], "journalId string, status string, errors array<string>")
+    run = spark.createDataFrame([("2025-09-01T00-00-00-000Z-a0a0a0", NOW, "2025-01-01", ["api_key=abc <x>"])], "id string, startedAt string, coverageStart string, warnings array<string>")
+    lines = [r.line for r in export.report_lines(run, df, notices, journals, health, "Digest").collect()]
+    assert lines[:5] == ["# Digest — 2025\\-09\\-01", "Run: 2025\\-09\\-01T00\\-00\\-00\\-000Z\\-a0a0a0 · Archive coverage: 2025\\-01\\-01 onward", "2 papers · 3 publication notices · 3 papers in the library.", "## Collection notes", lines[4]]
+    assert "abc" not in lines[4] and "&lt;x&gt;" in lines[4]
+    assert lines[5:9] == ["## B J", "Check: ok. 2 paper(s) in this digest.", "- HTTP 500\\.", "### Learning analytics + AI"] and lines[-1] == "Check: not checked. 0 paper(s) in this digest."
     at = lines.index("#### A \\*b\\*")
-    assert lines[at + 1].endswith(" · 2025-03 · issue, online") and "Source: [Source](<https://x.org/a>)" in lines[at + 3] and "Open in library" in lines[at + 5]
+    assert lines[at + 1].endswith(" · 2025\\-03 · issue, online") and lines[at + 3] == "Author abstract:" and lines[at + 4] == "line one\n\\- two \\(c\\) &amp; token\\=\\[REDACTED\\]".replace("\\=", "=")
+    assert lines[at + 5] == "Source: [Source](<https://x.org/a>)" and "Open in library" in lines[at + 7] and lines[at + 7].endswith(" · CC BY · publishedVersion")
     assert export.NO_LINK in lines and export.NO_ABSTRACT in lines and not any("C" == x[5:] for x in lines)
-    assert all("Relevance" not in r.line for r in export.report_lines(df, notices, journals, health, compact=True).collect())
+    short = [r.line for r in export.report_lines(run, df, notices, journals, health, "Digest", compact=True).collect()]
+    assert not any(x.startswith(("Relevance", "Author")) for x in short) and len(short) == len(lines) - 4 - 2

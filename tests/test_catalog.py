@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quillspark.plans import catalog
+from quillspark.plans import catalog, literature  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
