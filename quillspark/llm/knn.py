@@ -23,9 +23,9 @@ their best k are merged for each query.
 without structure in many dimensions next to nothing, and then the join is a
 blocked comparison of all queries with all rows.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite
-components, and rows without an id, take no part; of vectors of different length
-the shorter counts as padded with zeros; equal scores go to the smaller id;
+Defined cases: vectors that are null or hold null or non-finite components, and
+rows without an id, take no part; of vectors of different length the shorter
+counts as padded with zeros, an empty one as zeros throughout; equal scores go to the smaller id;
 repeated ids are rows of their own and only the query's own row is left out;
 fewer than k other rows give fewer results; an empty table gives none; other
 columns, whatever their names, are not read.
@@ -51,7 +51,7 @@ def quantise(df: DataFrame, vector: str, scale: int) -> DataFrame:
     """Rows that take part, with floor(scale * x) of each component."""
     v = F.col(f"`{vector}`")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return df.where(v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False))).withColumn(
+    return df.where(v.isNotNull() & F.coalesce(finite, F.lit(False))).withColumn(
         "q", F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     )
 

@@ -5,7 +5,8 @@ letters and digits at least that changes between both SECRET_CHANGES times) are
 found in every whole text.  Each span protects entities of growing generality:
 its value, for an email its domain, and its kind.  Values mostly occur once, but
 domains and kinds recur, so what stands beside them can be learnt.  All terms of
-a text that holds an entity, wherever they stand, are its possible disclosers;
+a text that holds an entity, wherever they stand, are its possible disclosers
+(words without outer punctuation of LEAST_TERM characters, other than numbers);
 with n distinct texts (so that exact copies count once, in every count alike),
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t))),   IC(c) = -log2 p(c),
@@ -48,6 +49,8 @@ BASE_KINDS = KINDS[:4]
 
 #: Support rule: distinct texts in which entity and term must meet.
 MIN_DOCUMENTS = 3
+#: Letters of a term at least; a term of digits alone is none.
+LEAST_TERM = 3
 #: Share of an entity's information content that a term may reveal.
 ALPHA = 0.9
 #: Least information content of an entity that is protected.
@@ -60,9 +63,11 @@ SLICE_ROWS = 500_000
 HELD_KEYS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _REGION = re.compile(r"[0-9+][0-9 ().+-]+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match begins a run of digits: what stands behind the run decides, so no other
+# place of it needs a try, and runs are read once
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -153,7 +158,7 @@ def entities_of(text: str, spans: list[Span]) -> set[str]:
 def term_of(word: str) -> str:
     """A word's term: lower case without outer punctuation; '' if none."""
     t = _EDGE.sub("", word).lower()
-    return t if len(t) >= 3 and not t.isdigit() else ""
+    return t if len(t) >= LEAST_TERM and not t.isdigit() else ""
 
 
 def terms_in(text: str, spans: list[Span]) -> set[str]:
