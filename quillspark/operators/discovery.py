@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import dates
 from quillspark.operators import identity
-from quillspark.sources import paged, records
+from quillspark.sources import paged, records, registry
 
 
 class DiscoveryError(ValueError):
@@ -54,6 +54,17 @@ def scan(spark: SparkSession, fetch: str, sources: list[str], **options: str) ->
     return reader.load()
 
 
+def registry_scan(spark: SparkSession, fetch: str, issn: str, since: str, until: str, update_since: str | None = None, **options: str) -> DataFrame:
+    """(source, cursor, record, error) of a journal's works that may be of the
+    coverage and, with a cursor, have changed since it (a week goes back): the
+    conditions are pushed to the service."""
+    day = lambda value: F.lit(value).cast("date")
+    found = registry.works(spark, fetch, [issn], errors="rows", **options).where((F.col("publishedTo") >= day(since)) & (F.col("publishedFrom") <= day(until)))
+    if update_since:
+        found = found.where(F.col("indexed") >= day(registry.overlap_start(update_since)))
+    return found.select(F.lit("registry").alias("source"), F.lit(None).cast("string").alias("cursor"), "record", "error")
+
+
 def publisher_papers(pages: DataFrame, journal: str, publisher: str, now: str) -> tuple[DataFrame, DataFrame]:
     """Papers of feed or OAI pages, and errors: broken pages, and deleted
     records, which stay in the archive until someone has looked."""
@@ -93,7 +104,7 @@ def discover(
     value = dates.effective_date(F.col("publishedOnline.value"), F.col("publishedIssue.value"), F.col("publicationDate.value"))
     papers = papers.where(dates.overlaps_coverage(value, since, until))
     whole = limit is None and registry_pages.where("error is not null").isEmpty()
-    return Discovery(papers if limit is None else papers.limit(limit), feed_errors.unionByName(registry_errors), whole)
+    return Discovery(papers if limit is None else papers.orderBy("id").limit(limit), feed_errors.unionByName(registry_errors), whole)
 
 
 class DiscoveryCache:

@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.dates import missing
 from quillspark.functions.identifiers import doi_exact
+from quillspark.functions.text import clean_text
 
 #: The services' addresses, and most DOIs of one request.
 OPENALEX_WORKS = "https://api.openalex.org/works"
@@ -133,3 +135,15 @@ def openalex_results(answered: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doi", "record", "error"])
 
     return answered.select("dois", "body", "error").mapInPandas(run, "doi string, record string, error string")
+
+
+def elsevier_results(answered: DataFrame) -> DataFrame:
+    """(id, text, source, error) of the publisher's replies: the description that
+    is the abstract, read from the record's core data; its address is the source.
+    A reply without one is neither text nor error; an unreadable one is an error."""
+    at = "$['full-text-retrieval-response']['coredata']['dc:description']"
+    plain = missing(clean_text(F.get_json_object("body", at), numeric=False))
+    broken = F.col("body").isNotNull() & F.try_parse_json("body").isNull()
+    error = F.coalesce(F.col("error"), F.when(broken, F.lit("unreadable reply")))
+    text = F.when(error.isNull(), plain)
+    return answered.select("id", text.alias("text"), F.when(text.isNotNull(), F.col("request")).alias("source"), error.alias("error"))

@@ -11,13 +11,14 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import addresses, text
 from quillspark.functions import identifiers as ids
-from quillspark.functions import text
 from quillspark.functions.dates import date_from_parts, interval_start, missing, parse_date, precision
 
 _PARTS = "struct<`date-parts`:array<array<int>>,`date-time`:string>"
@@ -282,6 +283,44 @@ def oai_papers(records: DataFrame, journal: str, now: str) -> DataFrame:
     return new_papers(rows.where("title is not null and url is not null"), journal, "oai", now)
 
 
+#: Names of a page's abstract, and of parts that only look like it.
+ABSTRACT_SECTIONS, OTHER_SECTIONS = ("abstract", "abstractsection", "abstractinfull"), ("graphical", "keywords", "toc")
+
+
+def _is_abstract_section(names: str) -> bool:
+    """By the words of an element's id and classes."""
+    words = re.split(r"[\s_-]+", names.lower())
+    return any(w in ABSTRACT_SECTIONS for w in words) and not any(o in names.lower() for o in OTHER_SECTIONS)
+
+
+def _doi_in(value: object) -> str | None:
+    found = re.search(r"10\.\d{4,9}/[^\s<>\"?#]+", unquote(str(value or "")), re.I)
+    return found[0].rstrip(".,;").lower() if found else None
+
+
+#: How the path of an article's page begins or goes on.
+_ARTICLE_PATH = re.compile(r"/(?:doi/(?:abs/|full/)?10\.|science/article/|article/view/[0-9]+)", re.I)
+
+
+def own_nodes(nodes: list[dict], url: str, expected: str | None, title: str | None) -> list[dict]:
+    """The page's own article among its structured data: another DOI rules a node
+    out; a single node, the expected DOI, the page's path or its title admit one."""
+    path = urlsplit(url).path
+    out = []
+    for n in nodes:
+        doi = _doi_in(n.get("identifier") or n.get("@id"))
+        if expected and doi and doi != expected:
+            continue
+        entity = n.get("mainEntityOfPage")
+        link = n.get("url") or n.get("@id") or (entity.get("@id") if isinstance(entity, dict) else None)
+        at = urljoin(url, str(link)) if link else ""
+        same_page = at.startswith("https://") and urlsplit(at).path == path
+        named = str(n.get("headline") or n.get("name") or "").strip().lower()
+        if len(nodes) == 1 or (expected and doi == expected) or same_page or (named and named == (title or "").lower()):
+            out.append(n)
+    return out
+
+
 class _Page(HTMLParser):
     """Meta tags, JSON-LD, links and abstract sections of an article page."""
 
@@ -309,10 +348,7 @@ class _Page(HTMLParser):
         elif tag == "style":
             self._skip += 1
         if tag in ("section", "div"):
-            mark = f"{a.get('id', '')} {a.get('class', '')}"
-            wanted = re.search(r"(?:^|\s|[_-])abstract(?:$|\s|[_-])|\babstractSection\b|\babstractInFull\b", mark, re.I)
-            wanted = wanted and not re.search("graphical|keywords|toc", mark, re.I)
-            self._open.append((tag, [] if wanted else None))
+            self._open.append((tag, [] if _is_abstract_section(f"{a.get('id', '')} {a.get('class', '')}") else None))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script":
@@ -372,9 +408,12 @@ def _scholarly(raw: str) -> list[dict]:
 MOST_HTML = 5 * 1024 * 1024
 
 
-def article_pages(raw: DataFrame, html: str, url: str) -> DataFrame:
+def article_pages(raw: DataFrame, html: str, url: str, hosts: Column | None = None) -> DataFrame:
     """url, doi, abstract, abstractKind, pdfUrls, license, isOa of article pages
-    up to 5 MB; the longest abstract candidate wins, the first of equals."""
+    up to 5 MB; the longest abstract candidate wins, the first of equals.  With
+    ``hosts``, the official host names of each row, other pages are left out."""
+    if hosts is not None:
+        raw = raw.where(F.coalesce(F.array_contains(hosts, addresses.parsed(F.col(url))["host"]) & ids.https_url(F.col(url)).isNotNull(), F.lit(False)))
     fields = "url string, doi string, texts array<struct<value:string,kind:string>>, pdfs array<string>, rights array<string>, free boolean, article boolean"
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,8 +427,10 @@ def article_pages(raw: DataFrame, html: str, url: str) -> DataFrame:
                 def first(*names: str, page=page) -> str | None:
                     return next((v for n in names for v in page.meta.get(n, []) if v), None)
 
-                doi = first("citation_doi", "prism.doi", "dc.identifier", "dc.identifier.doi") or next((str(n.get("identifier") or n.get("@id")) for n in nodes if n.get("identifier") or n.get("@id")), None)
-                known = bool(doi or first("citation_title") or nodes)
+                meta_doi = _doi_in(first("citation_doi", "prism.doi", "dc.identifier", "dc.identifier.doi"))
+                nodes = own_nodes(nodes, u or "", meta_doi or _doi_in(urlsplit(u or "").path), first("citation_title"))
+                doi = meta_doi or next(filter(None, (_doi_in(n.get("identifier") or n.get("@id")) for n in nodes)), None)
+                known = bool(doi or first("citation_title") or nodes or _ARTICLE_PATH.search(urlsplit(u or "").path))
                 texts = [{"value": v, "kind": k} for n, k in (("citation_abstract", "citation_abstract"), ("dc.description", "dc.description"), ("dc:description", "dc.description"), ("dcterms.abstract", "dc.description")) for v in page.meta.get(n, [])]
                 texts += [{"value": str(n["abstract"]), "kind": "jsonld"} for n in nodes if n.get("abstract")]
                 texts += [{"value": s, "kind": "section"} for s in page.sections]

@@ -61,6 +61,18 @@ def read_library(spark: SparkSession, path: str) -> Library:
     )
 
 
+def check_shape(spark: SparkSession, path: str) -> None:
+    """A fetched document must be a snapshot of the known version: three lists, and
+    when and from when it is.  Only the head of each list is looked at."""
+    schema = "schemaVersion int, generatedAt string, coverageStart string, papers array<string>, journals array<string>, sources array<string>"
+    row = spark.read.schema(schema).json(path, multiLine=True).select(
+        "schemaVersion", "generatedAt", "coverageStart", *[F.col(c).isNotNull().alias(c) for c in ("papers", "journals", "sources")]
+    ).head()
+    whole = row is not None and row.schemaVersion == 1 and row.papers and row.journals and row.sources and row.generatedAt and row.coverageStart
+    if not whole:
+        raise InvalidLibrary("the document is no snapshot of the known shape")
+
+
 def empty_library(spark: SparkSession, journals: DataFrame, coverage_start: str) -> Library:
     header = spark.createDataFrame([(1, None, coverage_start, None)], "schemaVersion int, generatedAt string, coverageStart string, lastRunId string")
     none = F.lit(None).cast("string")
@@ -111,6 +123,7 @@ class SnapshotStore:
                 # stores without checksums give none; time and length then tell
                 mark = status.getModificationTime(), status.getLen(), str(fs.getFileChecksum(p))
                 if mark != self._mark:
+                    check_shape(self.spark, self.path)
                     library = read_library(self.spark, self.path)
                     if not problems(library).isEmpty():
                         raise InvalidLibrary("the snapshot breaks its own rules")

@@ -76,7 +76,7 @@ def test_snapshots(spark, tmp_path):
     path = f"{tmp_path}/library.json"
     journals = spark.createDataFrame([("bjet", "B", "B", "", "wiley", "", [])], "id string, name string, shortName string, issn string, publisher string, url string, feeds array<string>")
     assert snapshot.load_library(spark, path, journals, "2025-01-01").sources.head().status == "never"
-    doc = {"schemaVersion": 1, "generatedAt": NOW, "journals": [{"id": "bjet"}], "papers": [{"id": "a", "journalId": "bjet"}, {"id": "a", "journalId": "zz"}], "sources": []}
+    doc = {"schemaVersion": 1, "generatedAt": NOW, "coverageStart": "2025-01-01", "journals": [{"id": "bjet"}], "papers": [{"id": "a", "journalId": "bjet"}, {"id": "a", "journalId": "zz"}], "sources": []}
     snapshot.write_json(spark, path, doc)
     lib = snapshot.read_library(spark, path)
     assert lib.papers.count() == 2
@@ -87,9 +87,10 @@ def test_snapshots(spark, tmp_path):
     doc["papers"] = doc["papers"][:1]
     snapshot.write_json(spark, path, doc)
     assert store.get().papers.count() == 1
-    (tmp_path / ".library.json.crc").unlink()
-    (tmp_path / "library.json").write_text("{broken")
-    assert store.get().papers.count() == 1  # the last valid version stays
+    for body in ("{broken", '{"error": "not found"}', json.dumps(doc | {"schemaVersion": 2}), json.dumps(doc | {"papers": None}), json.dumps({k: v for k, v in doc.items() if k != "generatedAt"})):
+        (tmp_path / ".library.json.crc").unlink(missing_ok=True)
+        (tmp_path / "library.json").write_text(body)
+        assert store.get().papers.count() == 1 and store.error  # the last valid version stays
 
 
 def test_stream_commits_each_batch_once(spark, tmp_path):
