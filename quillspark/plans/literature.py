@@ -216,3 +216,116 @@ def paper_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     miles = F.when(k.isin(1, 5), seen("online")).when(k == 2, seen("issue")).otherwise(seen("backfill"))
     before = now.where(k.isin(1, 2, 3, 5)).withColumns({"milestones": miles, "id": F.concat(F.lit("old "), "id")})
     return lifecycle.notices(now, before, ["known"], "2024-07-01")
+
+
+# -- look-ups and their order
+
+_ITEM = "array<struct<issn:array<string>,ids:array<string>,doi:string,title:string>>"
+
+
+@query(f"""
+SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 8 = 7 THEN '10.1000/' || doc_id END AS doi, CASE doc_id % 8 WHEN 0 THEN '{enrichment.NO_ITEM_ID}' WHEN 1 THEN '{enrichment.OTHER_SERIAL.replace("'", "''")}'
+  WHEN 2 THEN 'HTTP 503' WHEN 3 THEN '{enrichment.NOT_UNIQUE}' WHEN 4 THEN '{enrichment.NO_RECORD}' WHEN 5 THEN '{enrichment.OTHER_TITLE.replace("'", "''")}' WHEN 6 THEN '{enrichment.SEVERAL_DOIS}' END AS problem FROM documents
+""")
+def identifier_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DOI for every document from replies that are whole, or short of something."""
+    k = F.col("doc_id") % 8
+    number = F.lpad((F.col("doc_id") % 100_000_000).cast("string"), 8, "0")
+    pii = F.when(k == 0, "S12").when(k == 1, F.concat(F.lit("S00000000"), number)).otherwise(F.concat(F.lit("S03601315"), number))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("0360-1315").alias("issn"), pii.alias("pii"), k.alias("k"))
+    p = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), "issn", "pii", F.lit(None).cast("string").alias("doi"), F.concat(F.lit("A <i>"), "lang", F.lit("</i> title")).alias("title"))
+
+    def item(doi: Column, title: Column) -> Column:
+        return F.struct(F.array("issn").alias("issn"), F.array(F.lower("pii")).alias("ids"), doi.alias("doi"), title.alias("title"))
+
+    doi, title = F.concat(F.lit("10.1000/"), "doc_id"), F.concat(F.lit("a "), F.upper("lang"), F.lit(" Title"))
+    one = F.array(item(doi, title))
+    items = F.when(k == 4, F.array().cast(_ITEM)).when(k == 5, F.array(item(doi, F.lit("another")))).when(k == 6, F.array(item(doi, title), item(F.lit("10.1000/other"), title))).otherwise(one)
+    replies = d.where("k > 1").select("issn", "pii", items.cast(_ITEM).alias("items"), F.when(k == 3, 5).otherwise(F.size(items)).alias("total"), F.when(k == 2, "HTTP 503").alias("error"))
+    return enrichment.recover_identifiers(p, replies)
+
+
+@query(r"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND starts_with(url, 'https://') THEN split_part(url, '#', 1) ELSE 'https://doi.example/abs/10.1000/' || page_id END AS page FROM pages
+""")
+def publisher_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The official page of even pages, behind an address that is a file; else the DOI's."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^https?://([^/?#:]*)", 1)
+    official = F.array(F.when(F.col("page_id") % 2 == 0, host).otherwise("none.example"))
+    file = F.concat(F.lit("https://"), host, F.lit("/doi/pdf/1"))
+    page = enrichment.publisher_page(file, F.array(F.lit("doi:x"), F.concat(F.lit("url:"), "url")), F.array(F.struct(F.col("url").alias("url"))), official, F.concat(F.lit("10.1000/"), "page_id"), F.lit("https://doi.example/abs/"))
+    return pages.select("page_id", page.alias("page"))
+
+
+@query(f"""
+SELECT id FROM ({PAPERS}) WHERE NOT (n % 3 = 0 AND n % 5 <> 1 AND n % 2 = 0 AND n % 4 <> 2)
+""")
+def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers left: not done, done by another generation or DOI, or too long ago."""
+    p = papers(spark, sf_dir).withColumn("doi", F.concat(F.lit("10.1000/"), "id"))
+    n = F.substring("id", 2, 20).cast("long")
+    at = F.when(n % 2 == 0, "2025-01-01T12:00:00Z").otherwise("2025-01-01T00:00:00Z")
+    done = p.where(n % 3 == 0).select("id", F.when(n % 4 == 2, "10.1/old").otherwise(F.col("doi")).alias("doi"), F.when(n % 5 == 1, "before").otherwise("now").alias("generation"), at.alias("at"))
+    return enrichment.pending_work(p, done, "now", "2025-01-02T06:00:00Z").select("id")
+
+
+@query(f"""
+SELECT id, 2000 + n % 20 AS year FROM ({PAPERS}) WHERE {_VISIBLE} AND open_page ORDER BY n % 20, 'Title ' || lpad((n % 97)::VARCHAR, 2, '0'), id LIMIT 25 OFFSET 25
+""")
+def public_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of papers with an open link, the oldest first."""
+    n = F.substring("id", 2, 20).cast("long")
+    p = papers(spark, sf_dir).withColumn("title", F.concat(F.lit("Title "), F.lpad((n % 97).cast("string"), 2, "0")))
+    found = search.public_search(p, search.SearchFilters(pdf="downloaded", sort="oldest", page=2))
+    return found.papers.select("id", F.col("publicationDate.value").cast("int").alias("year"))
+
+
+@query("""
+WITH d AS (SELECT *, sha256(text) AS k FROM documents)
+SELECT 'd' || max(doc_id) AS id, 'd' || max(doc_id) FILTER (doc_id % 2 = 0) AS volume, arg_max(source, doc_id) AS issue, count(DISTINCT lang) AS languages FROM d GROUP BY k
+""")
+def discovered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one text become one record: later defined fields win."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d"), "doc_id")
+    r = d.select(
+        name.alias("id"), F.array(F.concat(F.lit("t:"), F.sha2("text", 256))).alias("aliases"), F.array("lang").alias("keywords"),
+        F.when(F.col("doc_id") % 2 == 0, name).otherwise("").alias("volume"), F.col("source").alias("issue"), "doc_id",
+    )
+    merged = identity.merge_discovered(r, F.col("doc_id"))
+    return merged.select("id", "volume", "issue", F.size("keywords").cast("long").alias("languages"))
+
+
+# -- reports
+
+_LINE = _ESCAPED.format(c=_SECRETS_SQL.format(c="{c}"))
+_TOPIC = "CASE topic WHEN 'both' THEN 0 WHEN 'learning-analytics' THEN 1 ELSE 2 END"
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({PAPERS}) WHERE {_VISIBLE}), j AS (SELECT journal, row_number() OVER (ORDER BY journal)::INTEGER AS place FROM (SELECT DISTINCT source AS journal FROM documents)),
+m AS (SELECT p.*, place, {_TOPIC} AS t FROM p JOIN j USING (journal) WHERE quality = 1),
+lines AS (
+  SELECT 1 AS part, place, t AS topic, id, 0 AS k, '#### ' || {_LINE.replace('{c}', "regexp_replace(coalesce(title, ''), '[' || chr(13) || chr(10) || chr(9) || ']+', ' ', 'g')")} AS line FROM m
+  UNION ALL SELECT 1, place, t, id, 1, 'Author ' || n % 100 || ' · 20' || lpad((n % 20)::VARCHAR, 2, '0') || ' · online' FROM m
+  UNION ALL SELECT 1, place, t, id, 2, 'Publisher link unavailable or withheld' FROM m
+  UNION ALL SELECT 1, place, t, id, 3, 'PDF: ' || CASE n % 6 WHEN 0 THEN 'downloaded' WHEN 3 THEN 'failed' WHEN 4 THEN 'blocked' WHEN 5 THEN 'unavailable' ELSE 'pending' END FROM m
+  UNION ALL SELECT DISTINCT 1, place, t, '', 0, '### ' || CASE t WHEN 0 THEN 'Learning analytics + AI' WHEN 1 THEN 'Learning analytics' ELSE 'Artificial intelligence' END FROM m
+  UNION ALL SELECT 1, place, -1, '', 0, '## ' || journal FROM j
+  UNION ALL SELECT 1, j.place, -1, '', 1, 'Check: not checked. ' || count(m.id) || ' paper(s) in this digest.' FROM j LEFT JOIN m ON m.place = j.place GROUP BY j.place
+  UNION ALL SELECT 0, 0, -1, '', 0, '# Digest — 2025\\-06\\-01'
+  UNION ALL SELECT 0, 0, -1, '', 1, 'Run: r1 · Archive coverage: 2025 onward'
+  UNION ALL SELECT 0, 0, -1, '', 2, (SELECT count(*) FROM m) || ' papers · ' || (SELECT count(*) FROM m) || ' publication notices · ' || (SELECT count(*) FROM p) || ' papers in the library.')
+SELECT part, place, topic, id, k, line FROM lines
+""")
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compact digest of the papers that a label marks, line by line."""
+    p = papers(spark, sf_dir).where(F.col("relevance.topic").isin("both", "learning-analytics", "ai"))
+    marked = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("d"), "doc_id").alias("id"))
+    notices = p.join(marked, "id", "left_semi").select(F.col("id").alias("paperId"), F.lit("online").alias("kind"))
+    journals = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.col("source").alias("name")).distinct()
+    run = spark.createDataFrame([("r1", "2025-06-01T00:00:00Z", "2025", [])], "id string, startedAt string, coverageStart string, warnings array<string>")
+    health = spark.createDataFrame([], "journalId string, status string, errors array<string>")
+    lines = export.report_lines(run, p, notices, journals, health, "Digest", compact=True)
+    return lines.select("part", "place", "topic", "id", "k", "line")
