@@ -31,14 +31,17 @@ from quillspark.operators.lifecycle import RunStore
 
 @dataclass(frozen=True)
 class Increment:
-    """Rows that an increment has moved: its links, the stored rows they met, and
-    the rows written; ``affected`` are the roots whose components have grown."""
+    """What an increment has moved: its links, the stored rows that they met, and
+    the written tables; ``affected`` are the roots whose components have grown."""
 
-    links: int
-    met: int
-    written: int
+    links: DataFrame
+    met: tuple[DataFrame, DataFrame]
+    written: tuple[DataFrame, ...]
     affected: DataFrame
 
+    def rows(self) -> dict[str, int]:
+        return {"links": self.links.count(), "met": sum(d.count() for d in self.met), "written": sum(d.count() for d in self.written)}
+
 
 class ComponentStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -55,6 +58,8 @@ class ComponentStore:
     def _resolve(self, roots: DataFrame) -> DataFrame:
         """(root, now) of a few roots: forwards are followed to their end."""
         found = _cut(roots.select("root", F.col("root").alias("now")))
+        if len(self.store.journal()) < 2:  # the first increment forwards nothing
+            return found
         forward = self._forward().withColumnRenamed("root", "now")
         while True:
             step = _cut(found.join(forward, "now", "left").select("root", F.coalesce("to", "now").alias("now"), F.col("to").isNotNull().alias("moved")))
@@ -86,11 +91,11 @@ class ComponentStore:
         new_labels = nodes.join(met_nodes, "node", "left_anti").join(label, "node").select("node", F.col("least").alias("root"))
         new_keys = links.join(met_keys, "key", "left_anti").join(label, "node").groupBy("key").agg(F.min("least").alias("root"))
         moved = roots.select(F.col("now").alias("node")).distinct().join(label, "node").where("node <> least")
-        tables = {"keys": _cut(new_keys), "labels": _cut(new_labels), "forward": _cut(moved.select(F.col("node").alias("root"), F.col("least").alias("to")))}
+        tables = {"keys": new_keys, "labels": new_labels, "forward": moved.select(F.col("node").alias("root"), F.col("least").alias("to"))}
         if not self.store.commit(run, base, tables):
             return None
-        met = met_keys.count() + met_nodes.count()
-        return Increment(links.count(), met, sum(t.count() for t in tables.values()), joined.select("root").distinct())
+        written = tuple(self.store.read(t) for t in tables)
+        return Increment(links, (met_keys, met_nodes), written, joined.select("root").distinct())
 
     def labels(self) -> DataFrame:
         """(node, root) of all nodes: forwards jump to their own forwards' ends."""

@@ -50,7 +50,8 @@ def test_ten_increments_equal_one_run(spark, store):
     want = {r.node: r.root for r in components(whole).collect()}
     assert {r.node: r.root for r in store.labels().collect()} == want == plain(rows)
     # the last increment met and wrote what its own rows name
-    assert got.links < len(rows) / 9 and got.met + got.written <= 3 * got.links
+    moved = got.rows()
+    assert moved["links"] < len(rows) / 9 and moved["met"] + moved["written"] <= 3 * moved["links"]
     assert store.extend("run9", whole) is None  # committed already
 
 
@@ -58,7 +59,7 @@ def test_only_touched_components_move(spark, store):
     first = [(f"n{i:03}", f"k{i // 4}") for i in range(400)]
     store.extend("a", spark.createDataFrame(first, "node string, key string"))
     got = store.extend("b", spark.createDataFrame([("n900", "k3"), ("n900", "k70"), ("n901", "new"), (None, "k1"), ("n902", None)], "node string, key string"))
-    assert (got.links, got.met) == (3, 2) and got.written == 2 + 1 + 1  # two labels, one key, one forward
+    assert got.rows() == {"links": 3, "met": 2, "written": 2 + 1 + 1}  # two labels, one key, one forward
     assert {r.root for r in got.affected.collect()} == {"n012", "n901"}
     labels = {r.node: r.root for r in store.labels().collect()}
     assert labels["n900"] == labels["n283"] == labels["n012"] == "n012" and labels["n901"] == "n901" and labels["n020"] == "n020"
@@ -74,4 +75,4 @@ def test_second_writer_is_stale(spark, store):
     store.extend("a", spark.createDataFrame([("x", "1")], "node string, key string"))
     with pytest.raises(StaleRun):
         store.store.commit("b", None, {})
-    assert store.extend("c", spark.createDataFrame([], "node string, key string")).written == 0
+    assert store.extend("c", spark.createDataFrame([], "node string, key string")).rows() == {"links": 0, "met": 0, "written": 0}

@@ -80,4 +80,5 @@ def test_cooldowns(spark, tmp_path):
     drain(spark, stream(), "due", tmp_path)
     got = sorted((r.id, r.attempted, r.due) for r in spark.read.parquet(f"{tmp_path}/due").collect())
     ms = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
-    assert got == [(k, ms(t), ms(t + timedelta(hours=24))) for k, t in (("a", at(1)), ("b", at(1, 12)))] + [("z", ms(at(2, 1)), ms(at(3, 1)))] or got == [(k, ms(t), ms(t + timedelta(hours=24))) for k, t in (("a", at(1)), ("b", at(1, 12)))]
+    # z was tried again, so its first cooldown does not count
+    assert got == [(k, ms(t), ms(t + timedelta(hours=24))) for k, t in (("a", at(1)), ("b", at(1, 12)))]
