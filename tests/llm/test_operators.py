@@ -476,7 +476,7 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(knn, "DATA_BLOCK", 40)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
     got = knn.top_k(df).collect()
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
     for a, (qi, q) in enumerate(ok):
         if qi % 50 == 0:
