@@ -2,9 +2,10 @@
 
 An exact prefix-filtered join with token-combination keys.
 
-* A bounded count sketch over all documents' shingles classes each shingle as
-  rare or frequent (a class, not an estimate that results rest on).  All sets
-  are ordered the same way: rare shingles first, then frequent, each by hash.
+* A bounded count sketch over all documents' shingles gives each shingle a level,
+  rare ones by their counter and one level for frequent ones (an order, not an
+  estimate that results rest on).  All sets are ordered the same way: by level,
+  then by hash, so the rarest shingles of a set are its keys and few sets meet.
 * Sets of similarity 4/5 share a shingle within their p-prefixes.  If their
   first common shingle is rare, one rare shingle of both p-prefixes is common:
   **rare shingles are single keys**.  If it is frequent, all common shingles
@@ -18,6 +19,10 @@ An exact prefix-filtered join with token-combination keys.
   pairs of different components that pass the size and overlap bounds are
   verified.  So no link between components is lost, and a large group of near
   copies costs a few verifications for each member.
+* A set's signature is the parity of its shingles in each of some hundred slots.
+  Signatures of two sets differ in no more bits than the sets in shingles, so a
+  candidate whose signatures differ in more than a link allows is none; it goes
+  before any text is fetched.
 * Verification computes both shingle sets from the texts.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
@@ -49,8 +54,12 @@ SKETCH_BITS, BLOCK = 22, 4096
 #: A shingle is frequent from this count on, or four times the mean counter, but
 #: from MOST_RARE on at any size: so many members at most has a rare key's list.
 FREQUENT, MOST_RARE = 64, 4096
+#: Level of frequent shingles; rare ones have those below.
+OFTEN = 255
 #: Slots (bits) of the filter by which texts are fetched for verification.
 FETCH_BITS = 20
+#: Least and greatest width of a signature (bits of its number of slots).
+SIGNATURE_BITS = 8, 15
 
 _MULTIPLY = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64
@@ -103,8 +112,28 @@ def slots(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequent_slots(df: DataFrame, bits: int = SKETCH_BITS) -> bytes:
-    """A bitmap of the sketch's counters at the threshold (2**bits bits)."""
+def signature(h: np.ndarray) -> bytes:
+    """Parities of the set's shingles over slots, about one for each shingle."""
+    least, most = SIGNATURE_BITS
+    size = 1 << min(max(len(h).bit_length(), least), most)
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(na: int, sa: bytes, nb: int, sb: bytes) -> bool:
+    """Whether sets of these sizes and signatures can be similar enough."""
+    if len(sa) < len(sb):
+        sa, sb = sb, sa
+    a, width = int.from_bytes(sa, "little"), 8 * len(sa)
+    while width > 8 * len(sb):  # a wide signature folds to a narrow one
+        width //= 2
+        a = (a >> width) ^ (a & ((1 << width) - 1))
+    differ = (a ^ int.from_bytes(sb, "little")).bit_count()
+    return (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (na + nb)
+
+
+def slot_levels(df: DataFrame, bits: int = SKETCH_BITS) -> bytes:
+    """The level of each of the sketch's counters (2**bits bytes)."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,22 +175,25 @@ def frequent_slots(df: DataFrame, bits: int = SKETCH_BITS) -> bytes:
     total = summed.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
     threshold = min(max(FREQUENT, -(-4 * total // size)), MOST_RARE)
 
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits_of = [np.packbits(np.frombuffer(s, dtype=np.int64) >= threshold).tobytes() for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits_of, pa.binary())], names=["block", "flags"])
+            sums = [np.frombuffer(s, dtype=np.int64) for s in batch.column(1).to_pylist()]
+            levels = [np.minimum(OFTEN * s // threshold, OFTEN).astype(np.uint8).tobytes() for s in sums]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.binary())], names=["block", "levels"])
 
-    out = bytearray(size // 8)
-    for b, f in summed.select("block", "sums").mapInArrow(flags, "block int, flags binary").collect():
-        out[b * BLOCK // 8 : (b + 1) * BLOCK // 8] = f
+    out = bytearray(size)
+    for b, f in summed.select("block", "sums").mapInArrow(level, "block int, levels binary").collect():
+        out[b * BLOCK : (b + 1) * BLOCK] = f
     return bytes(out)
 
 
-def keys_of(h: np.ndarray, frequent: np.ndarray, bits: int = SKETCH_BITS) -> tuple[int, np.ndarray, np.ndarray]:
+def keys_of(h: np.ndarray, levels: np.ndarray, bits: int = SKETCH_BITS) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rare shingles, single keys and pair keys of one set."""
     n = len(h)
-    common = frequent[slots(h, bits)]
-    rare, often = h[~common], h[common]
+    level = levels[slots(h, bits)]
+    common = level == OFTEN
+    # the hashes are sorted, and a stable sort keeps them so on each level
+    rare, often = h[~common][np.argsort(level[~common], kind="stable")], h[common]
     p = prefix_length(n)
     if len(rare) >= p:
         return len(rare), rare[:p], often[:0]
@@ -172,27 +204,30 @@ def keys_of(h: np.ndarray, frequent: np.ndarray, bits: int = SKETCH_BITS) -> tup
 
 
 def _prepared(df: DataFrame, text: str) -> DataFrame:
-    """uid, row, text, n, r, d1, d2 (digest of the set), singles, pairs."""
+    """uid, row, text, n, r, d1, d2 (digest of the set), signature, singles, pairs."""
     packed = beside_text(df, text)
-    frequent_bits = frequent_slots(packed)
+    level_bytes = slot_levels(packed)
     fields = [packed.schema["row"], packed.schema["text"]]
     long_list = T.ArrayType(T.LongType(), False)
     fields += [T.StructField(c, T.LongType()) for c in ("n", "r", "d1", "d2")]
+    fields.append(T.StructField("signature", T.BinaryType()))
     fields += [T.StructField("singles", long_list), T.StructField("pairs", long_list)]
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(frequent_bits, dtype=np.uint8)).astype(bool)
+        levels = np.frombuffer(level_bytes, dtype=np.uint8)
         for batch in batches:
-            numbers, singles, pairs = [], [], []
+            numbers, signatures, singles, pairs = [], [], [], []
             for t in batch.column("text").to_pylist():
                 h = shingles(t)
-                r, one, two = keys_of(h, frequent) if len(h) else (0, h, h)
+                r, one, two = keys_of(h, levels) if len(h) else (0, h, h)
                 d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 numbers.append((len(h), r, int(d[0]), int(d[1])))
+                signatures.append(signature(h))
                 singles.append(one.view(np.int64))
                 pairs.append(two.view(np.int64))
             columns = [batch.column("row"), batch.column("text")]
             columns += [pa.array([x[j] for x in numbers], pa.int64()) for j in range(4)]
+            columns.append(pa.array(signatures, pa.binary()))
             for lists in (singles, pairs):
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64)))
@@ -202,9 +237,24 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
+def _likely(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures let them link; no link goes."""
+
+    def side(c: str) -> DataFrame:
+        return docs.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array(map(may_link, *[batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")]), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return both.mapInArrow(in_task(check), "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, from their texts."""
-    pairs = materialize(pairs, "candidates")
+    pairs = materialize(_likely(pairs, docs), "candidates")
     slot = F.pmod(F.xxhash64("uid"), F.lit(1 << FETCH_BITS)).alias("slot")
     involved = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
     # at most 2**FETCH_BITS longs are broadcast; they let no needed text go

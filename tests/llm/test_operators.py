@@ -765,6 +765,40 @@ def test_links_are_exact(spark, monkeypatch, frequent):
     assert kept == {c for _, c in want.values()}
 
 
+def test_signatures_keep_every_link():
+    """Sets of any two sizes that may be equal enough pass; unlike sets go."""
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 255, 256, 511, 512, 3000, 40_000):
+        whole = rng.integers(0, 2**64, n + n // 4, dtype=np.uint64)
+        x, y = whole[:n], whole[n // 9 : n + n // 9 - n // 90]
+        shared = len(np.intersect1d(x, y))
+        linked = 5 * shared >= 4 * (len(x) + len(y) - shared)
+        assert linked or n < 40
+        assert not linked or ngrams.may_link(len(x), ngrams.signature(x), len(y), ngrams.signature(y))
+        other = rng.integers(0, 2**64, n, dtype=np.uint64)
+        assert n > 32_000 or n < 5 or not ngrams.may_link(n, ngrams.signature(x), n, ngrams.signature(other))
+
+
+def test_shared_phrases_fetch_no_texts(spark, monkeypatch):
+    """Texts of the same phrases share shingles without being alike: their pairs
+    are not verified."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"w{rng.randrange(9000)}" for _ in range(8)) for _ in range(150)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(20)) for _ in range(300)]
+    rows = list(enumerate([*texts, texts[0] + " more", texts[1] + " more"]))
+    written, write = {}, ngrams.materialize
+
+    def seen(df, tag, *rest):
+        made = write(df, tag, *rest)
+        written[tag] = written.get(tag, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(ngrams, "materialize", seen)
+    found = ngrams.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.root for r in found}) == 300
+    assert written["candidates"] <= 10  # 2 links among thousands of pairs with a common shingle
+
+
 def test_links_of_nothing(docs):
     assert ngrams.link(empty(docs)).count() == 0
     assert ngrams.one_of_each(docs).columns == docs.columns
