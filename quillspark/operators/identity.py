@@ -85,10 +85,29 @@ def _ordered_union(c: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["v"], F.array().cast("array<string>")))))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _bounds(entries: Column) -> Column:
+    """(first, last) entry of each run of equal ``k`` in sorted entries."""
+    other = lambda e, at: ~e["k"].eqNullSafe(F.get(entries, at)["k"])
+    first = F.filter(entries, lambda e, i: (i == 0) | other(e, i - 1))
+    last = F.filter(entries, lambda e, i: (i == F.size(entries) - 1) | other(e, i + 1))
+    return F.zip_with(first, last, lambda f, t: F.struct(f.alias("first"), t.alias("last")))
+
+
 def keep_last_per_key(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Last item of each key, at the place of the key's first."""
-    keys = F.array_distinct(F.transform(items, key))
-    return F.transform(keys, lambda k: F.try_element_at(F.filter(items, lambda x: key(x) == k), F.lit(-1)))
+    """Last item of each key, at the place of the key's first; in n log n time, as
+    a record of many copies has as many items."""
+
+    def kept(items: Column) -> Column:
+        entries = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        ends = F.transform(_let(entries, _bounds), lambda r: F.struct(r["first"]["i"], F.when(r["last"]["k"].isNotNull(), r["last"]["i"])))
+        return F.transform(F.sort_array(ends), lambda r: F.get(items, r["col2"]))
+
+    return _let(items, kept)
 
 
 def _provenance(items: Column) -> Column:
@@ -98,13 +117,16 @@ def _provenance(items: Column) -> Column:
     def key(x: Column) -> Column:
         return F.concat(x["source"], F.lit(":"), x["url"])
 
-    def pick(same: Column) -> Column:
-        fresh = F.array_max(F.transform(same, lambda x, i: F.struct(F.coalesce(F.try_to_timestamp(x["fetchedAt"]), F.timestamp_seconds(F.lit(0))).alias("at"), i.alias("i"))))
-        registry = F.get(same, F.lit(0))["source"] == "crossref"
-        return F.when(registry, F.get(same, fresh["i"])).otherwise(F.try_element_at(same, F.lit(-1)))
+    def kept(items: Column) -> Column:
+        at = lambda x: F.coalesce(F.try_to_timestamp(x["fetchedAt"]), F.timestamp_seconds(F.lit(0)))
+        by_place = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        by_time = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), at(x).alias("at"), i.alias("i"))))
+        # runs of both orders are of the same keys
+        ends = F.zip_with(_let(by_place, _bounds), _let(by_time, _bounds), lambda p, t: F.struct(p["first"]["i"].alias("a"), p["last"]["i"].alias("b"), p["last"]["k"].alias("k"), t["last"]["i"].alias("t")))
+        chosen = lambda r: F.when(F.get(items, r["a"])["source"] == "crossref", r["t"]).otherwise(r["b"])
+        return F.transform(F.sort_array(ends), lambda r: F.when(r["k"].isNotNull(), F.get(items, chosen(r))))
 
-    keys = F.array_distinct(F.transform(items, key))
-    return F.transform(keys, lambda k: pick(F.filter(items, lambda x: key(x) == k)))
+    return _let(items, kept)
 
 
 def _freshness(doi: Column) -> Column:
