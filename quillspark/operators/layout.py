@@ -6,21 +6,25 @@ start and greatest end are both tight: a file of days is skipped although a year
 interval covers its window, which no single sort key achieves.  A manifest row for
 each file names the two bounds; a window reads the files whose bounds meet it.
 
-``TrigramTable`` keeps the distinct trigrams of each folded text as postings (gram,
-key), ordered by both, so that a frequent gram is many tasks' and files' and a rare
-one a few row groups.  A search looks its needles' grams up in the counts and takes
-the rarest posting if that holds at most ``share`` of the rows; its rows are
+``TrigramTable`` counts the distinct trigrams of each folded text and keeps postings
+(gram, key) of those that at most ``share`` of the rows hold: no search would read
+the others, which are most of them.  Postings are dealt by gram and ordered in each
+file, so a rare one is a few row groups.  A search looks its needles' grams up in the
+counts and takes the rarest posting if there is one; its rows are
 verified by ``contains``.  Otherwise, and for needles of under three characters,
 the texts are scanned.  Either way the hits are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import dates, text
 
@@ -81,15 +85,18 @@ class IntervalTable:
 # -- substrings
 
 
-def grams(folded: Column) -> Column:
-    """Distinct trigrams, at every place of the text."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit("(?s)(?=(...))"), F.lit(1)))
+def grams(folded: str) -> np.ndarray:
+    """Distinct trigrams, at every place of the text: three code points as one number."""
+    c = np.frombuffer(folded.encode("utf-32-le", errors="surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]) if len(c) > 2 else c[:0]
 
 
-def grams_of(needle: str) -> set[str]:
-    """The same of a query: a trigram is three code points in both."""
-    folded = text.folded(needle)
-    return {folded[i : i + 3] for i in range(len(folded) - 2)}
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            held = [grams(t) for t in batch.column("body")[at : at + 1000].to_pylist()]
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["gram", "n"])
 
 
 @dataclass(frozen=True)
@@ -104,15 +111,28 @@ class TrigramTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def write(self, rows: DataFrame, key: str, body: Column, files: int) -> None:
+    def write(self, rows: DataFrame, key: str, body: Column, files: int, share: float = SHARE) -> None:
         """Index ``body`` of the rows under their ``key`` (unique, not null)."""
-        named = rows.select(F.col(key).alias("key"), F.explode(grams(text.fold(F.coalesce(body, F.lit(""))))).alias("gram"))
-        ordered = named.repartitionByRange(files, "gram", "key").sortWithinPartitions("gram", "key")
-        ordered.write.mode("overwrite").parquet(f"{self.path}/postings")
-        postings = self.spark.read.parquet(f"{self.path}/postings")
-        counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(max(1, files // 8), "gram").sortWithinPartitions("gram")
-        counts.write.mode("overwrite").parquet(f"{self.path}/counts")
-        rows.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.path}/total")
+        named = rows.select(F.col(key).alias("key"), text.fold(F.coalesce(body, F.lit(""))).alias("body"))
+        counts = named.select("body").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts.repartitionByRange(max(1, files // 8), "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/counts")
+        total = rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("share", F.lit(share))
+        total.write.mode("overwrite").parquet(f"{self.path}/total")
+        of = self.spark.read.parquet(f"{self.path}/total").head()["rows"]
+        # so many at most: the mean number of a text's grams over the share
+        frequent = self.spark.read.parquet(f"{self.path}/counts").where(F.col("n") > share * of).select("gram")
+        often = np.sort(np.array([r.gram for r in frequent.collect()], dtype=np.int64))
+
+        def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    held = [np.setdiff1d(grams(t), often, assume_unique=True) for t in part.column("body").to_pylist()]
+                    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), part.column("key").take(pa.array(owner))], names=["gram", "key"])
+
+        postings = named.mapInArrow(posted, T.StructType([T.StructField("gram", T.LongType()), named.schema["key"]]))
+        postings.repartition(files, "gram").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{self.path}/postings")
 
     def search(self, rows: DataFrame, key: str, body: Column, needles: Sequence[str], share: float = SHARE) -> Found:
         """Rows whose folded body contains every needle."""
@@ -120,13 +140,13 @@ class TrigramTable:
         holds = F.lit(True)
         for needle in needles:
             holds = holds & folded.contains(text.folded(needle))
-        of = self.spark.read.parquet(f"{self.path}/total").head()["rows"]
-        wanted = sorted(set().union(*map(grams_of, needles))) if needles else []
+        of, kept = self.spark.read.parquet(f"{self.path}/total").select("rows", "share").head()
+        wanted = sorted({g for n in needles for g in grams(text.folded(n)).tolist()})
         counts = self.spark.read.parquet(f"{self.path}/counts").where(F.col("gram").isin(wanted)).collect() if wanted else []
         if len(counts) < len(wanted):
             return Found(rows.where("false"), "none", 0, of)
         rarest = min(counts, key=lambda r: (r.n, r.gram), default=None)
-        if rarest is None or rarest.n > share * of:
+        if rarest is None or rarest.n > min(share, kept) * of:
             return Found(rows.where(holds), "scan", of, of)
         held = self.spark.read.parquet(f"{self.path}/postings").where(F.col("gram") == rarest.gram).select("key")
         if rarest.n <= LISTED_KEYS:  # a list is pushed down to the rows' scan

@@ -73,3 +73,13 @@ def test_many_keys_are_joined(bodies, monkeypatch):
     monkeypatch.setattr(layout, "LISTED_KEYS", 0)
     _, df, store = bodies
     assert sorted(r.id for r in store.search(df, "id", F.col("body"), ["quok"]).rows.collect()) == [900, 901, 903]
+
+
+def test_only_short_postings_are_kept(bodies):
+    """A gram that more rows hold than a search would read has no posting; a
+    search that would read more scans."""
+    rows, df, store = bodies
+    held = store.spark.read.parquet(f"{store.path}/postings").groupBy("gram").count().agg(F.max("count"), F.sum("count")).head()
+    assert held[0] <= 0.05 * len(rows) and 0 < held[1] < 200  # of some 20,000 grams of texts
+    got = store.search(df, "id", F.col("body"), ["rivers"], share=1.0)
+    assert got.plan == "scan" and got.rows.count() == sum("rivers" in (t or "") for _, t in rows)
