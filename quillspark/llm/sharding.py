@@ -17,9 +17,9 @@ shards come from the files, never from a recomputed sort; equal points are
 spread by their tie-breaks, so no task sees more than its own range.
 
 Dimensions are numbers, dates, timestamps, booleans or strings.  A string's cut
-points are quantiles over its distinct values and their counts, compared as whole
-strings; beyond SKETCH_VALUES distinct values they come from the frequent ones
-and a hash sample of the others.
+points are the exact quantiles over all its distinct values and their counts,
+compared as whole strings: beyond SKETCH_VALUES values they are range-partitioned
+and summed in order, and only the cut points reach the driver.
 
 Defined cases: nulls have code 0 in their dimension; a null text has size 8 and
 the CRC of the empty text; texts of any length are placed whole; repeated rows
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import beside_text, materialize, shuffle_parts, table_path
 
 BITS = 5
-#: Distinct strings whose counts reach the driver for cut points, at most twice.
+#: Distinct strings whose counts may all reach the driver for cut points.
 SKETCH_VALUES = 10_000
 
 
@@ -124,20 +124,29 @@ def _string_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
     """Quantiles of a string column, weighted by the counts of its values."""
     counts = materialize(df.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n")).where("v is not null"), "shard-values")
     values, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
-    every = max(1, -(-values // SKETCH_VALUES))
-    often = F.col("n") * SKETCH_VALUES >= rows  # as many at most
-    sample = counts.where(often | (F.pmod(F.xxhash64("v"), F.lit(every)) == 0))
-    held = sorted(sample.select("v", F.when(often, F.col("n")).otherwise(F.col("n") * every).alias("n")).collect())
-    total, seen, out = sum(n for _, n in held), 0, []
-    for v, n in held:  # a value begins a new code when it passes a quantile
-        if seen and seen * cells // total > (out and out[-1][1] or 0):
-            out.append((v, seen * cells // total))
-        seen += n
-    return [v for v, _ in out]
+    if values <= SKETCH_VALUES:
+        seen, out = 0, []
+        for v, n in sorted(counts.select("v", "n").collect()):  # a value begins a new code when it passes a quantile
+            if seen * cells // rows > (out and out[-1][1] or 0):
+                out.append((v, seen * cells // rows))
+            seen += n
+        return [v for v, _ in out]
+    ranged = counts.repartitionByRange(shuffle_parts(df.sparkSession), "v").sortWithinPartitions("v")
+    # bits 33 and up number the partition
+    placed = materialize(ranged.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "shard-values-in-order")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    # one row for each partition, then sums inside each partition
+    before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v")) - F.col("n")
+    seen = placed.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("seen", F.col("before") + F.col("inside"))
+    code = F.floor(F.col("seen") * cells / F.lit(rows))
+    first = seen.select("v", code.alias("code")).where("code > 0").groupBy("code").agg(F.min("v").alias("v"))
+    return sorted(r.v for r in first.collect())  # cells at most
 
 
 def quantised(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> list[Column]:
-    """Codes 0..2**bits-1 by quantile; cut points come from bounded sketches."""
+    """Codes 0..2**bits-1 by quantile over all rows: exact for strings, for numbers to a
+    ten-thousandth of the rows."""
     cells = (1 << bits) - 1
     at = [i / cells for i in range(1, cells)]
     numbers = {d: x for d in dimensions if (x := _number(df, d)) is not None}

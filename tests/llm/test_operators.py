@@ -400,6 +400,24 @@ def test_codes_are_quantiles(spark, monkeypatch):
         assert all((r.c3 == 0) == (r.z is None) for r in got)
 
 
+def test_string_cuts_are_exact(spark, monkeypatch):
+    """With more values than the driver takes, the cuts are those of all values."""
+    rng = random.Random(11)
+    rows = [(f"v{int(rng.paretovariate(0.4)) % 3000:04d}",) for _ in range(6000)] + [(None,), ("ü",), ("🙂",)]
+    df = spark.createDataFrame(rows, "s string")
+    counts = sorted(Counter(v for (v,) in rows if v is not None).items())
+    for cells in (3, 31):
+        want, seen, last = [], 0, 0
+        for v, n in counts:
+            if seen * cells // (len(rows) - 1) > last:
+                last = seen * cells // (len(rows) - 1)
+                want.append(v)
+            seen += n
+        for limit in (10_000, 60):
+            monkeypatch.setattr(sharding, "SKETCH_VALUES", limit)
+            assert sharding._string_cuts(df, "s", cells) == want
+
+
 def test_shards_prune_on_every_dimension(spark):
     rng = random.Random(10)
     rows = [(i, f"src{rng.randint(0, 19)}", rng.random(), "text") for i in range(4000)]
