@@ -23,8 +23,13 @@ CACHE_CHUNKS = 600_000
 
 #: U+001C..U+001F end a word for str.split() but are not White_Space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Letters whose lower case and composition are plain, then punctuation.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Letters whose lower case and composition are plain, then
+#: ASCII marks but digits, the apostrophe and those of special tokens.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@[-`{}~]*)")
+#: Lower-case letters that stay as they are, all and of ASCII.
+_LOWER, _LOWER_ASCII = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+"), re.compile("[a-z]+")
+#: The letters that byte-level vocabularies have for bytes that show nothing.
+_BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}
 #: The Unicode property White_Space, which the vocabularies' files split on.
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -37,6 +42,11 @@ def white_space_chunks(text: str | None) -> list[str]:
     return text.split()
 
 
+def _in_letters(word: str) -> str:
+    """The word's UTF-8 bytes, each as its letter."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
 class ChunkCache:
     """chunk -> packed ids, filled for whole batches and bounded."""
 
@@ -69,6 +79,10 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_str(file.decode())
         self._parts = ChunkCache(self._library, cached)
         self._cache = ChunkCache(self._encode, cached)
+        # bytes beyond ASCII as the vocabulary's letters, if the library's are these
+        model, wide = self._tokenizer.model.tokenize, "ßàéñöøÿ"
+        known = all([t.id for t in model(_in_letters(c))] == self._tokenizer.encode(c, add_special_tokens=False).ids for c in wide)
+        self._letters = _LOWER.fullmatch if known else _LOWER_ASCII.fullmatch
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """Letters with punctuation behind them are two pre-tokens of their own,
@@ -80,12 +94,13 @@ class WordTokenizer:
         return self._parts.join(parts)
 
     def _library(self, chunks: list[str]) -> list[bytes]:
-        """Normalising and splitting leave lower-case ASCII letters as they are:
-        such chunks go to the library's model alone, the others all the way."""
-        plain = [c.isascii() and c.isalpha() and c.islower() for c in chunks]
+        """Normalising and splitting leave lower-case letters of Latin-1 as they are,
+        but for their bytes' letters: such chunks go to the library's model alone,
+        the others all the way."""
+        plain = [self._letters(c) is not None for c in chunks]
         rest = iter(self._tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
         model = self._tokenizer.model.tokenize
-        ids = ([t.id for t in model(c)] if p else next(rest).ids for c, p in zip(chunks, plain, strict=True))
+        ids = ([t.id for t in model(_in_letters(c))] if p else next(rest).ids for c, p in zip(chunks, plain, strict=True))
         return [struct.pack(f"<{len(i)}I", *i) for i in ids]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:

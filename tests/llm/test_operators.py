@@ -728,6 +728,26 @@ def test_terms_far_from_the_entity(spark):
     assert all(clean[i] == t for i, t in rows[6:])
 
 
+def test_latin_words_go_to_the_model_alone(monkeypatch):
+    """Words with letters of Latin-1 and marks behind them need no normalising."""
+    import public_tokenizers
+
+    w = tokens.WordTokenizer(tokens.read_file(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["Größe élève, ÑANDÚ*** straße.%%% øre", "naïve$$$ über-", "ein'wort don't <|endoftext|> ab<|endoftext|> x1 e\u0301t\u00e9 \u00aa \ufb01n İ ÿÿ (a) a|b a_b~"]
+    want = [np.array(i, dtype="<u4").tobytes() for i in w.whole(texts)]
+    seen, full = [], w._tokenizer
+    class Watched:
+        model = full.model
+
+        def encode_batch_fast(self, chunks, **options):
+            seen.extend(chunks)
+            return full.encode_batch_fast(chunks, **options)
+
+    w._tokenizer = Watched()
+    assert w.packed(texts) == want
+    assert not [c for c in seen if re.fullmatch("[a-zß-öø-ÿ]+.*[*$%]?", c) and c[-1] in "*$%" or re.fullmatch("[ß-öø-ÿa-z]+", c)]
+
+
 # -- n-gram Jaccard join
 
 
