@@ -198,4 +198,5 @@ def encode_decode(df: DataFrame, file: bytes, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "ids", "decoded"])
 
-    return packed.mapInArrow(in_task(encode), schema)
+    # the chunks of one task are the next one's too
+    return packed.mapInArrow(in_task(encode, keep=True), schema)
