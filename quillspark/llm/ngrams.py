@@ -58,6 +58,8 @@ FREQUENT, MOST_RARE = 64, 4096
 OFTEN = 255
 #: Slots (bits) of the filter by which texts are fetched for verification.
 FETCH_BITS = 20
+#: Single keys that a range of hashes holds, on the average.
+RANGE_KEYS = 1 << 19
 #: Least and greatest width of a signature (bits of its number of slots).
 SIGNATURE_BITS = 8, 15
 
@@ -237,6 +239,91 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, their lowest bytes first, then the next ones: high
+    bytes that are zero take no room, in a shuffle's compression or at all."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(planes: bytes, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), dtype=np.uint8)
+    out[:, : len(planes) // count] = np.frombuffer(planes, dtype=np.uint8).reshape(-1, count).T
+    return out.view("<i8").reshape(-1)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose uid is not gone.  Rows of slots that no uid gone has stay where
+    they are; only the others are shuffled and looked up."""
+    slot = F.pmod(F.xxhash64("uid"), F.lit(1 << FETCH_BITS)).alias("slot")
+    # at most 2**FETCH_BITS longs are broadcast
+    slots_gone = F.broadcast(gone.select(slot).distinct())
+    rows = rows.select("*", slot)
+    looked_up = rows.join(slots_gone, "slot", "left_semi").join(gone, "uid", "left_anti")
+    return rows.join(slots_gone, "slot", "left_anti").unionByName(looked_up).drop("slot")
+
+
+def _shared(nodes: DataFrame, total: int) -> DataFrame:
+    """The single keys (at most ``total``) that several sets have, a row for each of
+    their members: key, r, uid, n, pos (the key's place in the set's order), members
+    (their number) and the first member by r and uid: o_uid, o_n, o_pos.
+
+    Most keys are one set's alone.  They travel in packed blocks, dealt by ranges of
+    the hash, and are counted where their range is; ranges are as many as hold
+    RANGE_KEYS keys each, so what a task holds is bounded at any size.
+    """
+    ranges = max(shuffle_parts(nodes.sparkSession), -(-total // RANGE_KEYS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, r, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "r", "n"))
+            by_uid = np.argsort(uid)
+            lists = batch.column("singles").take(pa.array(by_uid))
+            keys, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            of = np.repeat(by_uid, sizes)
+            place = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order])) + 1
+            rows = []
+            for block in np.split(order, cuts):
+                member = of[block]
+                # the uids ascend
+                steps = np.diff(uid[member], prepend=0)
+                rows.append((int(place[block[0]]), keys[block].tobytes(), *map(_planes, (r[member], steps, n[member], pos[block]))))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "keys", "r", "uid", "n", "pos"])
+
+    fields = ("key", "r", "uid", "n", "pos", "members", "o_uid", "o_n", "o_pos")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            for place, keys, r, steps, n, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = np.frombuffer(keys, dtype=np.int64)
+                r, steps, n, pos = (_numbers(x, len(key)) for x in (r, steps, n, pos))
+                held.setdefault(place, []).append((key, r, np.cumsum(steps), n, pos))
+        for place in sorted(held):
+            key, r, uid, n, pos = map(np.concatenate, zip(*held.pop(place), strict=True))
+            order = np.argsort(key)
+            same = np.diff(key[order]) == 0
+            order = order[np.append(same, False) | np.append(False, same)]
+            order = order[np.lexsort((uid[order], r[order], key[order]))]
+            key, r, uid, n, pos = (x[order] for x in (key, r, uid, n, pos))
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            members = np.diff(np.append(first, len(key)))
+            at = np.repeat(first, members)
+            found = (key, r, uid, n, pos, np.repeat(members, members), uid[at], n[at], pos[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=fields)
+
+    dealt = nodes.select("uid", "r", "n", "singles").mapInArrow(in_task(deal, rows=2000), "place int, keys binary, r binary, uid binary, n binary, pos binary")
+    placed = dealt.repartitionById(ranges, "place")
+    return materialize(placed.mapInArrow(in_task(meet), ", ".join(f"{c} long" for c in fields)), "single-keys")
+
+
 def _likely(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures let them link; no link goes."""
 
@@ -312,24 +399,26 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def link(df: DataFrame, text: str = "text") -> DataFrame:
     """``row``, ``text``, ``uid``, ``n_shingles`` and ``root``, the smallest uid
     of the document's component (its own, if it has no links)."""
+    docs, roots = _linked(df, text)
+    return docs.select("row", "text", "uid", F.col("n").alias("n_shingles")).join(roots, "uid")
+
+
+def _linked(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The prepared documents, and uid and root of each."""
     docs = _prepared(df, text)
     reps = docs.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rep"))
     reps = materialize(reps, "classes")
-    small = docs.where("n > 0").select("uid", "n", "r", "singles", "pairs")
-    nodes = small.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
-
-    # pos: the key's place in the set's order
-    singles = nodes.select("r", "uid", "n", F.posexplode("singles").alias("pos", "key"))
-    singles = singles.select("key", F.struct("r", "uid", "n", "pos").alias("m"))
-    # a rare shingle's counter is below the threshold, so lists are bounded by it
-    lists = singles.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1)
-    lists = materialize(lists, "single-keys")
+    sets = docs.where("n > 0")
+    equal = sets.select("uid", "d1", "d2").join(reps, ["d1", "d2"]).where("uid <> rep").select("uid")
+    nodes = _without(sets.select("uid", "n", "r", "singles", "pairs"), materialize(equal, "equal-sets"))
+
+    lists = _shared(nodes, docs.agg(F.coalesce(F.sum(F.size("singles")), F.lit(0))).head()[0])
     pairs = materialize(nodes.where(F.size("pairs") > 0).select(F.explode("pairs").alias("key"), "r", "uid", "n"), "pair-keys")
     centres = pairs.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("r", "uid", "n")).alias("o")).where("c > 1")
 
-    star = lists.select(F.col("ms")[0].alias("o"), F.explode(F.slice("ms", F.lit(2), F.size("ms") - 1)).alias("m"))
-    near = _size_ok(F.col("o.n"), F.col("m.n")) & _place_ok(F.col("o.n"), F.col("o.pos"), F.col("m.n"), F.col("m.pos"))
-    star = star.where(near).select(*_ordered(F.col("o.uid"), F.col("m.uid")))
+    star = lists.where("uid <> o_uid")
+    near = _size_ok(F.col("o_n"), F.col("n")) & _place_ok(F.col("o_n"), F.col("o_pos"), F.col("n"), F.col("pos"))
+    star = star.where(near).select(*_ordered(F.col("o_uid"), F.col("uid")))
     star2 = pairs.join(centres, "key").where((F.col("uid") != F.col("o.uid")) & _size_ok(F.col("n"), F.col("o.n")))
     star2 = star2.where(_frequent_ok(F.col("n"), F.col("r"), F.col("o.n"), F.col("o.r")))
     star2 = star2.select(*_ordered(F.col("uid"), F.col("o.uid")))
@@ -338,7 +427,7 @@ def link(df: DataFrame, text: str = "text") -> DataFrame:
     roots = graph.components(links)
 
     # the star of a key of two members was all of it
-    rest = _between(lists.where(F.size("ms") > 2), pairs, roots).join(first, ["a", "b"], "left_anti")
+    rest = _between(lists.where("members > 2"), pairs, roots).join(first, ["a", "b"], "left_anti")
     more = _verified(rest, docs)
     if not more.isEmpty():
         roots = graph.components(links.unionByName(more))
@@ -346,12 +435,12 @@ def link(df: DataFrame, text: str = "text") -> DataFrame:
     node = docs.select("uid", "d1", "d2", "n").join(reps, ["d1", "d2"], "left")
     node = node.select("uid", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("node"))
     found = node.join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
-    return docs.select("row", "text", "uid", F.col("n").alias("n_shingles")).join(materialize(found, "roots"), "uid")
+    return docs, materialize(found, "roots")
 
 
 def _between(lists: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a key and may link."""
-    flat = lists.select("key", F.explode("ms").alias("m")).select("key", "m.*")
+    flat = lists.select("key", "uid", "n", "r", "pos")
     pairs = pairs.withColumn("pos", F.lit(0))
     parts = []
     for rows, often in ((flat, False), (pairs, True)):
@@ -379,7 +468,9 @@ def _between(lists: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The caller's rows and columns, one document of each component: the one
     with the smallest id (then place)."""
-    found = link(df, text)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(f"row.`{id_col}`").alias("id"), F.col("uid"))).alias("f"))
-    kept = found.join(first.select(F.col("f.uid").alias("uid")), "uid", "left_semi")
+    docs, roots = _linked(df, text)
+    ids = roots.join(docs.select("uid", F.col(f"row.`{id_col}`").alias("id")), "uid")
+    first = ids.groupBy("root").agg(F.min(F.struct("id", "uid")).alias("f"))
+    gone = materialize(roots.join(first, "root").where(F.col("uid") != F.col("f.uid")).select("uid"), "copies")
+    kept = _without(docs.select("row", "text", "uid"), gone)
     return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -837,6 +837,41 @@ def test_shared_phrases_fetch_no_texts(spark, monkeypatch):
     assert written["candidates"] <= 10  # 2 links among thousands of pairs with a common shingle
 
 
+def test_what_is_alone_is_not_shuffled_at_length(spark):
+    """Keys of one set travel packed, texts that stay travel not at all."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(600)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string").repartition(4)
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        each = sc.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    df = spark.createDataFrame(df.collect(), df.schema)
+    before = written()
+    assert sorted(r.doc_id for r in ngrams.one_of_each(df).collect()) == list(range(400))
+    assert written() - before < sum(map(len, texts))
+
+
+def test_single_keys_equal_plain_counting(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "RANGE_KEYS", 50)
+    rng = random.Random(9)
+    rows = [(uid << 33, rng.randint(0, 3), rng.randint(1, 1 << 20), rng.sample(range(-(1 << 63), 1 << 63, 1 << 54), rng.randint(0, 9))) for uid in range(300)]
+    nodes = spark.createDataFrame(rows, "uid long, r long, n long, singles array<long>")
+    members = {}
+    for uid, r, n, keys in rows:
+        for pos, k in enumerate(keys):
+            members.setdefault(k, []).append((r, uid, n, pos))
+    want = []
+    for k, m in members.items():
+        m.sort()
+        want += [(k, *x, len(m), *m[0][1:]) for x in m if len(m) > 1]
+    assert sorted(map(tuple, ngrams._shared(nodes, sum(len(r[3]) for r in rows)).collect())) == sorted(want)
+    assert ngrams._shared(nodes.where("uid < 0"), 0).count() == 0
+
+
 def test_links_of_nothing(docs):
     assert ngrams.link(empty(docs)).count() == 0
     assert ngrams.one_of_each(docs).columns == docs.columns
