@@ -42,9 +42,6 @@ from quillspark.llm.tokens import WordTokenizer, in_worker
 #: sequence holds one large piece; finer parts need more configurations.
 SETTINGS = ((2, 64), (3, 128), (8, 64))
 MOST_ROUNDS = 400
-#: Distinct chunks that a worker keeps from task to task.
-CACHED = 900_000
-
 #: A run of places: ranks [first, first + count) of a length; ``each`` of them
 #: in one sequence, from ``offset`` on, in sequences from ``sequence`` on.
 Place = tuple[int, int, int, int, int, int]
@@ -227,13 +224,13 @@ def pieces(df: DataFrame, file: bytes, end_id: int, capacity: int, text: str = "
         fields.append(T.StructField("ids", T.BinaryType()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = in_worker(WordTokenizer, file, CACHED)
+        tokenizer = in_worker(WordTokenizer, file)
         end, wide = end_id.to_bytes(4, "little"), 4 * capacity
         seen = [0] * (capacity + 1)
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows, cols, ids_out = [], [], []
-            for i, ids in enumerate(tokenizer.packed(batch.column("text").to_pylist())):
+            for i, ids in enumerate(tokenizer.packed(batch.column("text"))):
                 ids += end
                 for at in range(0, len(ids), wide):
                     body = ids[at : at + wide]
@@ -250,7 +247,7 @@ def pieces(df: DataFrame, file: bytes, end_id: int, capacity: int, text: str = "
                 columns.append(pa.array(ids_out, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return packed.mapInArrow(in_task(cut, keep=True), T.StructType(fields))
+    return packed.mapInArrow(in_task(cut, rows=2000, keep=True), T.StructType(fields))
 
 
 def pack_documents(

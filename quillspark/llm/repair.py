@@ -36,8 +36,6 @@ from quillspark.llm.tokens import WordTokenizer, in_worker
 #: Tokens after which a shard is closed; least count of a pair worth a rule
 #: (two symbols and a length, against one symbol saved each time).
 SHARD_TOKENS, LEAST_COUNT = 1 << 20, 4
-#: Distinct chunks that a worker keeps from task to task, as ranges of ids are small.
-CACHED = 900_000
 _MAGIC = b"QRP2"
 
 
@@ -237,7 +235,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
     ordered = docs.repartitionByRange(shuffle_parts(df.sparkSession), *keys[:2]).sortWithinPartitions(*keys)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = in_worker(WordTokenizer, file, CACHED)
+        tokenizer = in_worker(WordTokenizer, file)
         end, part, nth = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -251,7 +249,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
 
         for batch in batches:
             doc_ids = batch.column("id").to_pylist()
-            for i, ids in zip(doc_ids, tokenizer.packed(batch.column("text").to_pylist()), strict=True):
+            for i, ids in zip(doc_ids, tokenizer.packed(batch.column("text")), strict=True):
                 held.append((i, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= SHARD_TOKENS:
@@ -259,7 +257,7 @@ def write_corpus(df: DataFrame, file: bytes, end_id: int, id_col: str = "doc_id"
         if held:
             yield close()
 
-    made = ordered.mapInArrow(in_task(shards, keep=True), "part int, nth int, n_docs long, n_tokens long, payload binary")
+    made = ordered.mapInArrow(in_task(shards, rows=2000, keep=True), "part int, nth int, n_docs long, n_tokens long, payload binary")
     return materialize(made, "repair-shards", codec="uncompressed")
 
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts with public tokenizer files, in Arrow batches.
 
 White space ends every token of both vocabularies used here, so a text's ids are
-the ids of its space-delimited chunks, joined.  Each distinct chunk is encoded
-once per task and kept in a bounded cache as packed ids; a whole text then
-costs one dictionary look-up per chunk.
+the ids of its space-delimited chunks, joined.  Words of some megabytes of texts are
+split and made distinct by Arrow, distinct words fall into parts (lower-case letters,
+marks), and only distinct parts are looked up in a bounded cache or encoded; the ids
+are then laid out by numpy.
 """
 
 from __future__ import annotations
@@ -11,21 +12,28 @@ from __future__ import annotations
 import gc
 import os
 import re
-import struct
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quillspark.llm.common import at_task_end
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark owns the cores
 
-#: Distinct chunks kept by a task before the cache starts anew.
-CACHE_CHUNKS = 600_000
+#: Distinct parts kept before the cache starts anew: about 120 MB.  Each LONG_PART
+#: characters count as one more.
+CACHE_PARTS, LONG_PART = 600_000, 64
 
 #: U+001C..U+001F end a word for str.split() but are not White_Space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Letters whose lower case and composition are plain, then
+#: Letters whose lower case and composition are plain, and the
 #: ASCII marks but digits, the apostrophe and those of special tokens.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@[-`{}~]*)")
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Lower-case letters that stay as they are, all and of ASCII.
 _LOWER, _LOWER_ASCII = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+"), re.compile("[a-z]+")
 #: The letters that byte-level vocabularies have for bytes that show nothing.
@@ -34,6 +42,26 @@ _BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127,
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The texts' white-space chunks (empty ones may be among them) and their number
+    in each text."""
+    if pc.any(pc.match_substring_regex(texts, _SEPARATORS.pattern)).as_py():
+        lists = pa.array([white_space_chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    return lists.flatten(), lists.value_lengths().to_numpy()
+
+
+def _spans(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) of about so many bytes, one text at least."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def white_space_chunks(text: str | None) -> list[str]:
     if not text:
         return []
@@ -47,73 +75,99 @@ def _in_letters(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
-class ChunkCache:
-    """chunk -> packed ids, filled for whole batches and bounded."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_CHUNKS):
-        # a plain dict: set.difference looks its own members up in one
-        self.held: dict[str, bytes] = {}
-        self._encode, self._limit = encode, limit
-
-    def fill(self, chunked: list[list[str]]) -> None:
-        """Afterwards every chunk of the batch is held."""
-        new = set().union(*chunked).difference(self.held)
-        if len(self.held) + len(new) > self._limit and self.held:
-            self.held.clear()
-            new = set().union(*chunked)
-        todo = list(new)
-        self.held.update(zip(todo, self._encode(todo), strict=True))
-
-    def join(self, chunked: list[list[str]]) -> list[bytes]:
-        self.fill(chunked)
-        get = self.held.__getitem__
-        return [b"".join(map(get, c)) for c in chunked]
+def _laid_out(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[first:first + size] of each item, joined."""
+    begin, total = np.cumsum(size) - size, int(size.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((first - begin).astype(kind), size) + np.arange(total, dtype=kind)]
 
 
 class WordTokenizer:
     """Ids of a white-space-dropping ``tokenizers`` file, as uint32 bytes."""
 
-    def __init__(self, file: bytes, cached: int = CACHE_CHUNKS):
+    def __init__(self, file: bytes, cached: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(file.decode())
-        self._parts = ChunkCache(self._library, cached)
-        self._cache = ChunkCache(self._encode, cached)
+        self._limit = cached
+        self.release()
         # bytes beyond ASCII as the vocabulary's letters, if the library's are these
         model, wide = self._tokenizer.model.tokenize, "ßàéñöøÿ"
         known = all([t.id for t in model(_in_letters(c))] == self._tokenizer.encode(c, add_special_tokens=False).ids for c in wide)
         self._letters = _LOWER.fullmatch if known else _LOWER_ASCII.fullmatch
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Letters with punctuation behind them are two pre-tokens of their own,
-        and case is dropped: such chunks are looked up by their parts."""
-        parts = []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c)
-            parts.append([c] if not m else [m[1].lower(), m[2]] if m[2] else [m[1].lower()])
-        return self._parts.join(parts)
+    def release(self) -> None:
+        #: part -> first place among the held ids, times 2**32, plus their number
+        self._codes: dict[str, int] = {}
+        self._ids, self._held = array("I"), 0
 
-    def _library(self, chunks: list[str]) -> list[bytes]:
+    def _library(self, parts: list[str]) -> Iterator[list[int]]:
         """Normalising and splitting leave lower-case letters of Latin-1 as they are,
-        but for their bytes' letters: such chunks go to the library's model alone,
+        but for their bytes' letters: such parts go to the library's model alone,
         the others all the way."""
-        plain = [self._letters(c) is not None for c in chunks]
-        rest = iter(self._tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        plain = [self._letters(c) is not None for c in parts]
+        rest = iter(self._tokenizer.encode_batch_fast([c for c, p in zip(parts, plain, strict=True) if not p], add_special_tokens=False))
         model = self._tokenizer.model.tokenize
-        ids = ([t.id for t in model(_in_letters(c))] if p else next(rest).ids for c, p in zip(chunks, plain, strict=True))
-        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
-
-    def packed(self, texts: list[str | None]) -> list[bytes]:
+        for c, p in zip(parts, plain, strict=True):
+            yield [t.id for t in model(_in_letters(c))] if p else next(rest).ids
+
+    def _codes_of(self, parts: list[str]) -> np.ndarray:
+        codes = np.fromiter(map(self._codes.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        missing = np.flatnonzero(codes < 0)
+        new = [parts[i] for i in missing.tolist()]
+        if not new:
+            return codes
+        room = len(new) + sum(map(len, new)) // LONG_PART
+        if self._held and self._held + room > self._limit:
+            self.release()
+            return self._codes_of(parts)
+        found, sizes, start = array("I"), [], len(self._ids)
+        for ids in self._library(new):
+            found.extend(ids)
+            sizes.append(len(ids))
+        size = np.array(sizes, dtype=np.int64)
+        codes[missing] = ((start + np.cumsum(size) - size) << 32) | size
+        self._codes.update(zip(new, codes[missing].tolist(), strict=True))
+        self._ids += found
+        self._held += room
+        return codes
+
+    def _of_chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, joined, and their numbers.  Letters with
+        punctuation behind them are two pre-tokens of their own, and case is dropped:
+        such chunks are looked up by these parts, others whole."""
+        n = len(chunks)
+        ends = np.frombuffer(chunks.buffers()[1], dtype=np.int32)[chunks.offset : chunks.offset + n + 1]
+        stems = pc.utf8_rtrim(chunks, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, _PLAIN)
+        cut = np.where(plain.to_numpy(zero_copy_only=False), ends[:-1] + pc.binary_length(stems).to_numpy(), ends[1:])
+        bounds = np.empty(2 * n + 1, dtype=np.int32)
+        bounds[::2], bounds[1::2] = ends, cut
+        parts = pa.StringArray.from_buffers(2 * n, pa.py_buffer(bounds), chunks.buffers()[2])
+        parts = pc.if_else(plain.take(pa.array(np.repeat(np.arange(n), 2))), pc.utf8_lower(parts), parts)
+        coded = parts.dictionary_encode()
+        codes = self._codes_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = codes & 0xFFFFFFFF
+        return _laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size), size.reshape(-1, 2).sum(axis=1)
+
+    def packed(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null: none."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("")
         out: list[bytes] = []
-        for group in groups(texts):
-            out += self._cache.join([white_space_chunks(t) for t in group])
+        for a, b in _spans(pc.binary_length(texts).to_numpy()):
+            words, counts = _words(texts.slice(a, b - a).cast(pa.string()))
+            if not len(words):
+                out += [b""] * (b - a)
+                continue
+            coded = words.dictionary_encode()
+            of = coded.indices.to_numpy()
+            ids, size = self._of_chunks(coded.dictionary)
+            body = _laid_out(ids, (np.cumsum(size) - size)[of], size[of])
+            ends = np.concatenate(([0], np.cumsum(size[of])))[np.concatenate(([0], np.cumsum(counts)))] * 4
+            joined, ends = body.astype("<u4").tobytes(), ends.tolist()
+            out += [joined[x:y] for x, y in zip(ends, ends[1:], strict=False)]
         return out
 
-    def release(self) -> None:
-        self._cache.held.clear()
-        self._parts.held.clear()
-
     def whole(self, texts: Iterable[str]) -> list[list[int]]:
         """The library's own ids of whole texts, for checks."""
         return [e.ids for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]

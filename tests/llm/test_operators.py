@@ -748,6 +748,20 @@ def test_latin_words_go_to_the_model_alone(monkeypatch):
     assert not [c for c in seen if re.fullmatch("[a-zß-öø-ÿ]+.*[*$%]?", c) and c[-1] in "*$%" or re.fullmatch("[ß-öø-ÿa-z]+", c)]
 
 
+def test_words_of_any_case_and_marks_are_held_once():
+    """A worker's memory: one entry for a word's letters and one for the marks, and
+    few for one very long part."""
+    import public_tokenizers
+
+    w = tokens.WordTokenizer(tokens.read_file(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["straße Straße, STRASSE! Straße... straße,", "", None, " \u2028 straße\u00a0Straße!\x85"]
+    got = w.packed(texts)
+    assert got == [np.array(i, dtype="<u4").tobytes() for i in w.whole([t or "" for t in texts])]
+    assert sorted(w._codes) == sorted(["straße", "strasse", ",", "!", "...", ""])
+    w.packed(["中" * 6400])
+    assert w._held == 6 + 101
+
+
 # -- n-gram Jaccard join
 
 
