@@ -6,9 +6,10 @@ neighbours enter the agenda, and stale entries are skipped.  Symbols outside
 the vocabulary fall back to byte pieces.
 
 No merge can join two characters that are adjacent in no piece, so a text is cut
-there and each distinct segment is encoded once per worker (bounded cache).  The
-chunks that are new to a worker are checked against the sentencepiece library,
-ids and decoded text, one call per Arrow batch; a difference is an error.
+there and each distinct segment is encoded once per worker (bounded cache).  Texts
+of some megabytes are cut by numpy and their segments made distinct by Arrow.  The
+segments that are new to a worker are checked against the sentencepiece library,
+ids and decoded text, one call for each such run of texts; a difference is an error.
 
 Defined cases: null text is an empty text with no ids; U+2581 in a text decodes
 to a space, as the library does; a long text without any place to cut is one
@@ -20,21 +21,31 @@ whatever their names.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import beside_text, in_task
-from quillspark.llm.tokens import groups, in_worker
+from quillspark.llm.tokens import LONG_PART, _laid_out, groups, in_worker
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct segments, and distinct chunks, that a worker keeps.
-CACHE_SEGMENTS = 700_000
-CACHE_CHUNKS = 500_000
+#: Distinct segments that a worker keeps.  Each LONG_PART characters count as one more.
+CACHE_SEGMENTS = 900_000
+#: Characters that are cut at once; longer texts are taken in parts.
+RUN_CHARS = 1 << 21
+
+
+def _table(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings' bytes, joined, and where each begins and how long it is."""
+    size = np.array([len(x) for x in strings], dtype=np.int64)
+    return np.frombuffer(b"".join(strings), dtype=np.uint8), np.cumsum(size) - size, size
 
 
 class Vocabulary:
@@ -56,8 +67,20 @@ class Vocabulary:
         ]
         #: Two-character strings found inside a piece; elsewhere a text is cut.
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self._segments: dict[str, list[int]] = {}
-        self._chunks: dict[str, tuple[str, int, str]] = {}
+        # the same by classes of characters; class 0 joins nothing
+        classes = [{c: n for n, c in enumerate(sorted({j[k] for j in self.joins}), 1)} for k in (0, 1)]
+        self._joined = np.zeros([len(c) + 1 for c in classes], dtype=bool)
+        for j in self.joins:
+            self._joined[classes[0][j[0]], classes[1][j[1]]] = True
+        self._classes = [np.zeros(0x110000, dtype=np.int32) for _ in classes]
+        for of, found in zip(self._classes, classes, strict=True):
+            of[[ord(c) for c in found]] = list(found.values())
+        #: Every id in decimal with a comma, and every id's text.
+        self._decimals = _table([b"%d," % i for i in range(size)])
+        self._texts = _table(self.pieces)
+        # a character that no piece holds: what follows it is encoded as if alone
+        self._apart = next(c for c in map(chr, (10, 9, *range(0xE000, 0xF900))) if not any(c in p for p in self.ids))
+        self.release()
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one segment by the score-ordered agenda."""
@@ -65,14 +88,11 @@ class Vocabulary:
         n = len(sym)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         score = self.score
-        agenda = []
-        for i in range(n - 1):
-            piece = sym[i] + sym[i + 1]
-            if piece in score:
-                agenda.append((-score[piece], i, piece))
+        agenda = [(-score[p], i, p) for i, p in enumerate(map(str.__add__, sym, sym[1:])) if p in score]
         heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, i, piece = heapq.heappop(agenda)
+            _, i, piece = pop(agenda)
             j = right[i]
             if j >= n or not sym[i] or sym[i] + sym[j] != piece:
                 continue
@@ -82,12 +102,12 @@ class Vocabulary:
                 left[k] = i
                 made = piece + sym[k]
                 if made in score:
-                    heapq.heappush(agenda, (-score[made], i, made))
+                    push(agenda, (-score[made], i, made))
             h = left[i]
             if h >= 0:
                 made = sym[h] + piece
                 if made in score:
-                    heapq.heappush(agenda, (-score[made], h, made))
+                    push(agenda, (-score[made], h, made))
         out: list[int] = []
         for s in sym:
             if s:
@@ -98,79 +118,104 @@ class Vocabulary:
                     out += [self.bytes[b] for b in s.encode()]
         return out
 
-    def _segment(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        start, last = 0, len(chunk)
-        for i in range(1, last + 1):
-            if i == last or chunk[i - 1 : i + 1] not in self.joins:
-                seg = chunk[start:i]
-                ids = self._segments.get(seg)
-                if ids is None:
-                    if len(self._segments) >= CACHE_SEGMENTS:
-                        self._segments.clear()
-                    ids = self._segments[seg] = self.merge(seg)
-                out += ids
-                start = i
-        return out
-
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the leading space that encoding adds is taken off."""
         text = b"".join([self.pieces[i] for i in ids]).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks (each starts with its spaces) and check them."""
-        self._chunks[SPACE] = ",".join(map(str, alone := self._segment(SPACE))), len(alone), " "
-        todo = list(chunks - {SPACE})  # the library takes a space alone for no text
-        if not todo:
-            return
-        coded = [self._segment(c) for c in todo]
-        # the library adds the first space of a text itself
-        plain = [c[1:].replace(SPACE, " ") for c in todo]
-        if self.library.encode(plain, num_threads=1) != coded:
-            bad = next(p for p, ids in zip(plain, coded, strict=True) if self.library.encode(p) != ids)
+    def _check(self, segments: list[str], coded: list[list[int]]) -> None:
+        """Compare new segments with the library, each behind a character that joins
+        nothing: the library adds a space of its own before a text."""
+        head = self.merge(SPACE) + self.merge(self._apart)
+        plain = [self._apart + s.replace(SPACE, " ") for s in segments]
+        coded = [head + ids for ids in coded]
+        if (found := self.library.encode(plain, num_threads=1)) != coded:
+            bad = next(p for p, ids, other in zip(plain, coded, found, strict=True) if ids != other)
             raise ValueError(f"encoding differs from the library's: {bad!r}")
-        texts = [self.decode(ids) for ids in coded]
-        if self.library.decode(coded, num_threads=1) != texts:
+        if self.library.decode(coded, num_threads=1) != list(map(self.decode, coded)):
             raise ValueError("decoding differs from the library's")
-        for c, ids, text in zip(todo, coded, texts, strict=True):
-            self._chunks[c] = ",".join(map(str, ids)), len(ids), " " + text
 
     def release(self) -> None:
-        self._chunks.clear()
-        self._segments.clear()
+        #: segment -> first place among the held ids, times 2**32, plus their number
+        self._codes: dict[str, int] = {}
+        self._ids, self._held = array("I"), 0
+
+    def _codes_of(self, segments: list[str]) -> np.ndarray:
+        codes = np.fromiter(map(self._codes.get, segments, repeat(-1)), dtype=np.int64, count=len(segments))
+        missing = np.flatnonzero(codes < 0)
+        new = [segments[i] for i in missing.tolist()]
+        if not new:
+            return codes
+        room = len(new) + sum(map(len, new)) // LONG_PART
+        if self._held and self._held + room > CACHE_SEGMENTS:
+            self.release()
+            return self._codes_of(segments)
+        coded = list(map(self.merge, new))
+        self._check(new, coded)
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        codes[missing] = ((len(self._ids) + np.cumsum(size) - size) << 32) | size
+        self._codes.update(zip(new, codes[missing].tolist(), strict=True))
+        for ids in coded:
+            self._ids.extend(ids)
+        self._held += room
+        return codes
+
+    def _segments(self, parts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The parts' segments, and the number of the first of each part; a last
+        number is that of all."""
+        whole = "".join(parts)
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        begins = np.cumsum([0, *map(len, parts)])
+        cut = np.ones(len(points) + 1, dtype=bool)
+        cut[1:-1] = ~self._joined[self._classes[0][points[:-1]], self._classes[1][points[1:]]]
+        cut[begins] = True
+        width = np.ones(len(points) + 1, dtype=np.uint8)
+        width[0] = 0
+        for least in (0x80, 0x800, 0x10000):
+            width[1:] += points >= least
+        at = np.cumsum(width, dtype=np.int64)[cut]
+        segments = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(whole.encode()))
+        return segments, np.searchsorted(np.flatnonzero(cut), begins)
+
+    def _encoded(self, parts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number of ids, ids in decimal with a comma behind each, and UTF-8 of the
+        text decoded from them."""
+        segments, first = self._segments(parts)
+        coded = segments.dictionary_encode()
+        codes = self._codes_of(coded.dictionary.to_pylist())
+        size = codes & 0xFFFFFFFF
+        ids = _laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        runs = []
+        for body, begin, length in (self._decimals, self._texts):
+            upto = np.concatenate(([0], np.cumsum(length[ids])))[ends]
+            data = _laid_out(body, begin[ids], length[ids])
+            strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(codes), [None, pa.py_buffer(upto), pa.py_buffer(data)])
+            taken = strings.take(coded.indices)  # lies joined in the segments' order
+            at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[first].tolist()
+            runs.append([bytes(memoryview(taken.buffers()[2])[x:y]) for x, y in zip(at, at[1:], strict=False)])
+        total = np.concatenate(([0], np.cumsum(size[coded.indices.to_numpy()])))[first]
+        yield from zip(np.diff(total).tolist(), *runs, strict=True)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text with its added leading space, cut where no piece joins."""
+        whole, at = SPACE + text.replace(" ", SPACE), 0
+        while at < len(whole):
+            end = at + RUN_CHARS
+            while whole[end - 1 : end + 1] in self.joins:
+                end += 1
+            yield whole[at:end]
+            at = end
 
     def run(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids in decimal with commas, and decoded text of each."""
-        for group in groups(texts):
-            chunked = [chunks_of(t) for t in group]
-            new = set().union(*chunked).difference(self._chunks)
-            if len(self._chunks) + len(new) > CACHE_CHUNKS and self._chunks:
-                self._chunks.clear()
-                new = set().union(*chunked)
-            self._learn(new)
-            get = self._chunks.__getitem__
-            for c in chunked:
-                if not c:
-                    yield 0, "", ""
-                    continue
-                ids, counts, parts = zip(*map(get, c), strict=True)
-                yield sum(counts), ",".join(ids), "".join(parts)[1:]
-
-
-def chunks_of(text: str | None) -> list[str]:
-    """The text with its added leading space, cut before each run of spaces."""
-    if not text:
-        return []
-    text = text.replace(" ", SPACE)
-    if SPACE * 2 in text or text[0] == SPACE or text[-1] == SPACE:
-        out, start, whole = [], 0, SPACE + text
-        for i in range(1, len(whole)):
-            if whole[i] == SPACE != whole[i - 1]:
-                out.append(whole[start:i])
-                start = i
-        return [*out, whole[start:]]
-    return [SPACE + w for w in text.split(SPACE)]
+        for group in groups(texts, RUN_CHARS):
+            parts = [list(self._parts(t)) if t else [] for t in group]
+            flat = [x for p in parts for x in p]
+            found = (y for some in groups(flat, RUN_CHARS) for y in self._encoded(some))
+            for p in parts:
+                counts, ids, text = zip(*[next(found) for _ in p], strict=True) if p else ((), (), ())
+                yield sum(counts), b"".join(ids)[:-1].decode(), b"".join(text)[1:].decode()
 
 
 def encode_decode(df: DataFrame, file: bytes, text: str = "text") -> DataFrame:
@@ -198,5 +243,5 @@ def encode_decode(df: DataFrame, file: bytes, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "ids", "decoded"])
 
-    # the chunks of one task are the next one's too
+    # the segments of one task are the next one's too
     return packed.mapInArrow(in_task(encode, keep=True), schema)

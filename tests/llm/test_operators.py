@@ -155,6 +155,39 @@ def test_sentencepiece_fuzz():
         assert (n, ids, text) == (len(want), ",".join(map(str, want)), v.library.decode(want))
 
 
+def test_sentencepiece_works_on_distinct_segments_only():
+    """Words before different marks, again and again: the library checks each word and
+    each mark once, and parts of long texts are put together."""
+    v = sentencepieces.Vocabulary(tokens.read_file(public_tokenizers.path("piece_bpe_32k.model")))
+    words, marks = WORDS[:12], [a + b for a in "\n\t{}<>" for b in "\n\t{}<>"]
+    library, asked = v.library, []
+
+    class Counted:
+        def encode(self, some, **more):
+            asked.extend(some)
+            return library.encode(some, **more)
+
+        def decode(self, some, **more):
+            return library.decode(some, **more)
+
+    v.library = Counted()
+    texts = [None, "", *(f" {w}{m} {w}" for w in words for m in marks), "", "  ".join(words)]
+    got = list(v.run(texts + texts))
+    want = [library.encode(t or "") for t in texts]
+    assert got == 2 * [(len(x), ",".join(map(str, x)), library.decode(x)) for x in want]
+    assert len(asked) == len(set(asked)) <= 2 * len(words) + 2 * len(marks) + 20
+
+
+def test_sentencepiece_takes_long_texts_in_parts(monkeypatch):
+    v = sentencepieces.Vocabulary(tokens.read_file(public_tokenizers.path("piece_bpe_32k.model")))
+    monkeypatch.setattr(sentencepieces, "RUN_CHARS", 40, raising=False)
+    monkeypatch.setattr(sentencepieces, "CACHE_SEGMENTS", 30)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(" \n  ab▁éß中🙂,.theing") for _ in range(rng.choice((0, 3, 39, 40, 41, 500)))) for _ in range(200)]
+    want = [v.library.encode(t) for t in texts]
+    assert list(v.run(texts)) == [(len(x), ",".join(map(str, x)), v.library.decode(x)) for x in want]
+
+
 # -- packing
 
 
