@@ -247,7 +247,9 @@ def pieces(df: DataFrame, file: bytes, end_id: int, capacity: int, text: str = "
                 columns.append(pa.array(ids_out, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return packed.mapInArrow(in_task(cut, rows=2000, keep=True), T.StructType(fields))
+    # Spark deals tasks to idle workers in turn, those of earlier stages too: what each
+    # kept would add up, so a task gives its cache back
+    return packed.mapInArrow(in_task(cut, rows=2000), T.StructType(fields))
 
 
 def pack_documents(
@@ -267,18 +269,16 @@ def pack_documents(
     # the offsets grow with the partitions: they are merged, never broadcast
     ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     kept = ["row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    source = ranked.select(*kept, "rank")
-    fields = [source.schema[c] for c in kept]
-    fields += [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+    # only two numbers of a piece go to Python: ids and the caller's row stay in the JVM
+    @F.arrow_udf("sequence_id long, offset long")
+    def assign(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lengths, ranks in batches:
+            length, rank = (x.to_numpy(zero_copy_only=False) for x in (lengths, ranks))
             at = np.searchsorted(keys, length * rows + rank, side="right") - 1
             nth = rank - table[at, 1]
             each = table[at, 3]
-            columns = [batch.column(c) for c in kept]
-            columns += [pa.array(table[at, 4] + nth // each), pa.array(table[at, 5] + nth % each * length)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            placed = [table[at, 4] + nth // each, table[at, 5] + nth % each * length]
+            yield pa.StructArray.from_arrays([pa.array(x) for x in placed], names=["sequence_id", "offset"])
 
-    return source.mapInArrow(assign, T.StructType(fields))
+    return ranked.withColumn("place", assign("length", "rank")).select(*kept, "place.*")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import ctw, graph, knn, langid, ngrams, packing, pii, quality, repair, sentencepieces, sharding, tokens
+from quillspark.llm import common, ctw, graph, knn, langid, ngrams, packing, pii, quality, repair, sentencepieces, sharding, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -247,6 +247,31 @@ def test_packing(docs, texts):
     assert packing.pack_documents(empty(docs), file).count() == 0
 
 
+def test_packing_keeps_nothing_in_idle_workers(docs, spark):
+    """A task gives its cache back, as other workers get the next one, and places are
+    computed from two numbers: ids and rows don't go to Python and back again."""
+    import pyarrow as pa
+
+    file = tokens.read_file(public_tokenizers.path("word_bpe_49k.json"))
+
+    def left(batches):
+        """What this worker's tokenizers hold; they are then emptied."""
+        for batch in batches:
+            held = sum(getattr(x, "_held", 0) for x in tokens._MADE.values())
+            common.give_back()
+            yield pa.record_batch([pa.array([held] * batch.num_rows, pa.int64())], ["held"])
+
+    def most_left():
+        return spark.range(0, 64, 1, 64).mapInArrow(left, "held long").agg({"held": "max"}).first()[0]
+
+    most_left()
+    assert len(packing.pieces(docs, file, 1, 256, with_ids=True).collect()) >= docs.count()
+    assert most_left() == 0
+    packed = packing.pack_documents(docs, file, capacity=256, with_ids=True)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 # -- language
 
 
