@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import in_task, materialize, shuffle_parts
-from quillspark.llm.tokens import WordTokenizer, in_worker
+from quillspark.llm.tokens import WordTokenizer, in_worker, laid_out
 
 #: Tokens after which a shard is closed; least count of a pair worth a rule
 #: (two symbols and a length, against one symbol saved each time).
@@ -45,11 +45,26 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+def _by_pair(seq: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places by their pair, then ascending; their pairs, and the bits of a pair's
+    second symbol.  Symbols of so many bits and their place mostly fit one number,
+    which is sorted sooner than by reference."""
+    place = len(seq).bit_length()
+    if 2 * bits + place > 64:
+        pair = (seq.take(at).astype(np.uint64) << np.uint64(32)) | seq.take(at + 1)
+        order = np.argsort(pair, kind="stable")
+        return at.take(order), pair.take(order), 32
+    both = (seq.take(at).astype(np.uint64) << np.uint64(bits)) | seq.take(at + 1)
+    both = (both << np.uint64(place)) | at.view(np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << place) - 1)).view(np.int64), both >> np.uint64(place), bits
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, its last-of-document flags, rules); nonterminal base + r
     stands for the two symbols of rules[r]."""
     seq, ends = ids.astype(np.uint32), last.copy()
-    made = np.zeros(0, dtype=np.uint64)
+    made, n_made = [np.zeros((0, 2), dtype=np.uint32)], 0
     # pairs, by their first symbol, that may be frequent: all of them, then those
     # in question or with a changed neighbourhood
     active = ~ends
@@ -58,50 +73,47 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_CO
         at = np.flatnonzero(active)
         if not len(at):
             break
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        bits = max(8, (2 * len(at)).bit_length())
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        # a slot's count is its pairs' at least: what is rare by it is rare
-        counted = np.bincount(slot, minlength=1 << bits)
-        times = counted[slot]
-        enough = times >= least
-        active[at[~enough]] = False
-        at, key, slot, times = at[enough], key[enough], slot[enough], times[enough]
+        at, pair, bits = _by_pair(seq, at, max(base + n_made, 1).bit_length())
+        first, counts = _runs(pair)
+        enough = counts >= least
+        at = at.take(np.flatnonzero(np.repeat(enough, counts)))
+        pair, counts = pair[first[enough]], counts[enough]
+        active = np.zeros(len(seq), dtype=bool)
+        active[at] = True
         if not len(at):
             break
-        rank = (times << bits) | slot
+        # equally frequent pairs go in a mixed order: of a chain of them many are free
+        mixed = len(counts).bit_length()
+        rank = np.repeat((counts << mixed) | ((np.arange(len(counts)) * 0x9E3779B1) & ((1 << mixed) - 1)), counts)
         around = np.zeros(len(seq) + 2, dtype=np.int64)
         around[at + 1] = rank
-        first_here = (rank >= around[at]) & (rank >= around[at + 2])
-        hit, key, slot = at[first_here], key[first_here], slot[first_here]
-        waits_for_none = np.bincount(slot, minlength=1 << bits)[slot] == counted[slot]
+        first_here = np.flatnonzero((rank >= around.take(at)) & (rank >= around.take(at + 2)))
+        hit, of = at.take(first_here), np.repeat(np.arange(len(counts)), counts).take(first_here)
+        waits_for_none = np.bincount(of, minlength=len(counts)) == counts
         # of a pair that overlaps itself every second occurrence, from the left
-        begin = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
-        apart = np.flatnonzero((hit - np.repeat(hit[begin], np.diff(np.append(begin, len(hit))))) % 2 == 0)
-        order = np.argsort(key[apart])
-        ordered = key[apart][order]
-        first, counts = _runs(ordered)
-        often = counts >= least
-        symbol = np.where(often, len(made) + np.cumsum(often) - 1, -1)
-        of = np.empty(len(ordered), dtype=np.int64)
-        of[order] = np.repeat(symbol, counts)
-        replaced = np.zeros(len(hit), dtype=bool)
-        replaced[apart[of >= 0]] = True
-        active[hit[waits_for_none & ~replaced]] = False
-        where = hit[replaced]
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(hit) != 1)))
+        apart = (hit - np.repeat(hit[begin], np.diff(np.append(begin, len(hit))))) % 2 == 0
+        often = np.bincount(of[apart], minlength=len(counts)) >= least
+        replaced = apart & often[of]
+        active[hit[waits_for_none[of] & ~replaced]] = False
+        replaced = np.flatnonzero(replaced)
+        where = hit.take(replaced)
         if not len(where):
             continue
-        seq[where] = (base + of[of >= 0]).astype(np.uint32)
-        made = np.concatenate([made, ordered[first[often]]])
+        seq[where] = (base + n_made - 1 + np.cumsum(often)).astype(np.uint32).take(of.take(replaced))
+        pair = pair[often]
+        made.append(np.stack([pair >> np.uint64(bits), pair & np.uint64((1 << bits) - 1)], 1).astype(np.uint32))
+        n_made += len(pair)
         ends[where] = ends[where + 1]
         left = where[where > 0] - 1
         active[where], active[left] = ~ends[where], ~ends[left]
         keep = np.ones(len(seq), dtype=bool)
         keep[where + 1] = False
-        seq, ends, active = seq[keep], ends[keep], active[keep]
+        # places are faster than masks where kept ones are scattered
+        keep = np.flatnonzero(keep)
+        seq, ends, active = seq.take(keep), ends.take(keep), active.take(keep)
         active[-1:] = False
-    rules = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1)
-    return seq, ends, rules.astype(np.uint32)
+    return seq, ends, np.concatenate(made)
 
 
 def pack_symbols(x: np.ndarray, planes: int) -> bytes:
@@ -130,33 +142,41 @@ class Symbols:
         return out
 
 
-def expansions(rules: np.ndarray, base: int) -> list[bytes]:
-    """The packed ids that each nonterminal stands for; a rule has earlier ones only."""
-    made: list[bytes] = []
-    for a, b in rules.tolist():
-        left = made[a - base] if a >= base else a.to_bytes(4, "little")
-        made.append(left + (made[b - base] if b >= base else b.to_bytes(4, "little")))
-    return made
-
-
-def expand(seq: np.ndarray, made: list[bytes], base: int) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
-    used, of = np.unique(seq, return_inverse=True)
-    parts = [made[x - base] if x >= base else x.to_bytes(4, "little") for x in used.tolist()]
-    size = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-    flat = np.frombuffer(b"".join(parts), dtype="<u4")
-    first = np.cumsum(size) - size
-    out = size[of]
-    # place in ``flat`` of each id: its symbol's first one, then on
-    begin = np.cumsum(out) - out
-    return flat[np.repeat(first[of] - begin, out) + np.arange(int(out.sum()))]
+def _levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules (from, to) whose symbols all come before the run."""
+    latest = np.maximum.accumulate(rules.max(axis=1).astype(np.int64) - base)
+    a = 0
+    while a < len(rules):
+        b = int(np.searchsorted(latest, a))
+        yield a, b
+        a = b
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    lengths = np.ones(len(rules), dtype=np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[r] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return lengths
+    size, pairs = np.ones(base + len(rules), dtype=np.int64), rules.astype(np.int64)
+    for a, b in _levels(rules, base):
+        size[base + a : base + b] = size[pairs[a:b]].sum(axis=1)
+    return size[base:]
+
+
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that every symbol stands for, joined, each symbol's first place and
+    number; a rule has earlier symbols only."""
+    size = np.concatenate([np.ones(base, dtype=np.int64), expansion_lengths(rules, base)])
+    ends = np.cumsum(size)
+    first, pairs = ends - size, rules.astype(np.int64)
+    flat = np.empty(int(size.sum()), dtype=np.uint32)
+    flat[:base] = np.arange(base)
+    for a, b in _levels(rules, base):
+        symbols = pairs[a:b].reshape(-1)
+        flat[first[base + a] : ends[base + b - 1]] = laid_out(flat, first[symbols], size[symbols])
+    return flat, first, size
+
+
+def expand(seq: np.ndarray, made: tuple[np.ndarray, np.ndarray, np.ndarray], base: int) -> np.ndarray:
+    """The ids that a sequence of symbols stands for."""
+    flat, first, size = made
+    return laid_out(flat, first.take(seq), size.take(seq))
 
 
 class Shard:

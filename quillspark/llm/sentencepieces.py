@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import beside_text, in_task
-from quillspark.llm.tokens import LONG_PART, _laid_out, groups, in_worker
+from quillspark.llm.tokens import LONG_PART, laid_out, groups, in_worker
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -184,12 +184,12 @@ class Vocabulary:
         coded = segments.dictionary_encode()
         codes = self._codes_of(coded.dictionary.to_pylist())
         size = codes & 0xFFFFFFFF
-        ids = _laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size)
+        ids = laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size)
         ends = np.concatenate(([0], np.cumsum(size)))
         runs = []
         for body, begin, length in (self._decimals, self._texts):
             upto = np.concatenate(([0], np.cumsum(length[ids])))[ends]
-            data = _laid_out(body, begin[ids], length[ids])
+            data = laid_out(body, begin[ids], length[ids])
             strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(codes), [None, pa.py_buffer(upto), pa.py_buffer(data)])
             taken = strings.take(coded.indices)  # lies joined in the segments' order
             at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[first].tolist()

@@ -14,7 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from quillspark.llm.common import at_task_end
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark owns the cores
 
 #: Distinct parts kept before the cache starts anew: about 120 MB.  Each LONG_PART
-#: characters count as one more.
-CACHE_PARTS, LONG_PART = 600_000, 64
+#: characters count as one more.  JOINED parts up to LONG_PART are encoded by one call.
+CACHE_PARTS, LONG_PART, JOINED = 600_000, 64, 20_000
 
 #: U+001C..U+001F end a word for str.split() but are not White_Space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -38,6 +38,8 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _LOWER, _LOWER_ASCII = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+"), re.compile("[a-z]+")
 #: The letters that byte-level vocabularies have for bytes that show nothing.
 _BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: The same for all bytes, but the space, which divides words here.
+_LETTER_OF = np.array([ord(chr(b) if b == 32 else _BYTE_LETTERS.get(b, chr(b))) for b in range(256)], dtype="<u2")
 #: The Unicode property White_Space, which the vocabularies' files split on.
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -75,22 +77,35 @@ def _in_letters(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
-def _laid_out(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def laid_out(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[first:first + size] of each item, joined."""
     begin, total = np.cumsum(size) - size, int(size.sum())
     kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
     return flat[np.repeat((first - begin).astype(kind), size) + np.arange(total, dtype=kind)]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' ids, joined, and their numbers."""
+    size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(size.sum())), size
+
+
 class WordTokenizer:
     """Ids of a white-space-dropping ``tokenizers`` file, as uint32 bytes."""
 
     def __init__(self, file: bytes, cached: int = CACHE_PARTS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(file.decode())
         self._limit = cached
         self.release()
+        # the library's model over many words at once, and the ids that end a word
+        self._joined = Tokenizer(self._tokenizer.model)
+        self._joined.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        ending = [i for t, i in self._tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        self._ends_word = np.zeros(max(ending, default=0) + 1, dtype=bool)
+        self._ends_word[ending] = True
         # bytes beyond ASCII as the vocabulary's letters, if the library's are these
         model, wide = self._tokenizer.model.tokenize, "ßàéñöøÿ"
         known = all([t.id for t in model(_in_letters(c))] == self._tokenizer.encode(c, add_special_tokens=False).ids for c in wide)
@@ -101,15 +116,31 @@ class WordTokenizer:
         self._codes: dict[str, int] = {}
         self._ids, self._held = array("I"), 0
 
-    def _library(self, parts: list[str]) -> Iterator[list[int]]:
-        """Normalising and splitting leave lower-case letters of Latin-1 as they are,
-        but for their bytes' letters: such parts go to the library's model alone,
-        the others all the way."""
-        plain = [self._letters(c) is not None for c in parts]
-        rest = iter(self._tokenizer.encode_batch_fast([c for c, p in zip(parts, plain, strict=True) if not p], add_special_tokens=False))
-        model = self._tokenizer.model.tokenize
-        for c, p in zip(parts, plain, strict=True):
-            yield [t.id for t in model(_in_letters(c))] if p else next(rest).ids
+    def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of words of plain letters, joined, and their numbers."""
+        letters = _LETTER_OF[np.frombuffer(" ".join(words).encode(), dtype=np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self._joined.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        last = np.flatnonzero(self._ends_word.take(ids, mode="clip"))
+        if len(last) == len(words) and last[-1] == len(ids) - 1:
+            return ids, np.diff(last, prepend=-1)
+        # a vocabulary whose words end without a mark
+        return _flat([[t.id for t in self._tokenizer.model.tokenize(_in_letters(c))] for c in words])
+
+    def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, joined, and their numbers.  Normalising and splitting
+        leave lower-case letters of Latin-1 as they are, but for their bytes' letters:
+        such parts go to the library's model alone, the others all the way."""
+        plain = np.fromiter((len(c) <= LONG_PART and self._letters(c) is not None for c in parts), dtype=bool, count=len(parts))
+        words, others = list(compress(parts, plain)), list(compress(parts, ~plain))
+        made = [self._of_letters(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        made.append(_flat([e.ids for e in self._tokenizer.encode_batch_fast(others, add_special_tokens=False)]))
+        ids, found = (np.concatenate(x) for x in zip(*made, strict=True))
+        if not words or not others:
+            return ids, found
+        place = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        first, size = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+        first[place], size[place] = np.cumsum(found) - found, found
+        return laid_out(ids, first, size), size
 
     def _codes_of(self, parts: list[str]) -> np.ndarray:
         codes = np.fromiter(map(self._codes.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
@@ -121,14 +152,10 @@ class WordTokenizer:
         if self._held and self._held + room > self._limit:
             self.release()
             return self._codes_of(parts)
-        found, sizes, start = array("I"), [], len(self._ids)
-        for ids in self._library(new):
-            found.extend(ids)
-            sizes.append(len(ids))
-        size = np.array(sizes, dtype=np.int64)
+        (ids, size), start = self._library(new), len(self._ids)
         codes[missing] = ((start + np.cumsum(size) - size) << 32) | size
         self._codes.update(zip(new, codes[missing].tolist(), strict=True))
-        self._ids += found
+        self._ids.frombytes(ids.tobytes())
         self._held += room
         return codes
 
@@ -148,11 +175,12 @@ class WordTokenizer:
         coded = parts.dictionary_encode()
         codes = self._codes_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         size = codes & 0xFFFFFFFF
-        return _laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size), size.reshape(-1, 2).sum(axis=1)
+        return laid_out(np.frombuffer(self._ids, dtype=np.uint32), codes >> 32, size), size.reshape(-1, 2).sum(axis=1)
 
     def packed(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null: none."""
-        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("")
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = texts.fill_null("") if texts.null_count else texts
         out: list[bytes] = []
         for a, b in _spans(pc.binary_length(texts).to_numpy()):
             words, counts = _words(texts.slice(a, b - a).cast(pa.string()))
@@ -162,7 +190,7 @@ class WordTokenizer:
             coded = words.dictionary_encode()
             of = coded.indices.to_numpy()
             ids, size = self._of_chunks(coded.dictionary)
-            body = _laid_out(ids, (np.cumsum(size) - size)[of], size[of])
+            body = laid_out(ids, (np.cumsum(size) - size)[of], size[of])
             ends = np.concatenate(([0], np.cumsum(size[of])))[np.concatenate(([0], np.cumsum(counts)))] * 4
             joined, ends = body.astype("<u4").tobytes(), ends.tolist()
             out += [joined[x:y] for x, y in zip(ends, ends[1:], strict=False)]

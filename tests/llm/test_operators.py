@@ -629,6 +629,31 @@ def test_no_pair_worth_a_rule_is_left():
     assert len(repair.build_shard([(i, d.tobytes()) for i, d in enumerate(docs)], 300)) < 0.6 * plain
 
 
+def test_rules_expand_by_levels():
+    """The ids of all symbols lie in one array; each run of rules needs earlier runs only."""
+    rules = np.array([[1, 2], [0, 1], [5, 6], [7, 7], [8, 4], [5, 9]], dtype=np.uint32)
+    want = [[0], [1], [2], [3], [4], [1, 2], [0, 1], [1, 2, 0, 1], [1, 2, 0, 1] * 2, [1, 2, 0, 1] * 2 + [4], [1, 2] + [1, 2, 0, 1] * 2 + [4]]
+    assert list(repair._levels(rules, 5)) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    flat, first, size = repair.expansions(rules, 5)
+    assert [flat[a : a + n].tolist() for a, n in zip(first, size, strict=True)] == want
+    assert repair.expansion_lengths(rules, 5).tolist() == [len(w) for w in want[5:]]
+    assert len(repair.expansion_lengths(rules[:0], 5)) == 0 and list(repair._levels(rules[:0], 5)) == []
+
+
+def test_pairs_are_counted_exactly_and_in_any_width():
+    """Symbols too wide for one number with their place give the same rules, and of
+    chained pairs the more frequent one goes first."""
+    rng = np.random.default_rng(8)
+    ids = (rng.zipf(1.4, 20_000) % 90).astype("<u4")
+    last = np.zeros(len(ids), dtype=bool)
+    last[99::100] = True
+    narrow, wide = repair.compress(ids, last, 90), repair.compress(ids + np.uint32((1 << 30) - 90), last, 1 << 30)
+    assert all((a.astype(np.int64) + (1 << 30) - 90 == b).all() for a, b in ((narrow[0], wide[0]), (narrow[2], wide[2])))
+    assert (narrow[1] == wide[1]).all() and len(narrow[2]) > 100
+    _, _, rules = repair.compress(np.array([1, 2, 3] * 6 + [4, 2, 3] * 5, dtype="<u4"), np.zeros(33, dtype=bool), 9)
+    assert rules[0].tolist() == [2, 3]
+
+
 def test_corpus_files(docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -806,6 +831,39 @@ def test_latin_words_go_to_the_model_alone(monkeypatch):
     assert not [c for c in seen if re.fullmatch("[a-zß-öø-ÿ]+.*[*$%]?", c) and c[-1] in "*$%" or re.fullmatch("[ß-öø-ÿa-z]+", c)]
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    """New words of plain letters are no call each, whatever stands between them; long
+    ones and vocabularies whose words end without a mark get the library's ids too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    w = tokens.WordTokenizer(tokens.read_file(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeßéü") for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    texts = [" ".join(words[k : k + 50] + ["x1", "é" * 65, "don't", "(a)"][: k // 50 % 5]) for k in range(0, 500, 50)]
+    want = [np.array(i, dtype="<u4").tobytes() for i in w.whole(texts)]
+    calls, full = [], w._tokenizer
+
+    class Model:
+        def tokenize(self, word):
+            calls.append(word)
+            return full.model.tokenize(word)
+
+    class Watched:
+        model = Model()
+        encode_batch_fast = full.encode_batch_fast
+
+    w._tokenizer = Watched()
+    monkeypatch.setattr(tokens, "JOINED", 70)
+    assert w.packed(texts) == want
+    assert not [c for c in calls if len(c) <= tokens.LONG_PART]
+    plain = Tokenizer(models.BPE({c: i for i, c in enumerate(["a", "b", "c", "ab", "abc"])}, [("a", "b"), ("ab", "c")]))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other = tokens.WordTokenizer(plain.to_str().encode())
+    some = ["abc ab cab", "", "ba abcabc b"]
+    assert other.packed(some) == [np.array(i, dtype="<u4").tobytes() for i in other.whole(some)]
+
+
 def test_words_of_any_case_and_marks_are_held_once():
     """A worker's memory: one entry for a word's letters and one for the marks, and
     few for one very long part."""
